@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import lru_cache
@@ -100,8 +101,11 @@ def _folding() -> dict[int, str]:
     return {ord(k): v for k, v in LOOK_ALIKES.items()} | apart
 
 
+_CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+
+
 def fold(text: str) -> str:
     """The consistent form of one text, for use inside vectorised Python stages."""
-    if text.isascii() and text.isprintable():
+    if text.isascii() and not _CONTROLS.search(text):
         return text
     return unicodedata.normalize("NFC", text.translate(_folding()))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from seine.llm.leakage import leaks
 from seine.llm.visual import canonical_text, look_alike_pairs
 from seine.registry import Registry
 from seine.runtime import table
@@ -22,3 +24,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = canonical_text(table(spark, sf_dir, "documents"), "doc_id", "text")
     return forms.select(forms.id.alias("doc_id"), "canonical")
+
+
+@R.query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return found.select("item_id", "doc_id").distinct()
+
+
+@R.query("p7_report")
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: how many items leak, which, and the longest overlap in words."""
+    found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("words").alias("longest"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"))
