@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.llm import digest, packing
 from seine.llm.leakage import leaks
 from seine.llm.visual import canonical_text, look_alike_pairs
 from seine.registry import Registry
@@ -37,3 +38,65 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many items leak, which, and the longest overlap in words."""
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
     return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("words").alias("longest"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"))
+
+
+def _durations() -> dict[str, Column]:
+    return {"queue_wait_ms": F.col("queue_wait_ms"), "total_ms": F.col("total_ms"), "extractor_ms": F.col("phases.extractor_ms")}
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.date_format("measured_at", "yyyy-MM-dd")
+    return digest.measurements(table(spark, sf_dir, "results"), "result_id", "domain", day, _durations())
+
+
+@R.query("p4_percentiles")
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each duration per domain, with the rank error proved by counting."""
+    names = list(_durations())
+    values = digest.measurements(table(spark, sf_dir, "results"), "result_id", "domain", F.lit(None), _durations())
+    answers = digest.percentiles(digest.merge_digests(digest.digests(values, names)))
+    return digest.certify(values, answers, names).withColumnRenamed("group", "domain")
+
+
+@R.query("p4_daily_digests")
+def p4_daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored digest per day, domain and duration."""
+    daily = digest.merge_digests(digest.digests(_measured(spark, sf_dir), list(_durations())), by_period=True)
+    return daily.select(F.col("period").alias("day"), F.col("grp").alias("domain"), "metric", "n", "least", "most", "means", "weights", "tied")
+
+
+@R.query("p4_from_days")
+def p4_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of the whole time, joined from the digests of single days."""
+    names, values = list(_durations()), _measured(spark, sf_dir)
+    daily = digest.merge_digests(digest.digests(values, names), by_period=True)
+    spread = daily.withColumn("part", F.pmod(F.xxhash64("period"), F.lit(1 << 16)).cast("int"))
+    return digest.certify(values, digest.percentiles(digest.merge_digests(spread)), names).withColumnRenamed("group", "domain")
+
+
+@R.query(
+    "p4_value_counts",
+    sql="""
+    WITH rows AS (SELECT DISTINCT result_id, domain, queue_wait_ms, total_ms, phases.extractor_ms AS extractor_ms FROM results),
+    long AS (SELECT domain, 'queue_wait_ms' AS metric, queue_wait_ms AS v FROM rows UNION ALL SELECT domain, 'total_ms', total_ms FROM rows
+             UNION ALL SELECT domain, 'extractor_ms', extractor_ms FROM rows)
+    SELECT metric, domain, count_if(v >= 0 AND v < 2592000000)::BIGINT AS n_valid, count_if(v IS NULL)::BIGINT AS n_null,
+           count_if(NOT (v >= 0 AND v < 2592000000))::BIGINT AS n_impossible FROM long GROUP BY ALL""",
+)
+def p4_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.value_counts(table(spark, sf_dir, "results"), "result_id", "domain", _durations()).withColumnRenamed("group", "domain")
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.pack(lengths, table(spark, sf_dir, "containers"), "container_kind", "capacity_tokens")
+
+
+@R.query("p6_assignment")
+def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+@R.query("p6_use_of_space")
+def p6_use_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.use_of_space(_packed(spark, sf_dir))
