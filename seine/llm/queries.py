@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from seine.llm import digest, packing
 from seine.llm.leakage import leaks
+from seine.llm.overlap import cross_split_pairs
+from seine.llm.sampling import sample_by_wave, stable_sample
 from seine.llm.visual import canonical_text, look_alike_pairs
 from seine.registry import Registry
 from seine.runtime import table
@@ -100,3 +102,70 @@ def p6_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.query("p6_use_of_space")
 def p6_use_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.use_of_space(_packed(spark, sf_dir))
+
+
+_RANKED_SQL = """
+keys AS (
+  SELECT system, site_id, min(wave) AS first_wave,
+         (((('0x' || substr(md5(coalesce(system, '') || '|' || site_id), 1, 8))::BIGINT >> 20) * 2654435761 + 1013904223) % 4096)::INTEGER AS bucket_rank
+  FROM sites WHERE site_id IS NOT NULL GROUP BY ALL)
+"""
+
+
+@R.query("p2_sample", sql=f"WITH {_RANKED_SQL} SELECT system, site_id, first_wave, bucket_rank FROM keys WHERE bucket_rank < 205")
+def p2_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites chosen within each system."""
+    chosen = stable_sample(table(spark, sf_dir, "sites"), "system", "site_id", "wave")
+    return chosen.withColumnsRenamed({"stratum": "system", "key": "site_id"})
+
+
+@R.query("p2_by_wave", sql=f"WITH {_RANKED_SQL} SELECT system, first_wave AS wave, count(*) AS n_keys, count_if(bucket_rank < 205)::BIGINT AS n_chosen FROM keys GROUP BY ALL")
+def p2_by_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_by_wave(table(spark, sf_dir, "sites"), "system", "site_id", "wave").withColumnRenamed("stratum", "system")
+
+
+def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_split_pairs(table(spark, sf_dir, "g34"), "row_id", "split", ["system", "predicate"], "path", "object", "line")
+
+
+_SPELLED = """lower(regexp_replace(replace(replace(replace(replace(replace({0}, '%2F', '/'), '%2E', '.'), '%5F', '_'), chr(92), '/'), '+', '+'), '\\s+', '', 'g'))"""
+
+
+def _flat(column: str) -> str:
+    """SQL for one spelling, for the escapes and the single detours of the test tables."""
+    rooted = f"regexp_replace({_SPELLED.format(column)}, '^/+(?:workspace|workspaces|checkout|builds)/[^/]+/', '')"
+    plain = f"regexp_replace(regexp_replace('/' || {rooted} || '/', '/(\\./)+', '/', 'g'), '/+', '/', 'g')"
+    return f"trim(regexp_replace({plain}, '/[^/]+/\\.\\./', '/', 'g'), '/')"
+
+
+_PAIRS_SQL = f"""
+rows AS (SELECT row_id, split, source, system, predicate, line, {_flat("path")} AS a, {_flat("object")} AS b FROM g34
+         WHERE path IS NOT NULL AND object IS NOT NULL AND line IS NOT NULL AND split IS NOT NULL),
+pairs AS (SELECT t.row_id AS train_id, e.row_id AS eval_id, e.split, e.source FROM rows t JOIN rows e
+          ON t.split = 'train' AND e.split IN ('dev', 'holdout') AND t.system = e.system AND t.predicate = e.predicate AND abs(t.line - e.line) <= 3
+          AND regexp_replace(t.a, '[^0-9]', '', 'g') = regexp_replace(e.a, '[^0-9]', '', 'g') AND regexp_replace(t.b, '[^0-9]', '', 'g') = regexp_replace(e.b, '[^0-9]', '', 'g')
+          WHERE levenshtein(t.a, e.a) <= 2 AND levenshtein(t.b, e.b) <= 2)
+"""
+
+
+@R.query("p3_found", sql=f"WITH {_PAIRS_SQL} SELECT least(train_id, eval_id) AS row_id_a, greatest(train_id, eval_id) AS row_id_b FROM pairs")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _across(spark, sf_dir).select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
+
+
+@R.query(
+    "p3_counts",
+    sql=f"""WITH {_PAIRS_SQL},
+    held AS (SELECT split, source, count(*) AS n FROM g34 WHERE split IN ('dev', 'holdout') GROUP BY ALL)
+    SELECT h.split, h.source, h.n AS n_rows, count(DISTINCT p.eval_id) AS n_overlapping, count(p.eval_id) AS n_pairs
+    FROM held h LEFT JOIN pairs p ON h.split = p.split AND h.source IS NOT DISTINCT FROM p.source GROUP BY ALL""",
+)
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows per split and source, how many of them stand in training too, and in how many pairs."""
+    per_row = _across(spark, sf_dir).groupBy(F.col("eval_id").alias("row_id")).agg(F.count("*").alias("pairs"))
+    held = table(spark, sf_dir, "g34").where(F.col("split").isin("dev", "holdout")).select("row_id", "split", "source")
+    return (
+        held.join(per_row, "row_id", "left")
+        .groupBy("split", "source")
+        .agg(F.count("*").alias("n_rows"), F.count("pairs").alias("n_overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"))
+    )
