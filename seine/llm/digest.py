@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seine.runtime import broadcast_if_small, checkpoint
+
 #: Centroids of a digest, and the largest rank error that an answer may have (or one row's rank, in groups of fewer rows).
 DELTA = 800
 BOUND = 0.001
@@ -31,7 +33,7 @@ BOUND = 0.001
 LIMIT_MS = 30 * 86_400_000
 QUANTILES = (0.01, 0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 _FAN = 32
-_BUFFER = 200_000
+_BUFFER = 1_000_000
 _SCHEMA = "metric string, grp string, period string, part int, n bigint, least double, most double, means array<double>, weights array<bigint>, tied array<boolean>"
 
 
@@ -43,69 +45,45 @@ def _runs(change: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, change])
 
 
-def cluster(means: np.ndarray, weights: np.ndarray, tied: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge centroids: neighbours whose middle quantiles fall in one unit of the size function become one.
+def cluster(groups: np.ndarray, means: np.ndarray, weights: np.ndarray, tied: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merge the centroids of many groups at once: in a group, neighbours whose middle quantiles fall in one unit become one.
 
     ``tied`` marks centroids that stand for one repeated value. Equal ones are joined first, and one that spans half a unit or
-    more is never mixed with its neighbours, so heavy ties stay exact; there are at most ``2 * delta`` of those.
+    more is never mixed with its neighbours, so heavy ties stay exact; a group has at most ``2 * delta`` of those.
+    Gives groups, means, weights and ties, ordered by group and mean.
     """
-    order = np.lexsort((tied, means))
-    means, weights, tied = means[order], weights[order], tied[order]
-    starts = _runs((np.diff(means) != 0) | ~(tied[1:] & tied[:-1]))
-    weights, means, tied = np.add.reduceat(weights, starts), means[starts], tied[starts]
-
+    order = np.lexsort((tied, means, groups))
+    groups, means, weights, tied = groups[order], means[order], weights[order], tied[order]
+    starts = _runs((np.diff(groups) != 0) | (np.diff(means) != 0) | ~(tied[1:] & tied[:-1]))
+    weights, means, tied, groups = np.add.reduceat(weights, starts), means[starts], tied[starts], groups[starts]
+
+    other = np.diff(groups) != 0
+    first = _runs(other)
+    sizes = np.diff(np.r_[first, len(groups)])
+    totals = np.repeat(np.add.reduceat(weights, first), sizes)
     ends = np.cumsum(weights)
-    total = ends[-1]
-    unit = np.floor(_unit((ends - weights / 2) / total, delta))
-    heavy = tied & (_unit(ends / total, delta) - _unit((ends - weights) / total, delta) >= 0.5)
-    starts = _runs((np.diff(unit) != 0) | heavy[1:] | heavy[:-1])
+    ends = ends - np.repeat(ends[first] - weights[first], sizes)
+    unit = np.floor(_unit((ends - weights / 2) / totals, delta))
+    heavy = tied & (_unit(ends / totals, delta) - _unit((ends - weights) / totals, delta) >= 0.5)
+    starts = _runs(other | (np.diff(unit) != 0) | heavy[1:] | heavy[:-1])
     sums = np.add.reduceat(weights, starts)
     # sums of deviations from the cluster's first value keep large values exact
     base = means[starts]
     sizes = np.diff(np.r_[starts, len(means)])
     spread = np.add.reduceat((means - np.repeat(base, sizes)) * weights, starts)
-    return base + spread / sums, sums, tied[starts] & (sizes == 1)
+    return groups[starts], base + spread / sums, sums, tied[starts] & (sizes == 1)
 
 
-def quantile(means: np.ndarray, weights: np.ndarray, tied: np.ndarray, least: float, most: float, p: float) -> float:
-    """Value at rank ``p``: flat over a repeated value, else linear between the middles of neighbouring centroids."""
+def quantiles_of(means: np.ndarray, weights: np.ndarray, tied: np.ndarray, least: float, most: float, ps: np.ndarray) -> np.ndarray:
+    """Values at ranks ``ps``: flat over a repeated value, else linear between the middles of neighbouring centroids."""
     ends = np.cumsum(weights).astype(float)
     begins = ends - weights
-    xs = np.stack([np.where(tied, begins, begins + weights / 2), np.where(tied, ends, begins + weights / 2)], 1).ravel()
-    ys = np.repeat(means, 2)
-    return float(np.interp(p * ends[-1], np.r_[0.0, xs, ends[-1]], np.r_[least, ys, most]))
-
-
-class _Builder:
-    """Digests of one partition, one per (period, group, metric); raw values are clustered as soon as they fill the buffer."""
-
-    def __init__(self, delta: int) -> None:
-        self.delta, self.raw, self.held, self.done, self.ends = delta, {}, {}, {}, {}
-
-    def add(self, key: tuple, values: np.ndarray) -> None:
-        lo, hi = float(values.min()), float(values.max())
-        a, b = self.ends.get(key, (lo, hi))
-        self.ends[key] = min(a, lo), max(b, hi)
-        self.raw.setdefault(key, []).append(values)
-        self.held[key] = self.held.get(key, 0) + len(values)
-        if self.held[key] >= _BUFFER:
-            self._fold(key)
-
-    def _fold(self, key: tuple) -> None:
-        values, counts = np.unique(np.concatenate(self.raw.pop(key)), return_counts=True)
-        self.held[key] = 0
-        m, w, t = self.done.get(key, (np.empty(0), np.empty(0, np.int64), np.empty(0, bool)))
-        self.done[key] = cluster(np.r_[m, values.astype(float)], np.r_[w, counts], np.r_[t, np.ones(len(values), bool)], self.delta)
-
-    def rows(self, part: int) -> dict[str, list]:
-        for key in list(self.raw):
-            self._fold(key)
-        out: dict[str, list] = {c.split()[0]: [] for c in _SCHEMA.split(", ")}
-        for (period, grp, metric), (m, w, t) in self.done.items():
-            lo, hi = self.ends[period, grp, metric]
-            for c, v in zip(out, (metric, grp, period, part, int(w.sum()), lo, hi, m.tolist(), w.tolist(), t.tolist())):
-                out[c].append(v)
-        return out
+    middle = begins + weights / 2
+    xs, ys = np.empty(2 * len(ends) + 2), np.empty(2 * len(ends) + 2)
+    xs[0], ys[0], xs[-1], ys[-1] = 0.0, least, ends[-1], most
+    xs[1:-1:2], xs[2:-1:2] = np.where(tied, begins, middle), np.where(tied, ends, middle)
+    ys[1:-1:2] = ys[2:-1:2] = means
+    return np.interp(ps * ends[-1], xs, ys)
 
 
 _ARROW = pa.schema(
@@ -113,66 +91,90 @@ _ARROW = pa.schema(
 )
 
 
-def _build(batches: Iterator[pa.RecordBatch], metrics: list[str], delta: int) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+class _Builder:
+    """Digests of many groups, side by side; what has been added is clustered whenever it fills the buffer."""
 
-    builder = _Builder(delta)
-    for batch in batches:
-        frame = pd.DataFrame({"grp": batch.column(0).to_pandas(), "period": batch.column(1).to_pandas()})
-        codes = frame.groupby(["grp", "period"], dropna=False, sort=False).ngroup().to_numpy()
+    def __init__(self, delta: int) -> None:
+        self.delta, self.keys, self.parts, self.held = delta, {}, [], 0
+        self.least: list[float] = []
+        self.most: list[float] = []
+
+    def code(self, key: tuple) -> int:
+        k = self.keys.setdefault(key, len(self.keys))
+        if k == len(self.least):
+            self.least.append(np.inf)
+            self.most.append(-np.inf)
+        return k
+
+    def ends(self, codes: np.ndarray, lows: np.ndarray, highs: np.ndarray) -> None:
         order = np.argsort(codes, kind="stable")
-        cuts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0]) if len(order) else []
-        columns = [batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(metrics))]
-        for rows in np.split(order, cuts[1:]) if len(cuts) else []:
-            grp, period = (None if pd.isna(x) else x for x in frame.iloc[rows[0]])
-            for metric, column in zip(metrics, columns):
-                values = column[rows]
-                values = values[~np.isnan(values)]
-                if len(values):
-                    builder.add((period, grp, metric), values)
-    context = TaskContext.get()
-    rows = builder.rows(context.partitionId() if context else 0)
-    if rows["metric"]:
-        yield pa.RecordBatch.from_pydict(rows, schema=_ARROW)
+        starts = _runs(np.diff(codes[order]) != 0)
+        for k, lo, hi in zip(codes[order][starts].tolist(), np.minimum.reduceat(lows[order], starts).tolist(), np.maximum.reduceat(highs[order], starts).tolist()):
+            self.least[k], self.most[k] = min(self.least[k], lo), max(self.most[k], hi)
+
+    def add(self, groups: np.ndarray, means: np.ndarray, weights: np.ndarray, tied: np.ndarray) -> None:
+        self.parts.append((groups, means, weights, tied))
+        self.held += len(groups)
+        if self.held >= _BUFFER:
+            self.parts = [self._joined()]
+            # a digest that is full already cannot shrink again: let the buffer grow with what is kept
+            self.held = max(0, len(self.parts[0][0]) - _BUFFER // 2)
+
+    def _joined(self) -> tuple[np.ndarray, ...]:
+        return cluster(*(np.concatenate(x) for x in zip(*self.parts)), self.delta)
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        groups, means, weights, tied = self._joined()
+        starts = _runs(np.diff(groups) != 0)
+        names, which = list(self.keys), groups[starts].tolist()
+        ends = np.r_[starts, len(groups)].astype(np.int32)
+        columns = [pa.array([names[k][i] for k in which], _ARROW[i].type) for i in range(4)]
+        columns += [pa.array(np.add.reduceat(weights, starts), pa.int64()), pa.array([self.least[k] for k in which]), pa.array([self.most[k] for k in which])]
+        columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t)) for x, t in ((means, pa.float64()), (weights, pa.int64()), (tied, pa.bool_()))]
+        whole = pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+        for i in range(0, whole.num_rows, 4_096):
+            yield whole.slice(i, 4_096)
 
 
-def _merge_sorted(batches: Iterator[pa.RecordBatch], delta: int) -> Iterator[pa.RecordBatch]:
-    """Merge runs of rows with equal (metric, grp, period, part); a long run is clustered as it is read."""
-    key, held, least, most = None, 0, 0.0, 0.0
-    parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    out: dict[str, list] = {f.name: [] for f in _ARROW}
-
-    def joined() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return cluster(*(np.concatenate(x) for x in zip(*parts)), delta)
-
-    def close() -> None:
-        m, w, t = joined()
-        for c, v in zip(out, (*key, int(w.sum()), least, most, m.tolist(), w.tolist(), t.tolist())):
-            out[c].append(v)
+def _build(batches: Iterator[pa.RecordBatch], metrics: list[str], delta: int) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
+    context = TaskContext.get()
+    part, builder = context.partitionId() if context else 0, _Builder(delta)
+    for batch in batches:
+        grp, period = (batch.column(i).dictionary_encode() for i in (0, 1))
+        g_names, p_names = grp.dictionary.to_pylist(), period.dictionary.to_pylist()
+        g = grp.indices.fill_null(len(g_names)).to_numpy(zero_copy_only=False).astype(np.int64)
+        p = period.indices.fill_null(len(p_names)).to_numpy(zero_copy_only=False).astype(np.int64)
+        g_names, p_names = [*g_names, None], [*p_names, None]
+        pairs, place = np.unique(g * len(p_names) + p, return_inverse=True)
+        for i, metric in enumerate(metrics):
+            values = batch.column(2 + i).to_numpy(zero_copy_only=False).astype(float)
+            kept = ~np.isnan(values)
+            if not kept.any():
+                continue
+            codes = np.array([builder.code((metric, g_names[k // len(p_names)], p_names[k % len(p_names)], part)) for k in pairs.tolist()], np.int64)[place[kept]]
+            values = values[kept]
+            builder.ends(codes, values, values)
+            builder.add(codes, values, np.ones(len(values), np.int64), np.ones(len(values), bool))
+    # groups without a valid value were only named
+    yield from builder.batches()
+
+
+def _merge(batches: Iterator[pa.RecordBatch], delta: int) -> Iterator[pa.RecordBatch]:
+    """Merge the rows of a partition that have equal (metric, grp, period, part)."""
+    builder = _Builder(delta)
     for batch in batches:
-        keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-        lows, highs = batch.column(5).to_pylist(), batch.column(6).to_pylist()
-        flat = [batch.column(i).values.to_numpy(zero_copy_only=False) for i in (7, 8, 9)]
-        cuts = batch.column(7).offsets.to_numpy()
-        for i, k in enumerate(keys):
-            if k != key:
-                if key is not None:
-                    close()
-                key, parts, held, least, most = k, [], 0, lows[i], highs[i]
-            parts.append(tuple(f[cuts[i] : cuts[i + 1]] for f in flat))
-            held += int(cuts[i + 1] - cuts[i])
-            least, most = min(least, lows[i]), max(most, highs[i])
-            if held > _BUFFER:
-                parts = [joined()]
-                held = len(parts[0][0])
-        if len(out["n"]) > 5_000:
-            yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
-            out = {f.name: [] for f in _ARROW}
-    if key is not None:
-        close()
-    if out["n"]:
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+        codes = np.array([builder.code(k) for k in zip(*(batch.column(i).to_pylist() for i in range(4)))], np.int64)
+        if not len(codes):
+            continue
+        builder.ends(codes, batch.column(5).to_numpy(zero_copy_only=False), batch.column(6).to_numpy(zero_copy_only=False))
+        lists = [batch.column(i) for i in (7, 8, 9)]
+        means, weights, tied = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+        builder.add(np.repeat(codes, np.diff(lists[0].offsets.to_numpy())), means, weights.astype(np.int64), tied.astype(bool))
+    yield from builder.batches()
 
 
 def merge_digests(digests: DataFrame, delta: int = DELTA, by_period: bool = False) -> DataFrame:
@@ -180,7 +182,7 @@ def merge_digests(digests: DataFrame, delta: int = DELTA, by_period: bool = Fals
     keys = ["metric", "grp", "period", "part"]
     out = digests if by_period else digests.withColumn("period", F.lit(None).cast("string"))
     for part in (F.pmod("part", F.lit(_FAN)).cast("int"), F.lit(0)):
-        out = out.withColumn("part", part).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _merge_sorted(it, delta), _SCHEMA)
+        out = out.withColumn("part", part).repartition(*keys).mapInArrow(lambda it: _merge(it, delta), _SCHEMA)
     return out
 
 
@@ -200,37 +202,61 @@ def digests(values: DataFrame, metrics: list[str], delta: int = DELTA) -> DataFr
 
 
 def percentiles(merged: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """(metric, grp, n, ps, xs): the answers of each digest."""
+    """(metric, grp, period, xs) beside each digest: its answers, one for each of ``quantiles``."""
+
+    ps = np.asarray(quantiles)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in batches:
-            xs = [[quantile(np.asarray(r.means), np.asarray(r.weights), np.asarray(r.tied), r.least, r.most, p) for p in quantiles] for r in f.itertuples()]
-            yield pd.DataFrame({"metric": f["metric"], "grp": f["grp"], "n": f["n"], "ps": [list(quantiles)] * len(f), "xs": xs})
+            yield f.assign(xs=[quantiles_of(np.asarray(r.means), np.asarray(r.weights), np.asarray(r.tied), r.least, r.most, ps) for r in f.itertuples()])
+
+    return merged.drop("part").mapInPandas(answer, _SCHEMA.replace("part int, ", "") + ", xs array<double>")
 
-    return merged.mapInPandas(answer, "metric string, grp string, n bigint, ps array<double>, xs array<double>")
 
+def certify(values: DataFrame, answers: DataFrame, metrics: list[str], by_period: bool, bound: float = BOUND, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """The counting pass: how many values lie below and at each answer, exactly.
 
-def certify(values: DataFrame, answers: DataFrame, metrics: list[str], bound: float = BOUND, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """Count the values below and at each answer: (metric, grp, p, value, n, below, upto, rank_error, within_bound)."""
-    long = values.select("grp", F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics]))).where("v IS NOT NULL")
-    a = answers.select(F.col("grp").alias("g"), F.col("metric").alias("m"), "xs")
-    held = long.join(a, F.col("grp").eqNullSafe(F.col("g")) & (F.col("metric") == F.col("m")))
+    Gives the answers' rows with ``counted`` values, ``found`` (p, value, below, upto, rank_error per quantile), the largest
+    ``rank_error`` and whether it is ``within_bound`` (``bound``, or one row's rank in smaller groups).
+    """
+    names = ["g", "p"] if by_period else ["g"]
+    on = F.col("grp").eqNullSafe(F.col("g"))
+    if by_period:
+        on = on & F.col("period").eqNullSafe(F.col("p"))
+    # one row per group with the answers of every metric; its size is probed before it is broadcast
+    wide = answers.groupBy(F.col("grp").alias("g"), F.col("period").alias("p")).agg(*[F.first(F.when(F.col("metric") == m, F.col("xs")), ignorenulls=True).alias(f"x_{m}") for m in metrics])
+    held = values.join(broadcast_if_small(wide.select(*names, *[f"x_{m}" for m in metrics])), on)
+    long = held.select("grp", *(["period"] if by_period else []), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"), F.col(f"x_{m}").alias("xs")) for m in metrics]))).where("v IS NOT NULL")
 
     def passed(op) -> Column:
         return sum((op(F.col("xs")[i]).cast("int") for i in range(1, len(quantiles))), op(F.col("xs")[0]).cast("int"))
 
     # how many answers lie below a value, and how many at or below it; only these small counts are shuffled
-    counted = held.groupBy("metric", "grp", passed(lambda x: F.col("v") > x).alias("over"), passed(lambda x: F.col("v") >= x).alias("from")).count()
-    per_group = counted.groupBy("metric", "grp").agg(
-        F.sum("count").alias("n"),
+    keys = ["metric", "grp", *(["period"] if by_period else [])]
+    counted = long.groupBy(*keys, passed(lambda x: F.col("v") > x).alias("over"), passed(lambda x: F.col("v") >= x).alias("from")).count()
+    per_group = counted.groupBy(F.col("metric").alias("m"), F.col("grp").alias("g"), *([F.col("period").alias("p")] if by_period else [])).agg(
+        F.sum("count").alias("counted"),
         *[F.sum(F.when(F.col("from") <= i, F.col("count")).otherwise(0)).alias(f"below{i}") for i in range(len(quantiles))],
         *[F.sum(F.when(F.col("over") <= i, F.col("count")).otherwise(0)).alias(f"upto{i}") for i in range(len(quantiles))],
     )
-    proof = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(i).alias("i"), F.col(f"below{i}").alias("below"), F.col(f"upto{i}").alias("upto")) for i, p in enumerate(quantiles)])
-    rows = per_group.select("metric", "grp", "n", F.inline(proof))
-    rows = rows.join(a, rows["grp"].eqNullSafe(F.col("g")) & (rows["metric"] == F.col("m")))
-    error = F.greatest(F.lit(0.0), F.col("below") / F.col("n") - F.col("p"), F.col("p") - F.col("upto") / F.col("n"))
-    return rows.select("metric", F.col("grp").alias("group"), "p", F.col("xs")[F.col("i")].alias("value"), "n", "below", "upto", error.alias("rank_error"), (error <= F.greatest(F.lit(bound), 1 / F.col("n"))).alias("within_bound"))
+    rows = answers.join(per_group, on & (F.col("metric") == F.col("m")))
+
+    def proof(i: int, p: float) -> Column:
+        below, upto, n = F.col(f"below{i}"), F.col(f"upto{i}"), F.col("counted")
+        error = F.greatest(F.lit(0.0), below / n - p, p - upto / n)
+        return F.struct(F.lit(float(p)).alias("p"), F.col("xs")[i].alias("value"), below.alias("below"), upto.alias("upto"), error.alias("rank_error"))
+
+    rows = rows.select("metric", "grp", "period", "n", "counted", F.array(*[proof(i, p) for i, p in enumerate(quantiles)]).alias("found"), "least", "most", "means", "weights", "tied")
+    worst = F.array_max(F.transform("found", lambda f: f["rank_error"]))
+    return rows.withColumn("rank_error", worst).withColumn("within_bound", worst <= F.greatest(F.lit(bound), 1 / F.col("n")))
+
+
+def by_period_and_joined(values: DataFrame, metrics: list[str], delta: int = DELTA) -> DataFrame:
+    """Certified answers and digests for every period, and for all periods (null) joined from the periods' digests."""
+    daily = checkpoint(percentiles(merge_digests(digests(values, metrics, delta), delta, by_period=True)))
+    joined = merge_digests(daily.drop("xs").withColumn("part", F.pmod(F.xxhash64("period"), F.lit(1 << 16)).cast("int")).select(*[c.split()[0] for c in _SCHEMA.split(", ")]), delta)
+    each = certify(values, daily, metrics, by_period=True)
+    return each.unionByName(certify(values, checkpoint(percentiles(joined)), metrics, by_period=False))
 
 
 def value_counts(df: DataFrame, id_column: str, group: str, metrics: dict[str, Column], limit: int = LIMIT_MS) -> DataFrame:

@@ -29,6 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's publisher cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS_PER_SHARD = 512
+#: Container kinds are a configuration table; a longer list is refused.
+MAX_KINDS = 1_000
 
 
 @lru_cache(maxsize=2)
@@ -109,14 +111,14 @@ def pack(lengths: DataFrame, containers: DataFrame, kind: str, capacity: str, bi
     """
     id_type = lengths.schema["id"].dataType.simpleString()
     held = checkpoint(lengths)
-    kinds = containers.select(F.col(kind).alias("container_kind"), F.col(capacity).cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct()
-    total = F.coalesce(F.sum("n_tokens"), F.lit(0))
-    # one row per kind: the kinds are a short list joined with one total, then with every item by broadcast of that list
-    plan = kinds.join(F.broadcast(held.agg(total.alias("total"))), how="inner").select(
-        "container_kind", "capacity_tokens", F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity_tokens") * F.lit(bins_per_shard)))).cast("int").alias("shards")
-    )
-    kinds_list = plan.groupBy().agg(F.collect_list(F.struct("container_kind", "capacity_tokens", "shards")).alias("kinds"))
-    items = held.join(F.broadcast(kinds_list), how="inner").select("id", F.col("n_tokens").alias("length"), F.inline("kinds"))
+    wanted = containers.select(F.col(kind).alias("container_kind"), F.col(capacity).cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct().limit(MAX_KINDS + 1).collect()
+    if len(wanted) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of container")
+    total = held.agg(F.sum("n_tokens")).first()[0] or 0
+    # the short list of kinds is written into the plan, so every item meets every kind without a join
+    kinds = [F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens"), F.lit(max(1, -(-total // (c * bins_per_shard)))).cast("int").alias("shards")) for k, c in wanted]
+    none = F.array().cast("array<struct<container_kind:string,capacity_tokens:int,shards:int>>")
+    items = held.select("id", F.col("n_tokens").alias("length"), F.inline(F.array(*kinds) if kinds else none))
     full = F.floor(F.col("length") / F.col("capacity_tokens")).cast("long")
     whole = items.where("length >= capacity_tokens").select(
         "container_kind", "capacity_tokens", "id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece")

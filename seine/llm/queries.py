@@ -53,27 +53,12 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.query("p4_percentiles")
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of each duration per domain, with the rank error proved by counting."""
-    names = list(_durations())
-    values = digest.measurements(table(spark, sf_dir, "results"), "result_id", "domain", F.lit(None), _durations())
-    answers = digest.percentiles(digest.merge_digests(digest.digests(values, names)))
-    return digest.certify(values, answers, names).withColumnRenamed("group", "domain")
-
-
-@R.query("p4_daily_digests")
-def p4_daily_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored digest per day, domain and duration."""
-    daily = digest.merge_digests(digest.digests(_measured(spark, sf_dir), list(_durations())), by_period=True)
-    return daily.select(F.col("period").alias("day"), F.col("grp").alias("domain"), "metric", "n", "least", "most", "means", "weights", "tied")
-
-
-@R.query("p4_from_days")
-def p4_from_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles of the whole time, joined from the digests of single days."""
-    names, values = list(_durations()), _measured(spark, sf_dir)
-    daily = digest.merge_digests(digest.digests(values, names), by_period=True)
-    spread = daily.withColumn("part", F.pmod(F.xxhash64("period"), F.lit(1 << 16)).cast("int"))
-    return digest.certify(values, digest.percentiles(digest.merge_digests(spread)), names).withColumnRenamed("group", "domain")
+    """Percentiles of each duration per domain, for every day and (null day) for all days joined from the days' digests.
+
+    Each row holds the answers with the rank error proved by counting, and the digest from which further days can be joined.
+    """
+    found = digest.by_period_and_joined(_measured(spark, sf_dir), list(_durations()))
+    return found.withColumnsRenamed({"period": "day", "grp": "domain"})
 
 
 @R.query(
