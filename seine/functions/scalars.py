@@ -181,7 +181,7 @@ def valid_topic(topic: Column) -> Column:
 
 def camel_case(name: Column) -> Column:
     """Exported Go name of a contract field: an underscore before a lower-case letter is dropped and the letter raised."""
-    led = F.when(name.startswith("_"), F.concat(F.lit("X"), F.substring(name, 2, 1 << 20))).otherwise(name)
+    led = F.when(name.startswith("_"), F.concat(F.lit("X_"), F.substring(name, 2, 1 << 20))).otherwise(name)
     parts = F.split(led, "_(?=[a-z])")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
 

@@ -28,10 +28,12 @@ class Generations:
         out = self._fs.create(beside, True)
         out.write(bytearray(json.dumps(body, sort_keys=True).encode()))
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise OSError(f"cannot publish {target}")
+        sc = self.spark.sparkContext
+        over = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = sc._gateway.new_array(over, 1)
+        options[0] = over.OVERWRITE
+        context = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), sc._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(beside), self._fs.makeQualified(target), options)
 
     def _read(self, name: str) -> dict | None:
         path = self._path(f"{self.root}/{name}")

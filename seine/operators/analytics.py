@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.functions.scalars import day_key
@@ -32,10 +32,13 @@ def top_names(events: DataFrame, name: str, k: int) -> DataFrame:
 
 def bounded_sum(rows: DataFrame, order: list[str], size: str, limit: int) -> DataFrame:
     """Count and byte sum of the first ``limit`` rows; the sum is null if any size is unknown or negative."""
-    head = rows.orderBy(*order).limit(limit + 1).select(size).limit(limit)
-    bad = F.bool_or(F.col(size).isNull() | (F.col(size) < 0))
-    shown = head.agg(F.count("*").alias("n"), F.when(~F.coalesce(bad, F.lit(False)), F.coalesce(F.sum(size), F.lit(0))).alias("bytes"))
-    return shown.join(rows.limit(limit + 1).agg((F.count("*") > limit).alias("truncated")), how="inner")
+    place = Window.orderBy(*order)  # over the bounded head only
+    head = rows.orderBy(*order).limit(limit + 1).select(size, F.row_number().over(place).alias("_n"))
+    shown = F.col("_n") <= limit
+    bad = F.coalesce(F.bool_or(shown & (F.col(size).isNull() | (F.col(size) < 0))), F.lit(False))
+    return head.agg(
+        F.count_if(shown).alias("n"), F.when(~bad, F.coalesce(F.sum(F.when(shown, F.col(size))), F.lit(0))).alias("bytes"), F.coalesce(F.bool_or(~shown), F.lit(False)).alias("truncated")
+    )
 
 
 def counts_by(rows: DataFrame, **conditions: Column) -> DataFrame:

@@ -47,15 +47,17 @@ class _Scanner:
         return t
 
     def skip_statement(self) -> None:
-        """To the end of a statement, over a whole block if it has one."""
+        """To the end of a statement, over a whole block if it has one; the end of the enclosing block is left."""
         depth = 0
         while self.at < len(self.tokens):
+            if not depth and self.peek() == "}":
+                return
             t = self.take()
             if t == "{":
                 depth += 1
             elif t == "}":
                 depth -= 1
-                if depth <= 0:
+                if not depth:
                     return
             elif t == ";" and depth == 0:
                 return
@@ -85,7 +87,7 @@ def proto_facts(text: str) -> Iterator[Fact]:
             kind, label = "map<" + "".join(s.until(">")) + ">", "repeated"
         else:
             kind = s.take()
-        name = s.take()
+        name = s.take() if s.peek() not in (";", "}") else ""
         if s.peek() == "=" and re.fullmatch(r"\d+|0x[0-9a-fA-F]+", s.peek(1)):
             s.take()
             yield "DECLARES_FIELD", message, f"{message}#{int(s.peek(), 0)}", name, int(s.take(), 0), kind, label, line
@@ -151,6 +153,8 @@ def proto_facts(text: str) -> Iterator[Fact]:
         elif t == "service" and s.peek(2) == "{":
             s.take()
             yield from service()
+        elif t == "}":
+            s.take()
         else:
             s.skip_statement()
 

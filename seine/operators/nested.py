@@ -10,7 +10,8 @@ Defined behaviour
     * A bare object where a list is expected is a list of one.
     * A part written as JSON text (a string holding JSON) counts as the part, up to two levels of quoting.
     * A part of another type (number, list where an object is expected) gives no rows.
-    * Leaf values come out as written: strings unescaped, other values as their JSON text; JSON null is null.
+    * Leaf values come out as written: strings unescaped, other values as JSON text (fractions without trailing zeros); JSON null
+      is null.
     * Repeated records are independent; extra input columns are ignored unless named in ``keys``; a key column whose name
       clashes with a generated column raises ``ValueError``.
 """

@@ -283,7 +283,7 @@ def overflow_probe(spark, sf_dir):
     return P.overflow(table(spark, sf_dir, "g34").where("tier = 'exact'"), 500)
 
 
-@R.query("keyset_page_with_more", sql="SELECT site_id, registered_at, true AS has_more FROM (SELECT * FROM sites WHERE site_id > 'g3:' ORDER BY site_id, registered_at LIMIT 40)")
+@R.query("keyset_page_with_more", sql="SELECT site_id, registered_at, (SELECT count(*) > 40 FROM sites WHERE site_id > 'g3:') AS has_more FROM (SELECT * FROM sites WHERE site_id > 'g3:' ORDER BY site_id, registered_at LIMIT 40)")
 def keyset_page_with_more(spark, sf_dir):
     rows = table(spark, sf_dir, "sites").select("site_id", "registered_at")
     return P.page_with_more(rows.where("site_id > 'g3:'"), ["site_id", "registered_at"], 40)
@@ -294,7 +294,7 @@ def audit_page(spark, sf_dir):
     return P.offset_page(table(spark, sf_dir, "events"), [F.desc("ts"), F.desc("event_id")], 50, 25).select("event_id", "event_type", "user_id")
 
 
-@R.query("top_locations", sql="SELECT path, line, true AS truncated FROM (SELECT DISTINCT path, line FROM g34 WHERE path IS NOT NULL AND line IS NOT NULL ORDER BY path, line LIMIT 100)")
+@R.query("top_locations", sql="WITH d AS (SELECT DISTINCT path, line FROM g34 WHERE path IS NOT NULL AND line IS NOT NULL) SELECT path, line, (SELECT count(*) > 100 FROM d) AS truncated FROM d ORDER BY path, line LIMIT 100")
 def top_locations(spark, sf_dir):
     return P.smallest(table(spark, sf_dir, "g34").where("path IS NOT NULL AND line IS NOT NULL"), ["path", "line"], 100)
 

@@ -164,19 +164,18 @@ def revision_bound_search(spark, sf_dir):
 
 @R.query(
     "focused_unit_search",
-    sql=f"""WITH {_FILES_SQL} SELECT doc_id, path, CASE WHEN path = 'docs/tir' OR starts_with(path, 'docs/tir/') OR path = 'docs/kir' OR starts_with(path, 'docs/kir/') THEN 'primary' ELSE 'supporting' END AS unit_class
-    FROM files WHERE path IS NOT NULL AND (starts_with(path, 'docs/tir/') OR starts_with(path, 'docs/kir/') OR starts_with(path, 'docs/bol/'))
-      AND (regexp_matches(content, '(?i)atom') OR regexp_matches(p, '(?i)atom'))""",
+    sql=f"""WITH {_FILES_SQL} SELECT doc_id, path, CASE WHEN regexp_matches(path, '^docs/(kirhar|pargem)(/|$)') THEN 'primary' ELSE 'supporting' END AS unit_class
+    FROM files WHERE regexp_matches(path, '^docs(/|$)') AND (regexp_matches(content, '(?i)atom') OR regexp_matches(p, '(?i)atom'))""",
 )
 def focused_unit_search(spark, sf_dir):
-    unit = S.in_unit(files(spark, sf_dir), ["docs/tir", "docs/kir"], ["docs/bol"])
+    unit = S.in_unit(files(spark, sf_dir), ["docs/kirhar", "docs/pargem"], ["docs"])
     return S.matching(unit, "atom")[0].select("doc_id", "path", "unit_class")
 
 
 @R.query(
     "search_usage_event",
     sql=f"""WITH {_FILES_SQL}, hit AS (SELECT * FROM files WHERE contains(content, 'ArchiveQuota') OR contains(p, 'ArchiveQuota'))
-    SELECT array_to_string(list_sort(list(DISTINCT repo))[1:50], ',') AS repos, count(*) AS file_count FROM hit""",
+    SELECT coalesce(array_to_string(list_sort(list(DISTINCT repo))[1:50], ','), '') AS repos, count(*) AS file_count FROM hit""",
 )
 def search_usage_event(spark, sf_dir):
     return S.usage_event(S.matching(files(spark, sf_dir), "ArchiveQuota")[0]).select(F.array_join("repos", ",").alias("repos"), "file_count")
