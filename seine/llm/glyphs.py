@@ -73,8 +73,9 @@ def decompositions() -> dict[str, str]:
 
 @lru_cache(maxsize=1)
 def mark_classes() -> dict[str, int]:
-    """Canonical combining class of every mark that has one."""
-    return {chr(c): k for c in range(0x300, sys.maxunicode + 1) if (k := unicodedata.combining(chr(c)))}
+    """Canonical combining class of every mark that has one; the vowel and final of a Korean syllable follow all classes."""
+    marks = {chr(c): k for c in range(0x300, sys.maxunicode + 1) if (k := unicodedata.combining(chr(c)))}
+    return marks | {chr(c): 300 for c in range(0x1161, 0x1176)} | {chr(c): 301 for c in range(0x11A8, 0x11C3)}
 
 
 @lru_cache(maxsize=1)

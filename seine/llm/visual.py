@@ -23,7 +23,7 @@ from seine.llm.glyphs import FILLERS, LOOK_ALIKES, compositions, decompositions,
 from seine.runtime import broadcast_if_small, checkpoint
 
 #: Follows a base character in its cluster.
-_ATTACHED = r"[\p{M}\p{Cf}\x{1F3FB}-\x{1F3FF}" + FILLERS + r"]"
+_ATTACHED = r"[\p{M}\p{Cf}\x{1161}-\x{1175}\x{11A8}-\x{11C2}\x{FF9E}\x{FF9F}" + FILLERS + r"]"
 _CONTROL = r"[\x00-\x08\x0E-\x1F\x7F]"
 _PIECE = rf"(?:(?!{_CONTROL})[\x00-\x7F])+(?!{_ATTACHED})|[\s\S]{_ATTACHED}*"
 _PLAIN = r"^[\x09-\x0D\x20-\x7E]*$"
