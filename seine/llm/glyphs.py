@@ -71,29 +71,32 @@ def decompositions() -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def _composed() -> dict[str, str]:
+    """Full decomposition -> character, for every character that is its own composed form."""
+    out = {}
+    for code in range(0xC0, sys.maxunicode + 1):
+        char = chr(code)
+        mapping = unicodedata.decomposition(char)
+        if code in _HANGUL or (mapping and not mapping.startswith("<") and unicodedata.normalize("NFC", char) == char):
+            out[unicodedata.normalize("NFD", char)] = char
+    return out
+
+
 @lru_cache(maxsize=1)
 def mark_classes() -> dict[str, int]:
-    """Canonical combining class of every mark that has one; the vowel and final of a Korean syllable follow all classes."""
+    """Canonical combining class of every mark that has one; what joins a starter without a class follows all classes."""
     marks = {chr(c): k for c in range(0x300, sys.maxunicode + 1) if (k := unicodedata.combining(chr(c)))}
-    return marks | {chr(c): 300 for c in range(0x1161, 0x1176)} | {chr(c): 301 for c in range(0x11A8, 0x11C3)}
+    joining = {m for apart in _composed() for m in apart[1:] if m not in marks}
+    finals = {chr(c) for c in range(0x11A8, 0x11C3)}
+    return marks | {m: 301 if m in finals else 300 for m in joining}
 
 
 @lru_cache(maxsize=1)
 def compositions() -> dict[str, str]:
-    """Starter with marks -> the single character that stands for them, for every character that is its own composed form."""
-    out = {}
-    for code in range(0xC0, sys.maxunicode + 1):
-        char = chr(code)
-        if 0xD800 <= code <= 0xDFFF or not unicodedata.decomposition(char) or unicodedata.decomposition(char).startswith("<"):
-            continue
-        if code in _HANGUL or unicodedata.normalize("NFC", char) != char:
-            continue
-        apart = unicodedata.normalize("NFD", char)
-        if all(unicodedata.combining(m) for m in apart[1:]):
-            out[apart] = char
-    for code in _HANGUL:
-        out[unicodedata.normalize("NFD", chr(code))] = chr(code)
-    return out
+    """Starter with its marks in order of class -> the single character that stands for them."""
+    classes = mark_classes()
+    return {apart[0] + "".join(sorted(apart[1:], key=lambda m: classes.get(m, 0))): char for apart, char in _composed().items()}
 
 
 @lru_cache(maxsize=1)
