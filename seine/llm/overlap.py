@@ -26,8 +26,9 @@ from seine.runtime import checkpoint
 CHECKOUT_ROOTS = (r"^/+(?:workspace|workspaces|checkout|builds)/[^/]+/",)
 TYPOS = 2
 LINE_REACH = 3
-#: Lines per block; an evaluation row looks into each block within reach.
-LINE_BLOCK = 16
+#: Lines and characters per block; an evaluation row looks into each block within reach.
+LINE_BLOCK = 8
+SIZE_BLOCK = 8
 _GRAM = 3
 _UNIT = 4096
 
@@ -74,27 +75,33 @@ def cross_split_pairs(
         .select("*", F.md5(F.to_json(F.struct("side", "line", *same, "a", "b"))).alias("cid"))
     )
     # classes that have a counterpart block on the other side
-    near = F.when(F.col("side") == 1, F.array_distinct(F.array(*[F.floor((F.col("line") + d) / LINE_BLOCK) for d in (-LINE_REACH, LINE_REACH)]))).otherwise(F.array(F.floor(F.col("line") / LINE_BLOCK)))
-    blocks = F.transform(near, lambda n: F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")), n))
+    def near(value: Column, reach: int, width: int) -> Column:
+        """The slots within reach of an evaluation row's value; the one slot of a training row's."""
+        around = F.array_distinct(F.array(*[F.floor((value.cast("long") + d) / width) for d in (-reach, reach)]))
+        return F.when(F.col("side") == 1, around).otherwise(F.array(F.floor(value / width)))
+
+    lines, first_sizes, second_sizes = near(F.col("line"), LINE_REACH, LINE_BLOCK), near(F.char_length("a"), typos, SIZE_BLOCK), near(F.char_length("b"), typos, SIZE_BLOCK)
+    frame = F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")))
+    blocks = F.flatten(F.flatten(F.transform(lines, lambda n: F.transform(first_sizes, lambda x: F.transform(second_sizes, lambda y: F.xxhash64(frame, n, x, y))))))
     classes = rows.select("cid", "side", "line", "a", "b", blocks.alias("blocks")).dropDuplicates(["cid"])
     shared = classes.select("side", F.explode("blocks").alias("block")).groupBy("block").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("block")
     alive = classes.select("*", F.explode("blocks").alias("block")).join(shared, "block", "left_semi").groupBy("cid").agg(F.collect_set("block").alias("blocks"), *[F.first(c).alias(c) for c in ("side", "line", "a", "b")])
-    alive = checkpoint(alive)
+    alive = checkpoint(alive.withColumn("n", F.monotonically_increasing_id()))
 
     # weight of a term from the number of classes that hold it, and on which sides it has any
-    terms = alive.select("cid", "side", F.explode(F.concat(F.transform(_grams(F.col("a"), "a"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("field"))), F.transform(_grams(F.col("b"), "b"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("field"))))).alias("t")).select("cid", "side", "t.*")
+    terms = alive.select("n", "side", F.explode(F.concat(F.transform(_grams(F.col("a"), "a"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("field"))), F.transform(_grams(F.col("b"), "b"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("field"))))).alias("t")).select("n", "side", "t.*")
     holders = terms.groupBy("term").agg(F.count("*").alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
     square = F.greatest(F.lit(1), F.ceil(F.lit(_UNIT) / F.pow(1 + F.log(F.col("df")), 2))).cast("long")
-    weighted = terms.join(holders, "term").select("cid", "field", "term", square.alias("w"), (F.col("lo") < F.col("hi")).alias("met"))
-    vectors = weighted.groupBy("cid").agg(F.sort_array(F.collect_list(F.struct("w", "term", "field", "met")), asc=False).alias("v"))
+    weighted = terms.join(holders, "term").select("n", "field", "term", square.alias("w"), (F.col("lo") < F.col("hi")).alias("met"))
+    vectors = weighted.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("w", "term", "field", "met")), asc=False).alias("v"))
     lost = _GRAM * typos
 
     def heaviest(text: int) -> Column:
         return _sum(F.transform(F.slice(F.filter("v", lambda x: x["field"] == text), 1, lost), lambda x: x["w"]))
 
     vectors = vectors.select(
-        "cid", "v", (_sum(F.transform("v", lambda x: x["w"])) - heaviest(0) - heaviest(1)).alias("floor"), F.filter("v", lambda x: x["met"]).alias("met")
-    ).select("cid", "floor", "met", _sum(F.transform("met", lambda x: x["w"])).alias("reach"))
+        "n", "v", (_sum(F.transform("v", lambda x: x["w"])) - heaviest(0) - heaviest(1)).alias("floor"), F.filter("v", lambda x: x["met"]).alias("met")
+    ).select("n", "floor", "met", _sum(F.transform("met", lambda x: x["w"])).alias("reach"))
     vectors = vectors.where(F.col("reach") >= F.col("floor"))
     # heaviest terms until the rest weighs less than the floor; all of them, and the block's common term, if no floor is left
     budget = F.col("reach") - F.col("floor")
@@ -105,22 +112,22 @@ def cross_split_pairs(
     # a term and its weight in one number: the high bits name the term, the low bits hold the square
     packed = F.transform("met", lambda x: F.shiftleft(F.shiftright(x["term"], 16), 16) + x["w"])
     # classes without any trigram (both texts empty) have no vector and enter under the common term
-    full = alive.join(vectors.select("cid", "floor", prefix.alias("prefix"), packed.alias("packed")), "cid", "left")
+    full = alive.join(vectors.select("n", "floor", prefix.alias("prefix"), packed.alias("packed")), "n", "left")
     bare = (F.size(_grams(F.col("a"), "a")) + F.size(_grams(F.col("b"), "b"))) == 0
     full = full.where(F.col("floor").isNotNull() | bare).select(
-        "cid", "side", "line", "a", "b", "blocks", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), F.coalesce("prefix", F.array(F.lit(0).cast("long"))).alias("prefix"), F.coalesce("packed", F.array().cast("array<bigint>")).alias("packed")
+        "n", "cid", "side", "line", "a", "b", "blocks", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), F.coalesce("prefix", F.array(F.lit(0).cast("long"))).alias("prefix"), F.coalesce("packed", F.array().cast("array<bigint>")).alias("packed")
     )
     full = checkpoint(full)
 
-    lists = full.select("cid", "side", "line", F.char_length("a").alias("la"), F.char_length("b").alias("lb"), F.explode("blocks").alias("block"), "prefix").select("cid", "side", "line", "la", "lb", "block", F.explode("prefix").alias("term"))
+    lists = full.select("n", "side", "line", F.char_length("a").alias("la"), F.char_length("b").alias("lb"), F.explode("blocks").alias("block"), "prefix").select("n", "side", "line", "la", "lb", "block", F.explode("prefix").alias("term"))
     t, e = lists.where("side = 0").alias("t"), lists.where("side = 1").alias("e")
     close = (F.abs(F.col("t.line").cast("long") - F.col("e.line")) <= LINE_REACH) & (F.abs(F.col("t.la") - F.col("e.la")) <= typos) & (F.abs(F.col("t.lb") - F.col("e.lb")) <= typos)
-    candidates = t.join(e, (F.col("t.block") == F.col("e.block")) & (F.col("t.term") == F.col("e.term")) & close).select(F.col("t.cid").alias("tc"), F.col("e.cid").alias("ec")).distinct()
+    candidates = t.join(e, (F.col("t.block") == F.col("e.block")) & (F.col("t.term") == F.col("e.term")) & close).select(F.col("t.n").alias("tn"), F.col("e.n").alias("en")).distinct()
     parts = ["a", "b", "floor", "packed"]
-    left = full.where("side = 0").select(F.col("cid").alias("tc"), *[F.col(c).alias(f"t_{c}") for c in parts])
-    right = full.where("side = 1").select(F.col("cid").alias("ec"), *[F.col(c).alias(f"e_{c}") for c in parts])
+    left = full.where("side = 0").select(F.col("n").alias("tn"), F.col("cid").alias("tc"), *[F.col(c).alias(f"t_{c}") for c in parts])
+    right = full.where("side = 1").select(F.col("n").alias("en"), F.col("cid").alias("ec"), *[F.col(c).alias(f"e_{c}") for c in parts])
     dot = _sum(F.transform(F.array_intersect("t_packed", "e_packed"), lambda x: x.bitwiseAND(F.lit(0xFFFF))))
-    scored = candidates.join(left, "tc").join(right, "ec").where(dot >= F.greatest("t_floor", "e_floor"))
+    scored = candidates.join(left, "tn").join(right, "en").where(dot >= F.greatest("t_floor", "e_floor"))
     matched = scored.where((F.levenshtein("t_a", "e_a", typos) >= 0) & (F.levenshtein("t_b", "e_b", typos) >= 0)).select("tc", "ec")
 
     members = rows.select("cid", "row_id")
