@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.functions.scalars import parse_subject, under_prefix
+from seine.operators.analytics import set_digest
 from seine.vocab import PROTOCOLS
 
 
@@ -209,6 +210,5 @@ def unsupported_histogram(observations: DataFrame) -> DataFrame:
 
 
 def seal(items: DataFrame, name: str, digest: str) -> DataFrame:
-    """Manifest digest over (name, digest) pairs in order; signing happens elsewhere."""
-    line = F.concat_ws(" ", F.col(digest), F.col(name))
-    return items.agg(F.count("*").alias("items"), F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("manifest"))
+    """Manifest digest over (name, digest) pairs; signing happens elsewhere."""
+    return set_digest(items, F.concat_ws(" ", F.col(digest), F.col(name)), "items", "manifest")

@@ -10,20 +10,22 @@ from seine.vocab import COMPARISON_SAMPLES
 
 
 def compare_callers(old: DataFrame, new: DataFrame, key: str, unresolved: Column, sample: str, samples: int = COMPARISON_SAMPLES) -> DataFrame:
-    """Two caller sets by key: class, counts and the first samples of each side. Samples stay bounded while they are gathered."""
+    """Two caller sets by key: class, counts and the first samples of each side.
+
+    The samples are ranked apart from the counts, so the ranking keeps no more than ``samples`` rows of a key and side before
+    the shuffle, however hot the key.
+    """
     rows = old.withColumn("_new", F.lit(False)).unionByName(new.withColumn("_new", F.lit(True)))
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_new").orderBy(sample)))
+    is_new = F.col("_new")
+    counts = rows.groupBy(key).agg(F.count_if(~is_new).alias("old_count"), F.count_if(is_new).alias("new_count"), F.bool_or(F.coalesce(unresolved, F.lit(False))).alias("_open"))
+    ranked = rows.select(key, "_new", sample, F.row_number().over(Window.partitionBy(key, "_new").orderBy(sample)).alias("_n")).where(F.col("_n") <= samples)
 
     def first(side: Column) -> Column:
-        return F.array_sort(F.collect_list(F.when(side & (F.col("_n") <= samples), F.col(sample))))
+        return F.array_sort(F.collect_list(F.when(side, F.col(sample))))
 
-    is_new = F.col("_new")
-    kept = ranked.groupBy(key).agg(
-        F.count_if(~is_new).alias("old_count"), F.count_if(is_new).alias("new_count"), F.bool_or(F.coalesce(unresolved, F.lit(False))).alias("_open"),
-        first(~is_new).alias("old_samples"), first(is_new).alias("new_samples"),
-    )
+    shown = ranked.groupBy(F.col(key).alias("_key")).agg(first(~is_new).alias("old_samples"), first(is_new).alias("new_samples"))
     kind = F.when(F.col("_open"), "unresolved").when((F.col("old_count") > 0) & (F.col("new_count") > 0), "both_evidence").when(F.col("old_count") > 0, "old_only_evidence").otherwise("new_only_evidence")
-    return kept.withColumn("class", kind).drop("_open")
+    return counts.join(shown, F.col(key).eqNullSafe(F.col("_key"))).withColumn("class", kind).drop("_open", "_key")
 
 
 def compare_by_digest(before: DataFrame, after: DataFrame, digest: str) -> DataFrame:

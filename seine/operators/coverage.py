@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.functions.scalars import domain_digest
+from seine.operators.analytics import set_digest
 from seine.operators.evidence import latest_attempt, latest_published
 
 SCOPE = ["repo", "domain"]
@@ -45,7 +45,7 @@ def certificate(repos: DataFrame, domains: list[str], runs: DataFrame, failures:
 def fingerprint(rows: DataFrame) -> DataFrame:
     """Digest of a certificate: equal for equal content, whatever the order of its rows."""
     line = F.concat_ws("|", "repo", "domain", F.coalesce("run_id", F.lit("-")), "state")
-    return rows.agg(F.count("*").alias("cells"), domain_digest("coverage", F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("digest"))
+    return set_digest(rows, line, "cells", "digest", "coverage\0")
 
 
 def state_counts(rows: DataFrame) -> DataFrame:

@@ -207,14 +207,18 @@ def chunks(found: DataFrame, parsed: Parsed, context_lines: int = 0) -> DataFram
 
 
 def receipt(found: DataFrame, version: str = "path") -> DataFrame:
-    """Digest over the ordered citations, the number of files and the distinct repositories of a result."""
+    """Digest over the ordered citations, the number of files and the distinct repositories of a displayed result.
+
+    Citations are gathered, so ``found`` must be what :func:`search` returned (at most its display limit).
+    """
     cite = F.concat_ws("\t", F.coalesce("repo", F.lit("")), F.coalesce("path", F.lit("")), F.coalesce(F.col(version).cast("string"), F.lit("")))
     return found.agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list(cite)), "\n"), 256).alias("digest"), F.countDistinct("repo").alias("repositories"))
 
 
 def usage_event(found: DataFrame, cap: int = 50) -> DataFrame:
     """The repositories a search touched, sorted, at most ``cap``."""
-    return found.agg(F.slice(F.array_sort(F.collect_set("repo")), 1, cap).alias("repos"), F.count("*").alias("file_count"))
+    per_repo = found.groupBy("repo").agg(F.count("*").alias("n"))
+    return per_repo.agg(F.slice(F.array_sort(F.collect_set("repo")), 1, cap).alias("repos"), F.coalesce(F.sum("n"), F.lit(0)).alias("file_count"))
 
 
 def stream(found: DataFrame, max_matches: int, batch: int = 100) -> Iterator[list]:

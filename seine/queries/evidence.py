@@ -76,8 +76,9 @@ def coverage_state_counts(spark, sf_dir):
 
 @R.query(
     "coverage_fingerprint",
-    sql=f"""WITH {_CERTIFICATE_SQL}, lines AS (SELECT repo || '|' || domain || '|' || coalesce(run_id, '-') || '|' || state AS line FROM cells)
-    SELECT count(*) AS cells, sha256('coverage' || chr(0) || string_agg(line, chr(10) ORDER BY line)) AS digest FROM lines""",
+    sql=f"""WITH {_CERTIFICATE_SQL}, lines AS (SELECT repo || '|' || domain || '|' || coalesce(run_id, '-') || '|' || state AS line FROM cells),
+    per AS (SELECT substr(sha256(line), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM lines GROUP BY 1)
+    SELECT sum(n)::BIGINT AS cells, sha256('coverage' || chr(0) || string_agg(d, '' ORDER BY bucket)) AS digest FROM per""",
 )
 def coverage_fingerprint(spark, sf_dir):
     return C.fingerprint(_certificate(spark, sf_dir))
@@ -357,7 +358,7 @@ def publication_sums(spark, sf_dir):
 
 @R.query(
     "corpus_digest",
-    sql="""WITH m AS (SELECT doc_id AS k, text AS v, substr(sha256(doc_id::VARCHAR), 1, 2) AS bucket FROM documents WHERE text IS NOT NULL),
+    sql="""WITH m AS (SELECT doc_id AS k, text AS v, substr(sha256(doc_id::VARCHAR), 1, 3) AS bucket FROM documents WHERE text IS NOT NULL),
     per AS (SELECT bucket, count(*) AS n, sum(strlen(v)) AS bytes, sha256(string_agg(sha256(v), '' ORDER BY k)) AS d FROM m GROUP BY bucket)
     SELECT sum(n)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM per""",
 )

@@ -113,13 +113,12 @@ def search_chunks(spark, sf_dir):
 
 @R.query(
     "search_scope_receipt",
-    sql=f"""WITH {_FILES_SQL}, hit AS (SELECT * FROM files WHERE regexp_matches(content, '(?i)resolver entr') OR regexp_matches(p, '(?i)resolver entr'))
-    SELECT count(*) AS files, sha256(coalesce(string_agg(coalesce(repo, '') || chr(9) || p || chr(9) || doc_id::VARCHAR, chr(10)
-             ORDER BY coalesce(repo, '') || chr(9) || p || chr(9) || doc_id::VARCHAR), '')) AS digest, count(DISTINCT repo) AS repositories FROM hit""",
+    sql=f"""WITH {_FILES_SQL}, hit AS (SELECT *, ({_hits("content", "resolver entr", "(?i)")} + regexp_matches(p, '(?i)resolver entr')::INT)::BIGINT AS score FROM files WHERE regexp_matches(content, '(?i)resolver entr') OR regexp_matches(p, '(?i)resolver entr')),
+    top AS (SELECT coalesce(repo, '') || chr(9) || p || chr(9) || doc_id::VARCHAR AS cite, repo FROM hit {_TOP} LIMIT 500)
+    SELECT count(*) AS files, sha256(coalesce(string_agg(cite, chr(10) ORDER BY cite), '')) AS digest, count(DISTINCT repo) AS repositories FROM top""",
 )
 def search_scope_receipt(spark, sf_dir):
-    found, _ = S.matching(files(spark, sf_dir), '"resolver entr"')
-    return S.receipt(found, "doc_id")
+    return S.receipt(S.search(files(spark, sf_dir), '"resolver entr"', 500, "doc_id"), "doc_id")
 
 
 @R.query(

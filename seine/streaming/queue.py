@@ -61,7 +61,8 @@ def fair_claims(chunks: DataFrame, schedules: DataFrame, tokens_per_repo: int, l
     waiting = chunks.where("status = 'pending'").join(schedules, "schedule_id").join(busy, "repo", "left").withColumn("busy", F.coalesce("busy", F.lit(0)))
     order = [F.asc_nulls_first("last_claimed"), F.asc("schedule_id"), F.desc("priority"), F.asc("offset"), F.asc("attempt")]
     placed = waiting.withColumn("_n", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
-    return placed.where(F.col("_n") + F.col("busy") <= tokens_per_repo).orderBy(*order).limit(limit).drop("_n", "busy")
+    # the plain bound on the rank lets each task drop what can never be served before the shuffle
+    return placed.where(F.col("_n") <= tokens_per_repo).where(F.col("_n") + F.col("busy") <= tokens_per_repo).orderBy(*order).limit(limit).drop("_n", "busy")
 
 
 def chunked(schedules: DataFrame, total: str, size: int) -> DataFrame:
