@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seine.runtime import ship
+
 FACT_COLUMNS = "predicate string, subject string, object string, name string, number int, type string, label string, line int"
 _FACT_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
 _PROTO_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|[A-Za-z_][\w.]*|\.[A-Za-z_][\w.]*|-?\d[\w.]*|[{}()\[\];=<>,:\-+/]', re.S)
@@ -211,6 +213,7 @@ def extract_facts(files: DataFrame, key: str, content: str, reader: str) -> Data
     Null contents give no rows; a file that breaks the scanner gives one GAP row.
     """
     read = _READERS[reader]
+    ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

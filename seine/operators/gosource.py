@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seine.runtime import ship
+
 # Import paths of the recognised libraries
 SARAMA = ("github.com/IBM/sarama", "github.com/Shopify/sarama")
 SEGMENTIO = ("github.com/segmentio/kafka-go",)
@@ -166,6 +168,7 @@ def call_sites(source: str) -> Iterator[tuple]:
 
 
 def _scan(files: DataFrame, key: str, content: str, reader, columns: str, types: list[pa.DataType]) -> DataFrame:
+    ship(files.sparkSession)
     names = ["blob", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,6 +13,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from seine.runtime import ship
+
 KINDS = {"100644": "file", "100755": "file", "120000": "symlink", "160000": "submodule", "040000": "tree"}
 
 
@@ -137,5 +139,6 @@ class GitBlame(DataSource):
 
 
 def register(spark) -> None:
+    ship(spark)
     for source in (GitTree, GitLog, GitBlame):
         spark.dataSource.register(source)

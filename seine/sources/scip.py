@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.runtime import ship
+
 MAX_BYTES = 512 << 20
 SCHEMA = """index_path string, path string, language string,
 occurrences array<struct<symbol string, start_line int, start_col int, end_line int, end_col int, roles int, override_documentation string>>,
@@ -126,6 +128,7 @@ def documents(raw: bytes) -> Iterator[tuple]:
 
 def read(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Decoded documents of every index under ``path``; a file that is too large or malformed gives one row with ``error``."""
+    ship(spark)
     names = ["index_path", "path", "language", "occurrences", "symbols", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

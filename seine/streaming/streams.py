@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from seine.runtime import ship
+
 
 def revision_changes(polls: DataFrame) -> DataFrame:
     """Polls (repo, fingerprint, polled_at) whose fingerprint differs from the last one seen of their repository.
@@ -27,6 +29,7 @@ def revision_changes(polls: DataFrame) -> DataFrame:
         state.update((last,))
         yield pd.DataFrame(out, columns=["repo", "fingerprint", "polled_at"])
 
+    ship(polls.sparkSession)
     return polls.groupBy("repo").applyInPandasWithState(step, "repo string, fingerprint string, polled_at timestamp", "fingerprint string", "append", GroupStateTimeout.NoTimeout)
 
 
@@ -66,6 +69,7 @@ def job_states(events: DataFrame) -> DataFrame:
         state.update((status, attempts, refused + more))
         yield pd.DataFrame([(key[0], status, attempts, refused + more)], columns=["job_id", "status", "attempts", "refused"])
 
+    ship(events.sparkSession)
     schema = "job_id bigint, status string, attempts int, refused int"
     return events.groupBy("job_id").applyInPandasWithState(step, schema, "status string, attempts int, refused int", "update", GroupStateTimeout.NoTimeout)
 
