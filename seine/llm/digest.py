@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.runtime import broadcast_if_small, checkpoint
+from seine.runtime import broadcast_if_small, checkpoint, ship
 
 #: Centroids of a digest, and the largest rank error that an answer may have (or one row's rank, in groups of fewer rows).
 DELTA = 800
@@ -179,6 +179,7 @@ def _merge(batches: Iterator[pa.RecordBatch], delta: int) -> Iterator[pa.RecordB
 
 def merge_digests(digests: DataFrame, delta: int = DELTA, by_period: bool = False) -> DataFrame:
     """Merge digests of the same metric and group (and period): first within ``part`` modulo a fan, then over all."""
+    ship(digests.sparkSession)
     keys = ["metric", "grp", "period", "part"]
     out = digests if by_period else digests.withColumn("period", F.lit(None).cast("string"))
     for part in (F.pmod("part", F.lit(_FAN)).cast("int"), F.lit(0)):
@@ -198,12 +199,14 @@ def measurements(df: DataFrame, id_column: str, group: str, period: Column, metr
 
 def digests(values: DataFrame, metrics: list[str], delta: int = DELTA) -> DataFrame:
     """Partial digests, one per partition, period, group and metric."""
+    ship(values.sparkSession)
     return values.select("grp", "period", *metrics).mapInArrow(lambda it: _build(it, metrics, delta), _SCHEMA)
 
 
 def percentiles(merged: DataFrame, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
     """(metric, grp, period, xs) beside each digest: its answers, one for each of ``quantiles``."""
 
+    ship(merged.sparkSession)
     ps = np.asarray(quantiles)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from seine.llm.glyphs import LOOK_ALIKES, decompositions
+from seine.runtime import ship
 
 MIN_WORDS = 18
 #: Bytes of item text that one pass over the corpus is given.
@@ -225,6 +226,7 @@ def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = corpus.sparkSession
+    ship(spark)
     wanted = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("text is not null")
     docs = corpus.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("text is not null")
     total = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0

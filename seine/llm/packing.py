@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seine.runtime import checkpoint
+from seine.runtime import checkpoint, ship
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's publisher cuts text before merging.
@@ -43,6 +43,7 @@ def _encoding(vocabulary: bytes, pattern: str):
 
 def token_counts(df: DataFrame, id_column: str, text_column: str, tokenizer_path: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
     """(id, n_tokens): tokens of each text; the vocabulary (under 1 MB) travels as a broadcast."""
+    ship(df.sparkSession)
     with open(tokenizer_path, "rb") as f:
         vocabulary = df.sparkSession.sparkContext.broadcast(f.read())
     kind = df.schema[id_column].dataType
@@ -110,6 +111,7 @@ def pack(lengths: DataFrame, containers: DataFrame, kind: str, capacity: str, bi
     Columns: container_kind, capacity_tokens, container_id, id, piece, token_from, n_tokens.
     """
     id_type = lengths.schema["id"].dataType.simpleString()
+    ship(lengths.sparkSession)
     held = checkpoint(lengths)
     wanted = containers.select(F.col(kind).alias("container_kind"), F.col(capacity).cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct().limit(MAX_KINDS + 1).collect()
     if len(wanted) > MAX_KINDS:

@@ -77,7 +77,7 @@ def canonical_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame
     clusters = odd.select(F.explode(F.array_distinct(_pieces(F.col("text")))).alias("piece")).where(special).distinct()
     dictionary = broadcast_if_small(checkpoint(cluster_dictionary(clusters)))
     # the text is moved once, by id; exploding, looking up and rebuilding then stay inside its partition
-    moved = odd.select("id", "text", F.md5("text").alias("th")).repartition("id")
+    moved = odd.select("id", "text", F.md5("text").alias("th")).repartition("id", "th")
     looked_up = moved.dropDuplicates(["id", "th"]).select("id", "th", F.posexplode(_pieces(F.col("text"))).alias("pos", "piece")).join(dictionary, "piece", "left")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("form", "piece").alias("form")))), lambda x: x["form"])
     rebuilt = looked_up.groupBy("id", "th").agg(F.array_join(ordered, "").alias("canonical"))
