@@ -226,7 +226,7 @@ def exact_locator_join(spark, sf_dir):
 @R.query(
     "assertion_merge",
     sql="""WITH g AS (SELECT object, list_sort(list_distinct(list(path) FILTER (split = 'train' AND trim(path) <> ''))) AS s, list_sort(list_distinct(list(path) FILTER (split = 'dev' AND trim(path) <> ''))) AS c FROM g34 WHERE object IS NOT NULL GROUP BY object)
-    SELECT object, len(coalesce(s, [])) AS supports, len(coalesce(c, [])) AS contradicts, coalesce(array_to_string(s, '|'), '') AS supporting, list_has_any(coalesce(s, []), coalesce(c, [])) AS overlapping FROM g""",
+    SELECT object, len(coalesce(s, []))::INTEGER AS supports, len(coalesce(c, []))::INTEGER AS contradicts, coalesce(array_to_string(s, '|'), '') AS supporting, list_has_any(coalesce(s, []), coalesce(c, [])) AS overlapping FROM g""",
 )
 def assertion_merge(spark, sf_dir):
     g = table(spark, sf_dir, "g34").where("object IS NOT NULL")
@@ -368,7 +368,7 @@ def corpus_digest(spark, sf_dir):
 
 @R.query(
     "fair_schedule",
-    sql="""SELECT repo, domain, status, row_number() OVER (ORDER BY status = 'aborted', started_at NULLS FIRST, run_id) AS place FROM runs ORDER BY place LIMIT 100""",
+    sql="""SELECT repo, domain, status, row_number() OVER (ORDER BY status = 'aborted', started_at NULLS FIRST, run_id)::INTEGER AS place FROM runs ORDER BY place LIMIT 100""",
 )
 def fair_schedule(spark, sf_dir):
     from pyspark.sql import Window

@@ -59,7 +59,7 @@ def code_roles(spark, sf_dir):
 
 @R.query(
     "path_segments",
-    sql=r"""SELECT path, len(string_split(path, '/')) AS depth, (path <> '' AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AND NOT contains(path, chr(92))) AS valid, list_has_any(string_split(path, '/'), ['gen', 'integration']) AS special FROM (SELECT DISTINCT path FROM g34 WHERE path IS NOT NULL)""",
+    sql=r"""SELECT path, len(string_split(path, '/'))::INTEGER AS depth, (path <> '' AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AND NOT contains(path, chr(92))) AS valid, list_has_any(string_split(path, '/'), ['gen', 'integration']) AS special FROM (SELECT DISTINCT path FROM g34 WHERE path IS NOT NULL)""",
 )
 def path_segments(spark, sf_dir):
     p = F.col("path")
@@ -102,20 +102,20 @@ def camel_case(spark, sf_dir):
     return g.select(name.alias("name"), S.camel_case(name).alias("go_name")).distinct()
 
 
-@R.query("lexical_candidates", sql="SELECT DISTINCT object, object || '.Status' AS innermost, 'Status' AS outermost, len(string_split(object, '.')) + 1 AS tried FROM g34 WHERE predicate = 'SERVICE_REACHABLE_FROM_BINARY' AND object IS NOT NULL")
+@R.query("lexical_candidates", sql="SELECT DISTINCT object, object || '.Status' AS innermost, 'Status' AS outermost, (len(string_split(object, '.')) + 1)::INTEGER AS tried FROM g34 WHERE predicate = 'SERVICE_REACHABLE_FROM_BINARY' AND object IS NOT NULL")
 def lexical_candidates(spark, sf_dir):
     g = table(spark, sf_dir, "g34").where("predicate = 'SERVICE_REACHABLE_FROM_BINARY' AND object IS NOT NULL").select("object").distinct()
     c = S.lexical_candidates(F.col("object"), F.lit("Status"))
     return g.select("object", c[0].alias("innermost"), F.element_at(c, -1).alias("outermost"), F.size(c).alias("tried"))
 
 
-@R.query("text_slices", sql="SELECT doc_id, substr(text, 1, 80) AS head, length(text) > 80 AS truncated, strlen(text) AS bytes FROM documents WHERE text IS NOT NULL")
+@R.query("text_slices", sql="SELECT doc_id, substr(text, 1, 80) AS head, length(text) > 80 AS truncated, strlen(text)::INTEGER AS bytes FROM documents WHERE text IS NOT NULL")
 def text_slices(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return d.select("doc_id", S.truncated(F.col("text"), 80).alias("t"), F.octet_length("text").alias("bytes")).select("doc_id", F.col("t.text").alias("head"), "t.truncated", "bytes")
 
 
-@R.query("line_index", sql="WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: strlen(x)::BIGINT + 1) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(n) AS lines, (list_sum(n) - n[-1])::BIGINT AS last_start FROM l")
+@R.query("line_index", sql="WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: strlen(x)::BIGINT + 1) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(n)::INTEGER AS lines, (list_sum(n) - n[-1])::BIGINT AS last_start FROM l")
 def line_index(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     starts = S.line_starts(F.col("text"))
