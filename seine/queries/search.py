@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.plans import index as X
 from seine.plans import search as S
 from seine.plans.query_language import parse
 from seine.registry import Registry
@@ -187,3 +188,15 @@ def search_usage_event(spark, sf_dir):
 def content_atoms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     return docs.groupBy(F.sha2("text", 256).alias("blob")).agg(F.count("*").alias("placements"), F.countDistinct("repo").alias("repositories"), F.min("doc_id").alias("first_doc")).where("placements > 1")
+
+
+@R.query(
+    "search_trigram_index",
+    sql=f"""WITH {_FILES_SQL}
+    SELECT doc_id, repo, path, language, ({_hits("content", "settlement loop", "(?i)")} + regexp_matches(p, '(?i)settlement loop')::INT + {_hits("content", "Quota")} + contains(p, 'Quota')::INT)::BIGINT AS score FROM files
+    WHERE (regexp_matches(content, '(?i)settlement loop') OR regexp_matches(p, '(?i)settlement loop')) AND (contains(content, 'Quota') OR contains(p, 'Quota')) {_TOP} LIMIT 50""",
+)
+def search_trigram_index(spark, sf_dir):
+    """A search through a trigram index (built here; a service would publish it once per generation)."""
+    found = X.indexed_search(files(spark, sf_dir), X.build(files(spark, sf_dir), "doc_id"), "doc_id", '"settlement loop" Quota')
+    return found.select(*_COLUMNS)

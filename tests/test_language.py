@@ -84,3 +84,20 @@ def test_stream_keeps_one_budget(spark):
     batches = list(S.stream(found, 12, 5))
     assert sum(map(len, batches)) == 12 and max(map(len, batches)) <= 5
     assert sum(map(len, S.stream(found, 100, 10))) == 25
+
+
+def test_index_changes_nothing_but_the_work(spark, tmp_path):
+    from seine.plans import index as X
+    from seine.plans import search as S
+
+    words = ["alpha", "Beta", "gamma", "del", "İxaıſK", "ab"]
+    rows = [(i, f"r{i % 3}", f"d/{words[i % 6]}.go", "go", None if i % 11 == 0 else " ".join(words[(i * k) % 6] for k in range(1, 5))) for i in range(120)]
+    files = spark.createDataFrame(rows, "doc_id int, repo string, path string, language string, content string")
+    store = X.publish(files, "doc_id", str(tmp_path / "index"))
+    for raw in ("alpha", "Beta", "alpha -gamma", "(alpha or beta) del", "ab", "file:gamma alpha", "İx", "ixa", "ixaisk", "al.ha gamma", '"alpha beta"', "nothing"):
+        plain = [r["doc_id"] for r in S.search(files, raw, 100, "doc_id").collect()]
+        assert [r["doc_id"] for r in X.indexed_search(files, store.read(), "doc_id", raw, 100).collect()] == plain, raw
+    assert X.candidates(store.read(), "alpha").count() < 120 and X.candidates(store.read(), "a or b") is None
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = X.candidates(store.read(), "alpha")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(gram,alp)" in plan
