@@ -22,9 +22,9 @@ GRAM = 3
 
 def build(files: DataFrame, key: str) -> DataFrame:
     """(gram, key) of every file; null contents and paths count as empty."""
-    # folded as a case-insensitive pattern compares: by the lower case of the upper case
+    # the three letters that a case-insensitive pattern takes for an ASCII letter though their lower case is none
     raw = F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    text = F.lower(F.upper(F.translate(raw, "İ", "i")))
+    text = F.lower(F.translate(raw, "İıſ", "iis"))
     grams = let(F.split(text, ""), lambda a: F.when(F.size(a) >= GRAM, F.transform(F.sequence(F.lit(0), F.size(a) - GRAM), lambda i: F.concat(a[i], a[i + 1], a[i + 2]))))
     return files.select(F.col(key).alias("key"), F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "key")
 
