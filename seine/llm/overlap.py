@@ -17,10 +17,14 @@ their block; empty tables give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.runtime import checkpoint
+from seine.runtime import checkpoint, ship
 
 #: Checkout roots that may stand before a path.
 CHECKOUT_ROOTS = (r"^/+(?:workspace|workspaces|checkout|builds)/[^/]+/",)
@@ -29,6 +33,8 @@ LINE_REACH = 3
 #: Lines and characters per block; an evaluation row looks into each block within reach.
 LINE_BLOCK = 8
 SIZE_BLOCK = 8
+#: Distinct trigrams whose weights may be broadcast (20 bytes each).
+MAX_TERMS = 1_000_000
 _GRAM = 3
 _UNIT = 4096
 
@@ -63,38 +69,17 @@ def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
 
 
-def cross_split_pairs(
-    df: DataFrame, row_id: str, split: str, equal: list[str], first: str, second: str, line: str, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("dev", "holdout"), typos: int = TYPOS
-) -> DataFrame:
-    """(train_id, eval_id) for every pair across the splits whose texts are the same up to spelling and typos."""
-    same = [f"eq{i}" for i in range(len(equal))]
-    side = F.when(F.col(split).isin(*evaluation), 1).when(F.col(split).isin(*train), 0)
-    rows = (
-        df.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], spelling(F.col(first)).alias("a"), spelling(F.col(second)).alias("b"))
-        .dropna()
-        .select("*", F.md5(F.to_json(F.struct("side", "line", *same, "a", "b"))).alias("cid"))
-    )
-    # classes that have a counterpart block on the other side
-    def near(value: Column, reach: int, width: int) -> Column:
-        """The slots within reach of an evaluation row's value; the one slot of a training row's."""
-        around = F.array_distinct(F.array(*[F.floor((value.cast("long") + d) / width) for d in (-reach, reach)]))
-        return F.when(F.col("side") == 1, around).otherwise(F.array(F.floor(value / width)))
+def _square(df: Column) -> Column:
+    """Squared weight of a term held by ``df`` classes, as a whole number."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(_UNIT) / F.pow(1 + F.log(df), 2))).cast("long")
 
-    lines, first_sizes, second_sizes = near(F.col("line"), LINE_REACH, LINE_BLOCK), near(F.char_length("a"), typos, SIZE_BLOCK), near(F.char_length("b"), typos, SIZE_BLOCK)
-    frame = F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")))
-    blocks = F.flatten(F.flatten(F.transform(lines, lambda n: F.transform(first_sizes, lambda x: F.transform(second_sizes, lambda y: F.xxhash64(frame, n, x, y))))))
-    classes = rows.select("cid", "side", "line", "a", "b", blocks.alias("blocks")).dropDuplicates(["cid"])
-    shared = classes.select("side", F.explode("blocks").alias("block")).groupBy("block").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("block")
-    alive = classes.select("*", F.explode("blocks").alias("block")).join(shared, "block", "left_semi").groupBy("cid").agg(F.collect_set("block").alias("blocks"), *[F.first(c).alias(c) for c in ("side", "line", "a", "b")])
-    alive = checkpoint(alive.withColumn("n", F.monotonically_increasing_id()))
 
-    # weight of a term from the number of classes that hold it, and on which sides it has any
+def _vectors_joined(alive: DataFrame, lost: int) -> DataFrame:
+    """:func:`_vectors` for any number of terms: terms are exploded, counted and joined."""
     terms = alive.select("n", "side", F.explode(F.concat(F.transform(_grams(F.col("a"), "a"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("field"))), F.transform(_grams(F.col("b"), "b"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("field"))))).alias("t")).select("n", "side", "t.*")
     holders = terms.groupBy("term").agg(F.count("*").alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    square = F.greatest(F.lit(1), F.ceil(F.lit(_UNIT) / F.pow(1 + F.log(F.col("df")), 2))).cast("long")
-    weighted = terms.join(holders, "term").select("n", "field", "term", square.alias("w"), (F.col("lo") < F.col("hi")).alias("met"))
+    weighted = terms.join(holders, "term").select("n", "field", "term", _square(F.col("df")).alias("w"), (F.col("lo") < F.col("hi")).alias("met"))
     vectors = weighted.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("w", "term", "field", "met")), asc=False).alias("v"))
-    lost = _GRAM * typos
 
     def heaviest(text: int) -> Column:
         return _sum(F.transform(F.slice(F.filter("v", lambda x: x["field"] == text), 1, lost), lambda x: x["w"]))
@@ -114,20 +99,152 @@ def cross_split_pairs(
     # classes without any trigram (both texts empty) have no vector and enter under the common term
     full = alive.join(vectors.select("n", "floor", prefix.alias("prefix"), packed.alias("packed")), "n", "left")
     bare = (F.size(_grams(F.col("a"), "a")) + F.size(_grams(F.col("b"), "b"))) == 0
-    full = full.where(F.col("floor").isNotNull() | bare).select(
+    return full.where(F.col("floor").isNotNull() | bare).select(
         "n", "cid", "side", "line", "a", "b", "blocks", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), F.coalesce("prefix", F.array(F.lit(0).cast("long"))).alias("prefix"), F.coalesce("packed", F.array().cast("array<bigint>")).alias("packed")
     )
-    full = checkpoint(full)
+
+
+def _terms(texts: list[str], field: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) of every distinct trigram of each text, in order."""
+    marked = [f"^{t}$" if t else "" for t in texts]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(letters) < _GRAM:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    rows = np.repeat(np.arange(len(marked)), sizes)
+    # three code points of 21 bits and the text's bit make one number; the mixing step spreads numbers, one to one
+    grams = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    inside = rows[2:] == rows[:-2]
+    grams, rows = grams[inside], rows[:-2][inside]
+    with np.errstate(over="ignore"):
+        grams = (grams | np.uint64(field << 63)) * np.uint64(0x9E3779B97F4A7C15)
+        grams ^= grams >> np.uint64(29)
+        grams *= np.uint64(0xBF58476D1CE4E5B9)
+        grams ^= grams >> np.uint64(32)
+    terms = grams.view(np.int64)
+    order = np.lexsort((terms, rows))
+    terms, rows = terms[order], rows[order]
+    first = np.r_[True, (np.diff(terms) != 0) | (np.diff(rows) != 0)]
+    return rows[first], terms[first]
+
+
+def _both(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, field) over both texts of a batch."""
+    parts = [(*_terms(batch.column(c).to_pylist(), f), f) for f, c in ((0, "a"), (1, "b"))]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of the classes that hold each term, and the sides they are on."""
+    for batch in batches:
+        rows, terms, _ = _both(batch)
+        if len(terms):
+            side = batch.column("side").to_numpy(zero_copy_only=False)[rows]
+            order = np.argsort(terms, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(terms[order]) != 0])
+            counts = np.diff(np.r_[starts, len(terms)])
+            columns = [terms[order][starts], counts, np.minimum.reduceat(side[order], starts).astype(np.int32), np.maximum.reduceat(side[order], starts).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "df", "lo", "hi"])
+
+
+def _starts(group: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(group) else np.empty(0, np.int64)
+
+
+def _within(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sum of the earlier values of the same run of equal groups."""
+    before = np.cumsum(values) - values
+    starts = _starts(group)
+    return before - np.repeat(before[starts], np.diff(np.r_[starts, len(group)]))
+
+
+def _vector_batches(batches: Iterator[pa.RecordBatch], known: np.ndarray, squares: np.ndarray, met: np.ndarray, lost: int) -> Iterator[pa.RecordBatch]:
+    """The rows with their floor, the terms they are entered under, and their packed vector."""
+    for batch in batches:
+        n = batch.num_rows
+        rows, terms, fields = _both(batch)
+        at = np.searchsorted(known, terms)
+        w, shared = squares[at], met[at]
+        total = np.bincount(rows, w, n).astype(np.int64)
+        order = np.lexsort((-w, fields, rows))
+        heavy = _within((rows * 2 + fields)[order], np.ones(len(rows), np.int64)) < lost
+        floor = total - np.bincount(rows[order][heavy], w[order][heavy], n).astype(np.int64)
+        rows, terms, w = rows[shared], terms[shared], w[shared]
+        reach = np.bincount(rows, w, n).astype(np.int64)
+        order = np.lexsort((-terms, -w, rows))
+        rows, terms, w = rows[order], terms[order], w[order]
+        entered = _within(rows, w) <= (reach - floor)[rows]
+        # a class without a floor is entered under the common term of its block as well
+        at_common = np.flatnonzero(floor <= 0)
+        p_rows, p_terms = np.r_[rows[entered], at_common], np.r_[terms[entered], np.zeros(len(at_common), np.int64)]
+        order = np.argsort(p_rows, kind="stable")
+        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(p_rows, minlength=n))].astype(np.int32)), pa.array(p_terms[order]))
+        packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array(((terms >> 16) << 16) + w))
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), prefix, packed], names=[*batch.schema.names, "floor", "prefix", "packed"])
+        yield out.filter(pa.array(reach >= floor))
+
+
+def _vectors(alive: DataFrame, lost: int, max_terms: int) -> DataFrame:
+    """Classes with ``floor``, ``prefix`` (terms entered in the inverted lists) and ``packed`` (term and square in one number).
+
+    Term counts are summed in each batch before the shuffle. If the terms number at most ``max_terms`` their weights are broadcast
+    and the vectors built where the classes are; otherwise everything is joined by term.
+    """
+    ship(alive.sparkSession)
+    wanted = alive.select("n", "cid", "side", "line", "a", "b", "blocks")
+    counted = wanted.select("a", "b", "side").mapInArrow(_holders, "term bigint, df bigint, lo int, hi int")
+    holders = checkpoint(counted.groupBy("term").agg(F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("term", _square(F.col("df")).alias("w"), (F.col("lo") < F.col("hi")).alias("met")))
+    if holders.limit(max_terms + 1).count() > max_terms:
+        return _vectors_joined(wanted, lost)
+    table = holders.toArrow()
+    order = np.argsort(table["term"].to_numpy())
+    held = alive.sparkSession.sparkContext.broadcast((table["term"].to_numpy()[order], table["w"].to_numpy()[order], table["met"].to_numpy()[order]))
+    return wanted.mapInArrow(
+        lambda it: _vector_batches(it, *held.value, lost),
+        "n bigint, cid string, side int, line int, a string, b string, blocks array<bigint>, floor bigint, prefix array<bigint>, packed array<bigint>",
+    )
+
+
+def cross_split_pairs(
+    df: DataFrame, row_id: str, split: str, equal: list[str], first: str, second: str, line: str, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("dev", "holdout"), typos: int = TYPOS, max_terms: int = MAX_TERMS
+) -> DataFrame:
+    """(train_id, eval_id) for every pair across the splits whose texts are the same up to spelling and typos."""
+    same = [f"eq{i}" for i in range(len(equal))]
+    side = F.when(F.col(split).isin(*evaluation), 1).when(F.col(split).isin(*train), 0)
+    rows = (
+        df.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], spelling(F.col(first)).alias("a"), spelling(F.col(second)).alias("b"))
+        .dropna()
+        .select("*", F.md5(F.to_json(F.struct("side", "line", *same, "a", "b"))).alias("cid"))
+    )
+    # classes that have a counterpart block on the other side
+    def near(value: Column, reach: int, width: int) -> Column:
+        """The slots within reach of an evaluation row's value; the one slot of a training row's."""
+        around = F.array_distinct(F.array(*[F.floor((value.cast("long") + d) / width) for d in (-reach, reach)]))
+        return F.when(F.col("side") == 1, around).otherwise(F.array(F.floor(value / width)))
+
+    lines, first_sizes, second_sizes = near(F.col("line"), LINE_REACH, LINE_BLOCK), near(F.char_length("a"), typos, SIZE_BLOCK), near(F.char_length("b"), typos, SIZE_BLOCK)
+    frame = F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")))
+    blocks = F.flatten(F.flatten(F.transform(lines, lambda n: F.transform(first_sizes, lambda x: F.transform(second_sizes, lambda y: F.xxhash64(frame, n, x, y))))))
+    classes = rows.select("cid", "side", "line", "a", "b", blocks.alias("blocks")).dropDuplicates(["cid"])
+    shared = classes.select("side", F.explode("blocks").alias("block")).groupBy("block").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("block")
+    alive = classes.select("*", F.explode("blocks").alias("block")).join(shared, "block", "left_semi").groupBy("cid").agg(F.collect_set("block").alias("blocks"), *[F.first(c).alias(c) for c in ("side", "line", "a", "b")])
+    alive = checkpoint(alive.withColumn("n", F.monotonically_increasing_id()))
+
+    full = checkpoint(_vectors(alive, _GRAM * typos, max_terms))
 
     lists = full.select("n", "side", "line", F.char_length("a").alias("la"), F.char_length("b").alias("lb"), F.explode("blocks").alias("block"), "prefix").select("n", "side", "line", "la", "lb", "block", F.explode("prefix").alias("term"))
     t, e = lists.where("side = 0").alias("t"), lists.where("side = 1").alias("e")
     close = (F.abs(F.col("t.line").cast("long") - F.col("e.line")) <= LINE_REACH) & (F.abs(F.col("t.la") - F.col("e.la")) <= typos) & (F.abs(F.col("t.lb") - F.col("e.lb")) <= typos)
     candidates = t.join(e, (F.col("t.block") == F.col("e.block")) & (F.col("t.term") == F.col("e.term")) & close).select(F.col("t.n").alias("tn"), F.col("e.n").alias("en")).distinct()
-    parts = ["a", "b", "floor", "packed"]
-    left = full.where("side = 0").select(F.col("n").alias("tn"), F.col("cid").alias("tc"), *[F.col(c).alias(f"t_{c}") for c in parts])
-    right = full.where("side = 1").select(F.col("n").alias("en"), F.col("cid").alias("ec"), *[F.col(c).alias(f"e_{c}") for c in parts])
-    dot = _sum(F.transform(F.array_intersect("t_packed", "e_packed"), lambda x: x.bitwiseAND(F.lit(0xFFFF))))
-    scored = candidates.join(left, "tn").join(right, "en").where(dot >= F.greatest("t_floor", "e_floor"))
+    def weight(packed: Column) -> Column:
+        return _sum(F.transform(packed, lambda x: x.bitwiseAND(F.lit(0xFFFF))))
+
+    # numbers of two terms of one vector may meet in their high bits; the floor gives way by what an intersection would lose
+    sure = (F.col("floor") - weight(F.col("packed")) + weight(F.array_distinct("packed"))).alias("sure")
+    left = full.where("side = 0").select(F.col("n").alias("tn"), F.col("cid").alias("tc"), F.col("a").alias("t_a"), F.col("b").alias("t_b"), F.col("packed").alias("t_packed"), sure.alias("t_sure"))
+    right = full.where("side = 1").select(F.col("n").alias("en"), F.col("cid").alias("ec"), F.col("a").alias("e_a"), F.col("b").alias("e_b"), F.col("packed").alias("e_packed"), sure.alias("e_sure"))
+    dot = weight(F.array_intersect("t_packed", "e_packed"))
+    scored = candidates.join(left, "tn").join(right, "en").where(dot >= F.greatest("t_sure", "e_sure"))
     matched = scored.where((F.levenshtein("t_a", "e_a", typos) >= 0) & (F.levenshtein("t_b", "e_b", typos) >= 0)).select("tc", "ec")
 
     members = rows.select("cid", "row_id")

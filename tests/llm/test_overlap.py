@@ -11,8 +11,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash", 7, "clash") for r in rows], SCHEMA)
 
 
-def pairs(spark, rows):
-    df = cross_split_pairs(frame(spark, rows), "row_id", "split", ["system", "predicate"], "path", "object", "line")
+def pairs(spark, rows, **options):
+    df = cross_split_pairs(frame(spark, rows), "row_id", "split", ["system", "predicate"], "path", "object", "line", **options)
     out = [tuple(r) for r in df.collect()]
     assert len(out) == len(set(out))
     return set(out)
@@ -61,7 +61,7 @@ def test_words_lines_digits_and_sides(spark):
 def test_short_empty_and_long_texts(spark):
     long = "x" * 2_000
     rows = [(1, "train", "s", "P", "ab", "c", 1), (2, "dev", "s", "P", "a", "", 1), (3, "dev", "s", "P", "abcde", "c", 1), (4, "train", "s", "P", "", "", 5), (5, "dev", "s", "P", "/", " ", 5), (6, "train", "s", "P", long, "k", 9), (7, "dev", "s", "P", long + "yy", "k", 9), (8, "dev", "s", "P", long + "yyz", "k", 9)]
-    assert pairs(spark, rows) == {(1, 2), (4, 5), (6, 7)} == brute(spark, rows)
+    assert pairs(spark, rows) == {(1, 2), (4, 5), (6, 7)} == brute(spark, rows) == pairs(spark, rows, max_terms=0)
 
 
 def test_random_typos_against_brute_force(spark):
@@ -81,6 +81,7 @@ def test_random_typos_against_brute_force(spark):
     rows = [(i, rng.choice(["train", "dev", "holdout"]), rng.choice("st"), "P", typo(p), typo(o), rng.randint(1, 12)) for i in range(500) for p, o in [rng.choice(base)]]
     expected = brute(spark, rows)
     assert pairs(spark, rows) == expected and len(expected) > 100
+    assert pairs(spark, rows, max_terms=10) == expected
 
 
 def test_empty_table(spark):
