@@ -216,6 +216,9 @@ def cross_split_pairs(
         .dropna()
         .select("*", F.md5(F.to_json(F.struct("side", "line", *same, "a", "b"))).alias("cid"))
     )
+    # read three times below: for the blocks, the classes and their rows
+    rows = checkpoint(rows)
+
     # classes that have a counterpart block on the other side
     def near(value: Column, reach: int, width: int) -> Column:
         """The slots within reach of an evaluation row's value; the one slot of a training row's."""
