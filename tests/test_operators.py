@@ -321,3 +321,14 @@ def test_scalars(spark):
     with pytest.raises(Exception, match="unexpected detail schema"):
         get(S.tagged_detail(F.lit('{"schema":"x"}'), "y", "k int"))
     assert 5 <= S.jittered(10, 0.0) <= S.jittered(10, 0.5) == 10
+
+
+def test_table_functions_in_sql(spark):
+    from seine.functions import udtf
+
+    udtf.register(spark)
+    spark.createDataFrame([(1, PROTO), (2, None)], "id int, content string").createOrReplaceTempView("udtf_files")
+    rows = spark.sql("SELECT f.id, x.object FROM udtf_files f, LATERAL proto_facts(f.content) x WHERE x.predicate = 'DECLARES_OPERATION'").collect()
+    assert sorted(tuple(r) for r in rows) == [(1, "/a.b.Svc/Get"), (1, "/a.b.Svc/Put")]
+    spark.createDataFrame([(GO,)], "content string").createOrReplaceTempView("udtf_go")
+    assert spark.sql("SELECT topic FROM udtf_go, LATERAL kafka_sites(content) WHERE topic = 'orders'").count() == 1
