@@ -117,6 +117,11 @@ def under_prefix(path: Column, prefix: Column | str) -> Column:
     return (path == p) | path.startswith(F.concat(p, F.lit("/")))
 
 
+# Headers that mark generated code and mocks
+MOCK_HEADER = r"Code generated by (MockGen|mockery|counterfeiter)"
+GENERATED_HEADER = r"(?m)^(//|#).*(Code generated .* DO NOT EDIT|Autogenerated by Thrift Compiler)"
+
+
 def code_role(path: Column, content: Column) -> Column:
     """vendor > mock > generated > test > production; headers count within the first 4,096 characters."""
     head = F.substring(content, 1, 4096)
@@ -124,8 +129,8 @@ def code_role(path: Column, content: Column) -> Column:
     mock_name = name.rlike(r"^(mock|fake)_") | name.rlike(r"_(mock|fake)(_test)?\.go$")
     return (
         F.when(has_segment(path, "vendor"), "vendor")
-        .when(head.rlike(r"(?m)^// Code generated by (MockGen|mockery|counterfeiter)") | has_segment(path, "mock", "mocks", "mocksgen", "fake", "fakes") | mock_name, "mock")
-        .when(head.rlike(r"(?m)^// Code generated .* DO NOT EDIT\.$"), "generated")
+        .when(head.rlike(MOCK_HEADER) | has_segment(path, "mock", "mocks", "mocksgen", "fake", "fakes") | mock_name, "mock")
+        .when(head.rlike(GENERATED_HEADER), "generated")
         .when(path.endswith("_test.go") | has_segment(path, "tests", "testing", "testdata"), "test")
         .otherwise("production")
     )
@@ -180,10 +185,9 @@ def valid_topic(topic: Column) -> Column:
 
 
 def camel_case(name: Column) -> Column:
-    """Exported Go name of a contract field: an underscore before a lower-case letter is dropped and the letter raised."""
-    led = F.when(name.startswith("_"), F.concat(F.lit("X_"), F.substring(name, 2, 1 << 20))).otherwise(name)
-    parts = F.split(led, "_(?=[a-z])")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, 2, 1 << 20))), "")
+    """Go name of a contract field: underscores go, and a lower-case ASCII letter that begins a part is raised."""
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.translate(F.substring(p, 1, 1), lower, upper), F.substring(p, 2, 1 << 20))), "")
 
 
 def lexical_candidates(scope: Column, name: Column) -> Column:

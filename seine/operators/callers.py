@@ -51,7 +51,7 @@ def contract_problems(records: DataFrame) -> DataFrame:
         "resolved_without_target": ~unresolved & F.col("operation").isNull(),
         "unresolved_tier_mismatch": unresolved != (F.col("tier") == "unresolved"),
         "unknown_role": ~F.col("code_role").isin("production", "test", "mock", "generated", "vendor"),
-        "bad_span": parse_subject(F.col("subject"))["path"].isNull() | (parse_subject(F.col("subject"))["start_line"] > parse_subject(F.col("subject"))["end_line"]),
+        "bad_span": parse_subject(F.col("subject"))["path"].isNull() | (parse_subject(F.col("subject"))["start_line"] >= parse_subject(F.col("subject"))["end_line"]),
     }
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     return records.select("caller_id", F.explode(found).alias("problem"))

@@ -45,7 +45,7 @@ def caller_record_counts(spark, sf_dir):
     sql="""SELECT row_id AS caller_id, unnest(list_filter([CASE WHEN object IS NULL THEN 'resolved_without_target' END, CASE WHEN path IS NULL OR line IS NULL THEN 'bad_span' END], lambda x: x IS NOT NULL)) AS problem FROM g34""",
 )
 def caller_contract_problems(spark, sf_dir):
-    span = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("start_line").cast("string"))
+    span = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), (F.col("start_line") + 1).cast("string"))
     rows = _callers(spark, sf_dir).withColumn("subject", F.coalesce(span, F.lit("nowhere"))).withColumn("code_role", F.coalesce("code_role", F.lit("production")))
     return C.contract_problems(rows)
 

@@ -86,7 +86,7 @@ def test_units_leaves_and_records(spark):
     f = spark.createDataFrame([("t", "test", "supported"), ("o", "production", "oversized"), ("n", "production", "supported"), ("f", "production", "supported")], "path string, role string, lane string")
     facts = spark.createDataFrame([("f",), ("f",), ("t",)], "path string")
     assert {(r["path"], r["outcome"], r["facts"]) for r in C.leaf_outcomes(f, facts).collect()} == {("t", "excluded_test", 0), ("o", "abstained_oversized", 0), ("n", "no_direct_caller", 0), ("f", "facts", 2)}
-    records = spark.createDataFrame([("1", "CALLS_OPERATION", None, "exact", "production", "p:1-2"), ("2", "UNRESOLVED_CALLER", None, "unresolved", "odd", "p:3-2"), ("3", "CALLS_OPERATION", "/S/m", "exact", "test", "p:1-1")], "caller_id string, predicate string, operation string, tier string, code_role string, subject string")
+    records = spark.createDataFrame([("1", "CALLS_OPERATION", None, "exact", "production", "p:1-2"), ("2", "UNRESOLVED_CALLER", None, "unresolved", "odd", "p:3-3"), ("3", "CALLS_OPERATION", "/S/m", "exact", "test", "p:1-4")], "caller_id string, predicate string, operation string, tier string, code_role string, subject string")
     assert {tuple(r) for r in C.contract_problems(records).collect()} == {("1", "resolved_without_target"), ("2", "unknown_role"), ("2", "bad_span")}
     callers = spark.createDataFrame([("1", "a/b", [("u", "o")])], "caller_id string, path string, units array<struct<unit string, owner string>>")
     assert C.filter_callers(callers, "a", unit="u", owner="o").count() == 1 and C.filter_callers(callers, "a", unit="u", owner="x").count() == 0

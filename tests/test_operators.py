@@ -306,7 +306,7 @@ def test_call_projection_classes(spark):
 def test_scalars(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("v")).first()["v"]
-    assert get(S.camel_case(F.lit("_id_of_thing2"))) == "XIdOfThing2"
+    assert get(S.camel_case(F.lit("_id_of_thing2_éa"))) == "IdOfThing2éa"
     assert get(S.lexical_candidates(F.lit("a.b"), F.lit("C"))) == ["a.b.C", "a.C", "C"] and get(S.lexical_candidates(F.lit(""), F.lit(".x.Y"))) == ["x.Y"]
     assert get(S.repo_name(F.lit("git@h.example:o/n.git"))) == "h.example/o/n" and get(S.repo_name(F.lit("nonsense"))) is None
     assert get(S.ancestors(F.lit("a/b/c"))) == ["a", "a/b", "a/b/c"]
@@ -317,6 +317,7 @@ def test_scalars(spark):
     assert get(S.canonical_set(F.array(F.lit("b"), F.lit(" "), F.lit("a"), F.lit("b")))) == ["a", "b"]
     assert S.glob_regex("a*[x-z]?.go") == "^a[^/]*[x-z][^/]\\.go$"
     assert get(S.code_role(F.lit("a/b.go"), F.lit("// Code generated by x. DO NOT EDIT.\n"))) == "generated"
+    assert get(S.code_role(F.lit("a/b.go"), F.lit("x\n# Autogenerated by Thrift Compiler (1)\n"))) == "generated" and get(S.code_role(F.lit("a/b.go"), F.lit("/* Code generated by MockGen. */"))) == "mock"
     assert get(S.code_role(F.lit("a/mocks/b.go"), F.lit(""))) == "mock" and get(S.code_role(F.lit("vendor/mock_x.go"), F.lit(""))) == "vendor"
     with pytest.raises(Exception, match="unexpected detail schema"):
         get(S.tagged_detail(F.lit('{"schema":"x"}'), "y", "k int"))
