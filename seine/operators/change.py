@@ -28,6 +28,29 @@ def compare_callers(old: DataFrame, new: DataFrame, key: str, unresolved: Column
     return counts.join(shown, F.col(key).eqNullSafe(F.col("_key"))).withColumn("class", kind).drop("_open", "_key")
 
 
+def caller_identities(rows: DataFrame, level: str) -> DataFrame:
+    """Adds ``key`` and ``unresolved``, the identity under which a caller row is compared.
+
+    ``rows``: repo, commit, path, start_line, end_line, predicate, unit_state, units (array of id, metadata). At level ``occurrence``
+    the key is the place. At level ``unit`` it is the unit, for resolved rows with exactly one candidate; any other row, and a row
+    whose candidate differs from the first one seen of that unit, is kept apart under its own unresolved place.
+    """
+    if level not in ("occurrence", "unit"):
+        raise ValueError("level is occurrence or unit")
+    place = F.concat(F.col("repo"), F.lit("@"), F.col("commit"), F.lit(":"), F.col("path"), F.lit(":"), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    resolved = F.col("predicate") == "CALLS_OPERATION"
+    placed = rows.withColumn("_place", place)
+    if level == "occurrence":
+        return placed.withColumn("key", F.concat(F.lit("occurrence|"), "_place")).withColumn("unresolved", ~resolved).drop("_place")
+    one = resolved & (F.col("unit_state") == "resolved") & (F.size("units") == 1)
+    # repository and unit are parted by a character that neither holds
+    marked = placed.withColumn("_unit", F.when(one, F.concat(F.lit("unit|"), "repo", F.lit("\0"), F.col("units")[0]["id"]))).withColumn("_meta", F.when(one, F.col("units")[0]["metadata"]))
+    first = marked.where("_unit IS NOT NULL").groupBy(F.col("_unit").alias("_u")).agg(F.min_by("_meta", "_place").alias("_first"))
+    known = marked.join(first, F.col("_unit") == F.col("_u"), "left")
+    held = F.coalesce(F.col("_unit").isNotNull() & F.col("_meta").eqNullSafe(F.col("_first")), F.lit(False))
+    return known.withColumn("key", F.when(held, F.col("_unit")).otherwise(F.concat(F.lit("unresolved|"), "_place"))).withColumn("unresolved", ~held).drop("_place", "_unit", "_meta", "_u", "_first")
+
+
 def compare_by_digest(before: DataFrame, after: DataFrame, digest: str) -> DataFrame:
     """(digest, change) over two generations: added, removed, unchanged."""
     b, a = before.select(F.col(digest).alias("bd")).distinct(), after.select(F.col(digest).alias("ad")).distinct()
@@ -43,13 +66,13 @@ CAUSES = {
 
 
 def noncomparability(before: str, after: str, failed: Column, stale: Column) -> Column:
-    """Causes, from two structs of digests (keys of ``CAUSES``) and ``universe`` lists. Empty means comparable."""
+    """Causes in alphabetical order, from two structs of digests (keys of ``CAUSES``) and ``universe`` lists. Empty means comparable."""
     b, a = F.col(before), F.col(after)
     causes = [F.when(~b[k].eqNullSafe(a[k]), F.lit(v)) for k, v in CAUSES.items()]
     grown, shrunk = is_subset(b["universe"], a["universe"]), is_subset(a["universe"], b["universe"])
     causes.append(F.when(grown & shrunk, None).when(grown, "scope_expanded").when(shrunk, "scope_narrowed").otherwise("unknown_cause"))
     causes += [F.when(failed, F.lit("analysis_failed")), F.when(stale, F.lit("input_stale"))]
-    return F.array_compact(F.array(*causes))
+    return F.array_sort(F.array_compact(F.array(*causes)))
 
 
 def consumer_delta(before: DataFrame, after: DataFrame, key: str, comparable: Column | bool = True) -> DataFrame:

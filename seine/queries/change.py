@@ -160,9 +160,9 @@ def disposition_chain_check(spark, sf_dir):
 @R.query(
     "noncomparability_causes",
     sql="""WITH r AS (SELECT repo, min(status) AS s1, max(status) AS s2, list_sort(list_distinct(list(domain) FILTER (started_at < '2025-10-01'::TIMESTAMPTZ))) AS u1, list_sort(list_distinct(list(domain) FILTER (started_at >= '2025-10-01'::TIMESTAMPTZ))) AS u2 FROM runs GROUP BY repo)
-    SELECT repo, array_to_string(list_filter([CASE WHEN s1 <> s2 THEN 'pack_or_rule_changed' END,
+    SELECT repo, array_to_string(list_sort(list_filter([CASE WHEN s1 <> s2 THEN 'pack_or_rule_changed' END,
       CASE WHEN len(list_filter(coalesce(u1, []), lambda x: NOT list_contains(coalesce(u2, []), x))) = 0 THEN CASE WHEN len(list_filter(coalesce(u2, []), lambda x: NOT list_contains(coalesce(u1, []), x))) = 0 THEN NULL ELSE 'scope_expanded' END
-           WHEN len(list_filter(coalesce(u2, []), lambda x: NOT list_contains(coalesce(u1, []), x))) = 0 THEN 'scope_narrowed' ELSE 'unknown_cause' END], lambda x: x IS NOT NULL), ',') AS causes FROM r""",
+           WHEN len(list_filter(coalesce(u2, []), lambda x: NOT list_contains(coalesce(u1, []), x))) = 0 THEN 'scope_narrowed' ELSE 'unknown_cause' END], lambda x: x IS NOT NULL)), ',') AS causes FROM r""",
 )
 def noncomparability_causes(spark, sf_dir):
     cut = F.lit("2025-10-01 00:00:00").cast("timestamp")

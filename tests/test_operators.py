@@ -333,3 +333,16 @@ def test_table_functions_in_sql(spark):
     assert sorted(tuple(r) for r in rows) == [(1, "/a.b.Svc/Get"), (1, "/a.b.Svc/Put")]
     spark.createDataFrame([(GO,)], "content string").createOrReplaceTempView("udtf_go")
     assert spark.sql("SELECT topic FROM udtf_go, LATERAL kafka_sites(content) WHERE topic = 'orders'").count() == 1
+
+
+def test_caller_identities(spark):
+    rows = [
+        (1, "r:1", "c", "a.go", 1, 2, "CALLS_OPERATION", "resolved", [("u", "m")]), (2, "r:1", "c", "b.go", 1, 2, "CALLS_OPERATION", "resolved", [("u", "m")]), (3, "r:1", "c", "c.go", 1, 2, "CALLS_OPERATION", "resolved", [("u", "other")]),
+        (4, "r:1", "c", "d.go", 1, 2, "CALLS_OPERATION", "resolved", [("u", "m"), ("v", "m")]), (5, "r:1", "c", "e.go", 1, 2, "UNRESOLVED_CALLER", "resolved", [("u", "m")]), (6, "r", "c", "a.go", 1, 2, "CALLS_OPERATION", "resolved", [("1u", "m")]),
+    ]
+    df = spark.createDataFrame(rows, "n int, repo string, commit string, path string, start_line int, end_line int, predicate string, unit_state string, units array<struct<id string, metadata string>>")
+    units = {r["n"]: (r["key"], r["unresolved"]) for r in change.caller_identities(df, "unit").collect()}
+    assert units[1] == units[2] == ("unit|r:1\0u", False) and units[6][0] == "unit|r\x001u"
+    assert [units[n][1] for n in (3, 4, 5)] == [True] * 3 and units[3][0] == "unresolved|r:1@c:c.go:1-2"
+    places = {r["n"]: r["unresolved"] for r in change.caller_identities(df, "occurrence").collect()}
+    assert places == {1: False, 2: False, 3: False, 4: False, 5: True, 6: False}
