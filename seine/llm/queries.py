@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm import digest, packing
+from seine.llm import digest, glyphs, packing
 from seine.llm.leakage import leaks
 from seine.llm.overlap import cross_split_pairs
 from seine.llm.sampling import sample_by_wave, stable_sample
@@ -17,13 +17,27 @@ R = Registry()
 REGISTRIES = [R]
 
 
-@R.query("p8_found")
+def _same_look(column: str) -> str:
+    """SQL for the consistent form, exact where marks of other scripts' letters do not have to be taken apart first."""
+    single = {c: "".join(glyphs.LOOK_ALIKES.get(x, x) for x in to) for c, to in glyphs.decompositions().items() if len(to) <= 1 and 0x80 <= ord(c) <= 0xFFFF} | glyphs.LOOK_ALIKES
+    kept = [(c, to) for c, to in single.items() if to] + [(c, to) for c, to in single.items() if not to]
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({column}, {quote(''.join(c for c, _ in kept))}, {quote(''.join(to for _, to in kept))}))"
+
+
+_FORMS_SQL = f"forms AS (SELECT doc_id, text, {_same_look('text')} AS canonical FROM documents)"
+
+
+@R.query(
+    "p8_found",
+    sql=f"WITH {_FORMS_SQL} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.canonical = b.canonical AND a.doc_id < b.doc_id AND a.text <> b.text",
+)
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = look_alike_pairs(table(spark, sf_dir, "documents"), "doc_id", "text")
     return pairs.select(pairs.id_a.alias("doc_id_a"), pairs.id_b.alias("doc_id_b"))
 
 
-@R.query("p8_canonical")
+@R.query("p8_canonical", sql=f"WITH {_FORMS_SQL} SELECT doc_id, canonical FROM forms")
 def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = canonical_text(table(spark, sf_dir, "documents"), "doc_id", "text")
     return forms.select(forms.id.alias("doc_id"), "canonical")
