@@ -30,7 +30,33 @@ LEAVES = [
 ]
 
 
-@R.query("p1_found")
+def _opened(x: str) -> str:
+    """SQL: a part written as JSON text counts as the part."""
+    return f"CASE json_type({x}) WHEN 'VARCHAR' THEN TRY_CAST(json_extract_string({x}, '$') AS JSON) ELSE {x} END"
+
+
+def _unnested(x: str) -> str:
+    """SQL: elements of a list with their positions; a bare object is a list of one."""
+    items = f"CASE json_type({x}) WHEN 'ARRAY' THEN json_extract({x}, '$[*]') WHEN 'OBJECT' THEN [{x}] ELSE [] END"
+    return f"unnest({items}) AS e, (generate_subscripts({items}, 1) - 1)::INTEGER AS pos"
+
+
+_P1_SQL = f"""
+top AS (SELECT receipt_id, {_opened("payload::JSON")} AS o FROM receipts WHERE json_valid(payload)),
+parts AS (SELECT receipt_id, {_opened("o->'$.reproducibility'")} AS rep, {_opened("o->'$.bootstrap'")} AS boot, {_opened("o->'$.derived_root'")} AS derived FROM top),
+profile_lists AS (SELECT receipt_id, {_opened("rep->'$.profiles'")} AS x FROM parts), profiles0 AS (SELECT receipt_id, {_unnested("x")} FROM profile_lists),
+profiles AS (SELECT receipt_id, pos AS profile_pos, {_opened("e")} AS p FROM profiles0),
+build_lists AS (SELECT receipt_id, profile_pos, {_opened("p->'$.builds'")} AS x FROM profiles UNION ALL SELECT receipt_id, -1, {_opened("rep->'$.builds'")} FROM parts),
+builds0 AS (SELECT receipt_id, profile_pos, {_unnested("x")} FROM build_lists), builds AS (SELECT receipt_id, profile_pos, pos AS build_pos, {_opened("e")} AS b FROM builds0),
+child_lists AS (SELECT receipt_id, profile_pos, build_pos, 'artifact' AS child_kind, {_opened("b->'$.artifacts'")} AS x FROM builds UNION ALL SELECT receipt_id, profile_pos, build_pos, 'revision', {_opened("b->'$.revisions'")} FROM builds),
+children0 AS (SELECT receipt_id, profile_pos, build_pos, child_kind, {_unnested("x")} FROM child_lists), children AS (SELECT receipt_id, profile_pos, build_pos, child_kind, pos AS child_pos, {_opened("e")} AS c FROM children0),
+leaves AS (
+  SELECT receipt_id, profile_pos, build_pos, child_kind, child_pos, CASE child_kind WHEN 'artifact' THEN c->>'$.sha256' ELSE c->>'$.commit' END AS child_value FROM children
+  UNION ALL SELECT receipt_id, -1, -1, 'bootstrap', -1, boot->>'$.source_t111_path' FROM parts UNION ALL SELECT receipt_id, -1, -1, 'derived_root', -1, derived->>'$.facts_root' FROM parts)
+"""
+
+
+@R.query("p1_found", sql=f"WITH {_P1_SQL} SELECT * FROM leaves WHERE child_value IS NOT NULL")
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     receipts = table(spark, sf_dir, "receipts")
     return long_form(receipts, "payload", ["receipt_id"], LEAVES, {"profile_pos": "profiles", "build_pos": "builds"})
