@@ -43,7 +43,31 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select(forms.id.alias("doc_id"), "canonical")
 
 
-@R.query("p7_found")
+def _edited(side: str, da: int, db: int) -> str:
+    """SQL: the words beyond one edit after (or before) an unbroken run that are still wanting for 18 agree."""
+    n = f"greatest(0, 18 - (e - s + 1) - {da})"
+    if side == "right":
+        return f"(e + {da} + {n} <= len(a) AND e + d + {db} + {n} <= len(b) AND a[e + {da} + 1 : e + {da} + {n}] = b[e + d + {db} + 1 : e + d + {db} + {n}])"
+    return f"(s - {da} - {n} >= 1 AND s + d - {db} - {n} >= 1 AND a[s - {da} - {n} : s - {da} - 1] = b[s + d - {db} - {n} : s + d - {db} - 1])"
+
+
+def _words(column: str) -> str:
+    plain = f"regexp_replace({_same_look(column)}, '</?[A-Za-z][^<>\\n]{{0,80}}>', '', 'g')"
+    return f"list_filter(string_split_regex(regexp_replace(lower({plain}), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+'), lambda w: w <> '')"
+
+
+_LEAKS_SQL = f"""
+iw AS (SELECT item_id, {_words("text")} AS a FROM eval_items WHERE text IS NOT NULL), dw AS (SELECT doc_id, {_words("text")} AS b FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT item_id, q, array_to_string(a[q : q + 8], ' ') AS g FROM iw, LATERAL (SELECT unnest(generate_series(1, len(a) - 8)) AS q)),
+dg AS (SELECT doc_id, p, array_to_string(b[p : p + 8], ' ') AS g FROM dw, LATERAL (SELECT unnest(generate_series(1, len(b) - 8)) AS p)),
+h AS (SELECT DISTINCT item_id, doc_id, q, p - q AS d FROM ig JOIN dg USING (g)),
+runs9 AS (SELECT item_id, doc_id, d, min(q) AS s, max(q) + 8 AS e FROM (SELECT *, q - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY q) AS island FROM h) GROUP BY item_id, doc_id, d, island),
+leaks AS (SELECT DISTINCT item_id, doc_id FROM runs9 JOIN iw USING (item_id) JOIN dw USING (doc_id)
+          WHERE e - s + 1 >= 18 OR {" OR ".join(_edited(side, da, db) for side in ("right", "left") for da, db in ((1, 1), (1, 0), (0, 1)))})
+"""
+
+
+@R.query("p7_found", sql=f"WITH {_LEAKS_SQL} SELECT item_id, doc_id FROM leaks")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
     return found.select("item_id", "doc_id").distinct()
