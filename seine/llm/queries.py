@@ -112,6 +112,21 @@ def p4_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.value_counts(table(spark, sf_dir, "results"), "result_id", "domain", _durations()).withColumnRenamed("group", "domain")
 
 
+@R.query(
+    "p4_extent",
+    sql="""
+    WITH rows AS (SELECT DISTINCT result_id, domain, measured_at::DATE AS d, queue_wait_ms, total_ms, phases.extractor_ms AS extractor_ms FROM results),
+    long AS (SELECT domain, 'queue_wait_ms' AS metric, queue_wait_ms AS v FROM rows UNION ALL SELECT domain, 'total_ms', total_ms FROM rows
+             UNION ALL SELECT domain, 'extractor_ms', extractor_ms FROM rows)
+    SELECT metric, domain, count(*) AS n, min(v)::DOUBLE AS least, max(v)::DOUBLE AS most, count(*)::BIGINT AS weight, true AS within_bound FROM long WHERE v >= 0 AND v < 2592000000 GROUP BY ALL""",
+)
+def p4_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What joining the days' digests must keep exactly: count, ends and total weight, and that every answer is certified."""
+    found = digest.by_period_and_joined(_measured(spark, sf_dir), list(_durations())).where("period IS NULL")
+    weight = F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select("metric", F.col("grp").alias("domain"), "n", "least", "most", weight.alias("weight"), "within_bound")
+
+
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
     return packing.pack(lengths, table(spark, sf_dir, "containers"), "container_kind", "capacity_tokens")
