@@ -9,8 +9,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side may be broadcast after it has been counted.
+#: Rows and bytes up to which a side may be broadcast after it has been measured.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,10 +54,18 @@ def ship(spark: SparkSession) -> None:
     sc._seine_shipped = True
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only when a bounded probe proves ``df`` has at most ``max_rows`` rows.
+def measured_size(df: DataFrame, max_rows: int) -> tuple[int, int]:
+    """(rows, bytes as written in JSON) of the first ``max_rows + 1`` rows of ``df``."""
+    probe = df.limit(max_rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long").alias("b"))
+    rows, size = probe.agg(F.count("*"), F.coalesce(F.sum("b"), F.lit(0))).first()
+    return rows, size
 
-    The probe reads no more than ``max_rows + 1`` rows; beyond the bound the plain frame is returned and the join
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only when a bounded probe proves ``df`` to be within ``max_rows`` rows and ``max_bytes`` bytes.
+
+    The probe reads no more than ``max_rows + 1`` rows; beyond the bounds the plain frame is returned and the join
     is planned as a shuffle (with adaptive skew handling).
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    rows, size = measured_size(df, max_rows)
+    return F.broadcast(df) if rows <= max_rows and size <= max_bytes else df
