@@ -1,10 +1,12 @@
 """References to records that do not exist, or do not exist at the time of the reference.
 
-Parent and child keys go into one long table, tagged. A key without any parent row is found by grouping the tagged keys
-(partial aggregation combines hot keys before the shuffle). A key that has parents is valid at time ``t`` while more
-parent rows have begun than ended; that running count is taken in two levels so that no single key is ever ordered in one
-task: per (key, slot of time) the starts and ends are summed, a window over the few slots of a key gives the balance at each
-slot's beginning, and the rows are ordered only inside their (key, slot).
+Parent and child keys go into one long table, tagged, and are grouped by parent table and key: groups without the parent flag are
+the keys that exist nowhere, and every reference to them is an orphan (partial aggregation combines hot keys before the shuffle).
+
+Only references whose key has parents go on to the test of time: a key is valid at time ``t`` while more of its parent rows have
+begun than ended. Starts, ends and references are sorted over the whole cluster by (key, time), so that a busy key, and a busy
+moment of it, is cut wherever the sizes demand; each piece is a slot. Per (key, slot) starts and ends are summed, a window over
+the slots of a key carries the balance into each slot, and the rows are swept inside their slot.
 
 Defined behaviour
     * A parent row is valid from ``start`` on and before ``end``; a null ``end`` is open; a null ``start`` or an ``end`` not
@@ -12,31 +14,44 @@ Defined behaviour
     * A reference with a null time is a case only if no parent row carries its key.
     * Keys are compared after removing blanks, tabs and line ends at both ends. Null and blank keys are no case.
     * Reasons: ``missing`` (no parent row at all), ``not_yet`` (no parent has begun), ``deleted`` (some had begun).
-    * Empty tables give no rows; further columns of the inputs are ignored.
+    * Repeated references are separate rows. Empty tables give no rows; further columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seine.runtime import checkpoint
+
 #: Characters removed at both ends of a key.
 KEY_BLANKS = " \t\r\n"
-#: Width of a slot of time in seconds.
-SLOT_SECONDS = 7 * 86_400
+
+
+@dataclass(frozen=True)
+class Parent:
+    """A table that is referred to: its name, its frame, and its key, start and end columns."""
+
+    name: str
+    frame: DataFrame
+    key: str
+    start: str
+    end: str
 
 
 @dataclass(frozen=True)
 class Child:
-    """A referring table: its name in the report, its frame, and its id, key and time columns."""
+    """A referring table: its name in the report, its frame, its id, key and time columns, and the table it refers to."""
 
     name: str
     frame: DataFrame
     row_id: str
     key: str
     time: str
+    parent: str
 
 
 def clean_key(column: Column) -> Column:
@@ -48,73 +63,76 @@ def _micros(column: Column) -> Column:
     return F.unix_micros(column.cast("timestamp"))
 
 
-def _tagged_children(children: list[Child]) -> DataFrame:
-    frames = [
-        c.frame.select(
-            F.lit(c.name).alias("ref_table"),
-            F.col(c.row_id).cast("long").alias("row_id"),
-            clean_key(F.col(c.key)).alias("key"),
-            _micros(F.col(c.time)).alias("at"),
-        )
-        for c in children
-    ]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out.where(F.col("key").isNotNull())
-
-
-def orphan_references(parents: DataFrame, key: str, start: str, end: str, children: list[Child], slot_seconds: int = SLOT_SECONDS) -> DataFrame:
-    """Rows of ``children`` without a valid parent: ref_table, row_id, key, at (microseconds, null if unknown), reason."""
-    slot = F.floor(F.col("at") / F.lit(slot_seconds * 1_000_000)).alias("slot")
-    kids = _tagged_children(children)
-    spans = parents.select(clean_key(F.col(key)).alias("key"), _micros(F.col(start)).alias("s"), _micros(F.col(end)).alias("e")).where(F.col("key").isNotNull())
-
-    # keys in long form, grouped: keep those that lack the parent flag
-    tagged = spans.select("key", F.lit(True).alias("is_parent")).unionByName(kids.where(F.col("at").isNull()).select("key", F.lit(False).alias("is_parent")))
-    unknown = tagged.groupBy("key").agg(F.max("is_parent").alias("has_parent")).where(~F.col("has_parent")).select("key")
-    undated = kids.where(F.col("at").isNull()).join(unknown, "key", "left_semi").select("ref_table", "row_id", "key", "at", F.lit("missing").alias("reason"))
-
-    # starts and ends as +1 and -1 beside the children's times
-    live = spans.where(F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
-    marks = live.select("key", F.inline(F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(1).alias("begun")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("open"), F.lit(0).alias("begun"))))).where(F.col("at").isNotNull())
-    # equal marks are combined before anything is ordered
-    marks = marks.groupBy("key", "at").agg(F.sum("open").alias("open"), F.sum("begun").alias("begun")).select("*", slot)
-    dated = kids.where(F.col("at").isNotNull()).select("*", slot)
-
-    # one row per key and slot, then the balance before each slot
-    per_slot = (
-        marks.select("key", "slot", "open", "begun", F.lit(0).alias("kid"))
-        .unionByName(dated.select("key", "slot", F.lit(0).alias("open"), F.lit(0).alias("begun"), F.lit(1).alias("kid")))
-        .groupBy("key", "slot")
-        .agg(F.sum("open").alias("open"), F.sum("begun").alias("begun"), F.max("kid").alias("kid"))
-    )
-    before = Window.partitionBy("key").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        per_slot.select("key", "slot", "kid", F.coalesce(F.sum("open").over(before), F.lit(0)).alias("open"), F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("begun"))
-        .where(F.col("kid") == 1)
-        .select("key", "slot", F.lit(None).cast("long").alias("at"), "open", "begun")
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames).where(F.col("key").isNotNull())
+
+
+def _references(children: list[Child]) -> DataFrame:
+    return _union(
+        [
+            c.frame.select(
+                F.lit(c.parent).alias("parent_table"), clean_key(F.col(c.key)).alias("key"), F.lit(c.name).alias("ref_table"), F.col(c.row_id).cast("long").alias("row_id"), _micros(F.col(c.time)).alias("at")
+            )
+            for c in children
+        ]
     )
 
-    # inside a slot: the balance, then marks, then children at the same time (valid from the start on, before the end)
+
+def _spans(parents: list[Parent]) -> DataFrame:
+    return _union([p.frame.select(F.lit(p.name).alias("parent_table"), clean_key(F.col(p.key)).alias("key"), _micros(F.col(p.start)).alias("s"), _micros(F.col(p.end)).alias("e")) for p in parents])
+
+
+def grouped_keys(parents: list[Parent], children: list[Child]) -> DataFrame:
+    """(parent_table, key, has_parent): every key of either side in long form, grouped, with the parent flag."""
+    tagged = _spans(parents).select("parent_table", "key", F.lit(True).alias("is_parent")).unionByName(_references(children).select("parent_table", "key", F.lit(False).alias("is_parent")))
+    return tagged.groupBy("parent_table", "key").agg(F.max("is_parent").alias("has_parent"))
+
+
+def orphan_references(parents: list[Parent], children: list[Child], slots: int | None = None) -> DataFrame:
+    """Rows of ``children`` without a valid parent: parent_table, ref_table, row_id, key, at (microseconds, null if unknown), reason.
+
+    ``slots`` is the number of pieces the sweep is cut into; the session's shuffle partitions if not given.
+    """
+    spark = children[0].frame.sparkSession
+    on = ["parent_table", "key"]
+    kids = _references(children).join(grouped_keys(parents, children), on)
+
+    # starts and ends as +1 and -1; equal marks are combined before anything is ordered
+    spans = _spans(parents).where(F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
+    both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(1).alias("begun")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("open"), F.lit(0).alias("begun")))
+    marks = spans.select(*on, F.inline(both)).where(F.col("at").isNotNull()).groupBy(*on, "at").agg(F.sum("open").alias("open"), F.sum("begun").alias("begun"))
+
+    # marks come before references of the same time: a parent is valid from its start on and before its end
     none = F.lit(None)
-    events = (
-        base.select("key", "slot", "at", "open", "begun", F.lit(0).alias("tag"), none.cast("string").alias("ref_table"), none.cast("long").alias("row_id"))
-        .unionByName(marks.select("key", "slot", "at", "open", "begun", F.lit(1).alias("tag"), none.cast("string").alias("ref_table"), none.cast("long").alias("row_id")))
-        .unionByName(dated.select("key", "slot", "at", F.lit(0).alias("open"), F.lit(0).alias("begun"), F.lit(2).alias("tag"), "ref_table", "row_id"))
+    events = marks.select(*on, "at", F.lit(0).alias("tag"), "open", "begun", none.cast("string").alias("ref_table"), none.cast("long").alias("row_id"), F.lit(True).alias("has_parent")).unionByName(
+        kids.where(~F.col("has_parent") | F.col("at").isNotNull()).select(*on, "at", F.lit(1).alias("tag"), F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("begun"), "ref_table", "row_id", "has_parent")
+    )
+    pieces = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the cut is taken from a sample of the data; it is written once so that all that follows sees the same slots
+    cut = checkpoint(events.repartitionByRange(pieces, *on, "at", "tag", "row_id").withColumn("slot", F.spark_partition_id()))
+
+    missing = cut.where(~F.col("has_parent")).select("parent_table", "ref_table", "row_id", "key", "at", F.lit("missing").alias("reason"))
+    known = cut.where("has_parent")
+    before = Window.partitionBy(*on).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        known.groupBy(*on, "slot")
+        .agg(F.sum("open").alias("open"), F.sum("begun").alias("begun"))
+        .select(*on, "slot", F.sum("open").over(before).alias("open"), F.sum("begun").over(before).alias("begun"))
+        .where(F.col("begun") > 0)
+    )
+    rows = known.select(*on, "slot", "at", "tag", "row_id", "ref_table", "open", "begun").unionByName(
+        carried.select(*on, "slot", none.cast("long").alias("at"), F.lit(-1).alias("tag"), none.cast("long").alias("row_id"), none.cast("string").alias("ref_table"), "open", "begun")
     )
-    upto = Window.partitionBy("key", "slot").orderBy(F.col("at").asc_nulls_first(), "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = events.select("*", F.sum("open").over(upto).alias("valid"), F.sum("begun").over(upto).alias("ever")).where((F.col("tag") == 2) & (F.col("valid") <= 0))
-    known = spans.select("key").distinct().select("key", F.lit(True).alias("known"))
-    reason = F.when(F.col("known").isNull(), "missing").when(F.col("ever") > 0, "deleted").otherwise("not_yet")
-    timed = swept.select("ref_table", "row_id", "key", "at", "ever").join(known, "key", "left").select("ref_table", "row_id", "key", "at", reason.alias("reason"))
-    return timed.unionByName(undated)
+    upto = Window.partitionBy(*on, "slot").orderBy(F.col("at").asc_nulls_first(), "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    swept = rows.select("*", F.sum("open").over(upto).alias("valid"), F.sum("begun").over(upto).alias("ever")).where((F.col("tag") == 1) & (F.col("valid") <= 0))
+    timed = swept.select("parent_table", "ref_table", "row_id", "key", "at", F.when(F.col("ever") > 0, "deleted").otherwise("not_yet").alias("reason"))
+    return missing.unionByName(timed)
 
 
 def orphan_counts(orphans: DataFrame, children: list[Child]) -> DataFrame:
     """References and orphans per table and month of the reference (null where the time is unknown)."""
     month = F.date_format(F.timestamp_micros(F.col("at")), "yyyy-MM")
-    seen = _tagged_children(children).select("ref_table", month.alias("period"), F.lit(1).alias("refs"), F.lit(0).alias("bad"), F.lit("").alias("reason"))
+    seen = _references(children).select("ref_table", month.alias("period"), F.lit(1).alias("refs"), F.lit(0).alias("bad"), F.lit("").alias("reason"))
     bad = orphans.select("ref_table", month.alias("period"), F.lit(0).alias("refs"), F.lit(1).alias("bad"), "reason")
 
     def count(reason: str) -> Column:

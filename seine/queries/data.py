@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from seine.operators.nested import Leaf, Node, flatten_records, long_form
-from seine.operators.orphans import Child, orphan_counts, orphan_references
+from seine.operators.orphans import Child, Parent, orphan_counts, orphan_references
 from seine.registry import Registry
 from seine.runtime import table
 
@@ -85,11 +85,15 @@ for _query, _name in {
 
 def _references(spark: SparkSession, sf_dir: str) -> list[Child]:
     return [
-        Child("g34", table(spark, sf_dir, "g34"), "row_id", "site_id", "observed_at"),
-        Child("g3h2", table(spark, sf_dir, "g3h2"), "row_id", "site_id", "labelled_at"),
+        Child("g34", table(spark, sf_dir, "g34"), "row_id", "site_id", "observed_at", "sites"),
+        Child("g3h2", table(spark, sf_dir, "g3h2"), "row_id", "site_id", "labelled_at", "sites"),
     ]
 
 
+def _registry(spark: SparkSession, sf_dir: str) -> list[Parent]:
+    return [Parent("sites", table(spark, sf_dir, "sites"), "site_id", "registered_at", "deleted_at")]
+
+
 _REFS_SQL = r"""
 refs AS (
   SELECT 'g34' AS ref_table, row_id, trim(site_id, ' ' || chr(9) || chr(10) || chr(13)) AS k, observed_at AS t FROM g34
@@ -110,7 +114,7 @@ bad AS (
 
 @R.query("p5_found", sql=f"WITH {_REFS_SQL} SELECT ref_table, row_id FROM bad")
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orphan_references(table(spark, sf_dir, "sites"), "site_id", "registered_at", "deleted_at", _references(spark, sf_dir)).select("ref_table", "row_id")
+    return orphan_references(_registry(spark, sf_dir), _references(spark, sf_dir)).select("ref_table", "row_id")
 
 
 @R.query(
@@ -125,4 +129,4 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kids = _references(spark, sf_dir)
-    return orphan_counts(orphan_references(table(spark, sf_dir, "sites"), "site_id", "registered_at", "deleted_at", kids), kids)
+    return orphan_counts(orphan_references(_registry(spark, sf_dir), kids), kids)

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from seine.operators.orphans import Child, orphan_counts, orphan_references
+from seine.operators.orphans import Child, Parent, orphan_counts, orphan_references
 
 T0 = datetime(2025, 1, 1)
 PARENT = "site_id string, registered_at timestamp, deleted_at timestamp, extra string"
@@ -12,10 +12,14 @@ def at(n):
     return None if n is None else T0 + timedelta(hours=n)
 
 
+def registry(p):
+    return [Parent("p", p, "site_id", "registered_at", "deleted_at")]
+
+
 def run(spark, parents, children, **options):
     p = spark.createDataFrame([(k, at(s), at(e), "x") for k, s, e in parents], PARENT)
     c = spark.createDataFrame([(i, k, at(t), "clash", "clash") for i, k, t in children], CHILD)
-    rows = orphan_references(p, "site_id", "registered_at", "deleted_at", [Child("c", c, "row_id", "site_id", "at")], **options)
+    rows = orphan_references(registry(p), [Child("c", c, "row_id", "site_id", "at", "p")], **options)
     return {r["row_id"]: r["reason"] for r in rows.collect()}
 
 
@@ -56,8 +60,27 @@ def test_random_against_brute_force(spark):
         s = rng.choice([None, *range(0, 3000, 7)])
         parents.append((rng.choice(keys), s, rng.choice([None, (s or 0) + rng.randint(-3, 900)])))
     children = [(i, rng.choice([*keys, " k1 ", "none", None]), rng.choice([None, *range(0, 3200, 7)])) for i in range(900)]
-    for slot in (3600, 7 * 86_400, 400 * 86_400):
-        assert set(run(spark, parents, children, slot_seconds=slot)) == brute(parents, children)
+    for slots in (1, 7, 60):
+        assert set(run(spark, parents, children, slots=slots)) == brute(parents, children)
+
+
+def test_one_busy_key_at_one_moment_is_cut(spark):
+    parents = [("hot", 5, None)] * 200 + [("hot", 1, 3)] * 200
+    children = [(i, "hot", 4 if i % 3 else 6) for i in range(3000)]
+    p = spark.createDataFrame([(k, at(s), at(e), "x") for k, s, e in parents], PARENT)
+    c = spark.createDataFrame([(i, k, at(t), "", "") for i, k, t in children], CHILD)
+    found = orphan_references(registry(p), [Child("c", c, "row_id", "site_id", "at", "p")], slots=8)
+    assert {r["row_id"] for r in found.collect()} == {i for i in range(3000) if i % 3}
+
+
+def test_several_parent_tables(spark):
+    p = spark.createDataFrame([("a", at(0), None, "")], PARENT)
+    q = spark.createDataFrame([("b", at(0), None, "")], PARENT)
+    c = spark.createDataFrame([(1, "a", at(1), "", ""), (2, "b", at(1), "", "")], CHILD)
+    tables = [Parent("p", p, "site_id", "registered_at", "deleted_at"), Parent("q", q, "site_id", "registered_at", "deleted_at")]
+    kids = [Child("to_p", c, "row_id", "site_id", "at", "p"), Child("to_q", c, "row_id", "site_id", "at", "q"), Child("to_none", c, "row_id", "site_id", "at", "r")]
+    found = {(r["ref_table"], r["parent_table"], r["row_id"], r["reason"]) for r in orphan_references(tables, kids).collect()}
+    assert found == {("to_p", "p", 2, "missing"), ("to_q", "q", 1, "missing"), ("to_none", "r", 1, "missing"), ("to_none", "r", 2, "missing")}
 
 
 def test_empty_tables(spark):
@@ -68,6 +91,6 @@ def test_empty_tables(spark):
 def test_counts_by_period(spark):
     c = spark.createDataFrame([(1, "a", at(1), "", ""), (2, "b", at(2), "", ""), (3, "b", None, "", ""), (4, "a", at(24 * 40), "", "")], CHILD)
     p = spark.createDataFrame([("a", at(0), at(5), "")], PARENT)
-    kids = [Child("c", c, "row_id", "site_id", "at")]
-    rows = orphan_counts(orphan_references(p, "site_id", "registered_at", "deleted_at", kids), kids).collect()
+    kids = [Child("c", c, "row_id", "site_id", "at", "p")]
+    rows = orphan_counts(orphan_references(registry(p), kids), kids).collect()
     assert {(r["period"], r["n_references"], r["n_orphans"], r["missing"], r["deleted"]) for r in rows} == {("2025-01", 2, 1, 1, 0), ("2025-02", 1, 1, 0, 1), (None, 1, 1, 1, 0)}
