@@ -3,10 +3,11 @@
 Parent and child keys go into one long table, tagged, and are grouped by parent table and key: groups without the parent flag are
 the keys that exist nowhere, and every reference to them is an orphan (partial aggregation combines hot keys before the shuffle).
 
-Only references whose key has parents go on to the test of time: a key is valid at time ``t`` while more of its parent rows have
+Only references whose key has parents undergo the test of time: a key is valid at time ``t`` while more of its parent rows have
 begun than ended. Starts, ends and references are sorted over the whole cluster by (key, time), so that a busy key, and a busy
-moment of it, is cut wherever the sizes demand; each piece is a slot. Per (key, slot) starts and ends are summed, a window over
-the slots of a key carries the balance into each slot, and the rows are swept inside their slot.
+moment of it, is cut wherever the sizes demand; each piece is a slot. A slot reports its first and last key and the balance of the
+last; from these few rows the balance carried into each slot is known, and running sums over the sorted slots, in Arrow batches,
+decide every reference without another shuffle.
 
 Defined behaviour
     * A parent row is valid from ``start`` on and before ``end``; a null ``end`` is open; a null ``start`` or an ``end`` not
@@ -19,16 +20,23 @@ Defined behaviour
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.runtime import checkpoint
+from seine.runtime import checkpoint, ship
 
 #: Characters removed at both ends of a key.
 KEY_BLANKS = " \t\r\n"
+# What a row of the sweep is: a start, an end, or a reference (two numbers per child: known key, missing key).
+_START, _END, _CHILD = 0, 1, 2
+_ENDS = pa.schema([("slot", pa.int32()), ("parent", pa.int32()), ("key", pa.string()), ("last_parent", pa.int32()), ("last_key", pa.string()), ("valid", pa.int64()), ("ever", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -67,25 +75,95 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames).where(F.col("key").isNotNull())
 
 
-def _references(children: list[Child]) -> DataFrame:
+def _references(children: list[Child], names: list[str]) -> DataFrame:
+    """References in long form; tables are numbers: of the parent in ``names``, of the child in ``children``."""
     return _union(
         [
-            c.frame.select(
-                F.lit(c.parent).alias("parent_table"), clean_key(F.col(c.key)).alias("key"), F.lit(c.name).alias("ref_table"), F.col(c.row_id).cast("long").alias("row_id"), _micros(F.col(c.time)).alias("at")
-            )
-            for c in children
+            c.frame.select(F.lit(names.index(c.parent)).alias("parent"), clean_key(F.col(c.key)).alias("key"), F.lit(i).alias("child"), F.col(c.row_id).cast("long").alias("row_id"), _micros(F.col(c.time)).alias("at"))
+            for i, c in enumerate(children)
         ]
     )
 
 
-def _spans(parents: list[Parent]) -> DataFrame:
-    return _union([p.frame.select(F.lit(p.name).alias("parent_table"), clean_key(F.col(p.key)).alias("key"), _micros(F.col(p.start)).alias("s"), _micros(F.col(p.end)).alias("e")) for p in parents])
+def _spans(parents: list[Parent], names: list[str]) -> DataFrame:
+    return _union([p.frame.select(F.lit(names.index(p.name)).alias("parent"), clean_key(F.col(p.key)).alias("key"), _micros(F.col(p.start)).alias("s"), _micros(F.col(p.end)).alias("e")) for p in parents])
 
 
-def grouped_keys(parents: list[Parent], children: list[Child]) -> DataFrame:
-    """(parent_table, key, has_parent): every key of either side in long form, grouped, with the parent flag."""
-    tagged = _spans(parents).select("parent_table", "key", F.lit(True).alias("is_parent")).unionByName(_references(children).select("parent_table", "key", F.lit(False).alias("is_parent")))
-    return tagged.groupBy("parent_table", "key").agg(F.max("is_parent").alias("has_parent"))
+def grouped_keys(parents: list[Parent], children: list[Child], names: list[str]) -> DataFrame:
+    """(parent, key, has_parent): every key of either side in long form, grouped by parent table and key, with the parent flag."""
+    tagged = _spans(parents, names).select("parent", "key", F.lit(True).alias("is_parent")).unionByName(_references(children, names).select("parent", "key", F.lit(False).alias("is_parent")))
+    return tagged.groupBy("parent", "key").agg(F.max("is_parent").alias("has_parent"))
+
+
+def _boundaries(batch: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, bool]:
+    """First rows of the runs of equal (parent, key) in a sorted batch, and whether the first run goes on from ``last``."""
+    parent, key = batch.column("parent").to_numpy(), batch.column("key")
+    n = batch.num_rows
+    changed = (np.diff(parent) != 0) | pc.not_equal(key.slice(1), key.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.r_[True, changed]), last == (int(parent[0]), key[0].as_py())
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], carried: dict[int, tuple[int, int]]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Each batch of a slot with the running numbers of valid and of begun parent rows, and the first rows of its keys.
+
+    ``carried`` are the numbers that earlier slots hold for the first key of each slot.
+    """
+    last, state = None, (0, 0)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if last is None:
+            state = carried.get(batch.column("slot")[0].as_py(), (0, 0))
+        what = batch.column("what").to_numpy()
+        begun = (what == _START).astype(np.int64)
+        runs, goes_on = _boundaries(batch, last)
+        sizes = np.diff(np.r_[runs, len(what)])
+        sums = []
+        for i, step in enumerate((begun - (what == _END), begun)):
+            total = np.cumsum(step)
+            base = total[runs] - step[runs]
+            if goes_on or last is None:
+                base[0] -= state[i]
+            sums.append(total - np.repeat(base, sizes))
+        yield batch, sums[0], sums[1], runs
+        last = (int(batch.column("parent")[-1].as_py()), batch.column("key")[-1].as_py())
+        state = (sums[0][-1], sums[1][-1])
+
+
+def _ends_of_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per slot: its first and last key and the balance of the last one inside the slot."""
+    first = row = None
+    for batch, valid, ever, _ in _sweep(batches, {}):
+        keys = [(batch.column("parent")[i].as_py(), batch.column("key")[i].as_py()) for i in (0, -1)]
+        first = first or (batch.column("slot")[0].as_py(), *keys[0])
+        row = (*keys[1], int(valid[-1]), int(ever[-1]))
+    if first:
+        yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(_ENDS.names, (*first, *row))}, schema=_ENDS)
+
+
+def carried_balances(ends: list[tuple]) -> dict[int, tuple[int, int]]:
+    """Slot -> what the slots before it hold for its first key, from the one row per slot of :func:`_ends_of_slots`."""
+    out: dict[int, tuple[int, int]] = {}
+    open_key, valid, ever = None, 0, 0
+    for slot, *names, n_valid, n_ever in sorted(ends):
+        first, last = tuple(names[:2]), tuple(names[2:])
+        if first == open_key:
+            out[slot] = (valid, ever)
+        if first != last or first != open_key:
+            valid = ever = 0
+        open_key, valid, ever = last, valid + n_valid, ever + n_ever
+    return out
+
+
+def _orphans_in(batches: Iterator[pa.RecordBatch], carried: dict[int, tuple[int, int]], reasons: pa.Array) -> Iterator[pa.RecordBatch]:
+    for batch, valid, ever, _ in _sweep(batches, carried):
+        what = batch.column("what").to_numpy()
+        missing = (what >= _CHILD) & ((what - _CHILD) % 2 == 1)
+        case = missing | ((what >= _CHILD) & (valid <= 0))
+        code = np.where(missing, 0, np.where(ever > 0, 2, 1))[case]
+        kept = batch.filter(pa.array(case))
+        child = pa.array((what[case] - _CHILD) // 2, pa.int32())
+        yield pa.RecordBatch.from_arrays([kept.column("parent"), child, kept.column("row_id"), kept.column("key"), kept.column("at"), reasons.take(pa.array(code))], names=["parent", "child", "row_id", "key", "at", "reason"])
 
 
 def orphan_references(parents: list[Parent], children: list[Child], slots: int | None = None) -> DataFrame:
@@ -94,45 +172,39 @@ def orphan_references(parents: list[Parent], children: list[Child], slots: int |
     ``slots`` is the number of pieces the sweep is cut into; the session's shuffle partitions if not given.
     """
     spark = children[0].frame.sparkSession
-    on = ["parent_table", "key"]
-    kids = _references(children).join(grouped_keys(parents, children), on)
-
-    # starts and ends as +1 and -1; equal marks are combined before anything is ordered
-    spans = _spans(parents).where(F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
-    both = F.array(F.struct(F.col("s").alias("at"), F.lit(1).alias("open"), F.lit(1).alias("begun")), F.struct(F.col("e").alias("at"), F.lit(-1).alias("open"), F.lit(0).alias("begun")))
-    marks = spans.select(*on, F.inline(both)).where(F.col("at").isNotNull()).groupBy(*on, "at").agg(F.sum("open").alias("open"), F.sum("begun").alias("begun"))
-
-    # marks come before references of the same time: a parent is valid from its start on and before its end
-    none = F.lit(None)
-    events = marks.select(*on, "at", F.lit(0).alias("tag"), "open", "begun", none.cast("string").alias("ref_table"), none.cast("long").alias("row_id"), F.lit(True).alias("has_parent")).unionByName(
-        kids.where(~F.col("has_parent") | F.col("at").isNotNull()).select(*on, "at", F.lit(1).alias("tag"), F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("begun"), "ref_table", "row_id", "has_parent")
-    )
+    ship(spark)
+    names = list(dict.fromkeys([*(p.name for p in parents), *(c.parent for c in children)]))
+    kids = _references(children, names).join(grouped_keys(parents, children, names), ["parent", "key"])
+    kids = kids.where(~F.col("has_parent") | F.col("at").isNotNull())
+    kids = kids.select("parent", "key", "at", (F.lit(_CHILD) + 2 * F.col("child") + F.when(F.col("has_parent"), 0).otherwise(1)).cast("int").alias("what"), "row_id")
+
+    spans = _spans(parents, names).where(F.col("s").isNotNull() & (F.col("e").isNull() | (F.col("e") > F.col("s"))))
+    both = F.array(F.struct(F.col("s").alias("at"), F.lit(_START).alias("what")), F.struct(F.col("e").alias("at"), F.lit(_END).alias("what")))
+    # equal starts and ends may be many: a random number lets the cut fall between them, which changes no sum
+    spread = (F.rand(1) * F.lit(1 << 40)).cast("long").alias("row_id")
+    marks = spans.select("parent", "key", F.inline(both)).where(F.col("at").isNotNull()).select("parent", "key", "at", "what", spread)
+
+    # a parent is valid from its start on and before its end: marks come before references of the same time
+    order = ["parent", "key", "at", "what", "row_id"]
     pieces = slots or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # the cut is taken from a sample of the data; it is written once so that all that follows sees the same slots
-    cut = checkpoint(events.repartitionByRange(pieces, *on, "at", "tag", "row_id").withColumn("slot", F.spark_partition_id()))
-
-    missing = cut.where(~F.col("has_parent")).select("parent_table", "ref_table", "row_id", "key", "at", F.lit("missing").alias("reason"))
-    known = cut.where("has_parent")
-    before = Window.partitionBy(*on).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        known.groupBy(*on, "slot")
-        .agg(F.sum("open").alias("open"), F.sum("begun").alias("begun"))
-        .select(*on, "slot", F.sum("open").over(before).alias("open"), F.sum("begun").over(before).alias("begun"))
-        .where(F.col("begun") > 0)
-    )
-    rows = known.select(*on, "slot", "at", "tag", "row_id", "ref_table", "open", "begun").unionByName(
-        carried.select(*on, "slot", none.cast("long").alias("at"), F.lit(-1).alias("tag"), none.cast("long").alias("row_id"), none.cast("string").alias("ref_table"), "open", "begun")
-    )
-    upto = Window.partitionBy(*on, "slot").orderBy(F.col("at").asc_nulls_first(), "tag").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    swept = rows.select("*", F.sum("open").over(upto).alias("valid"), F.sum("begun").over(upto).alias("ever")).where((F.col("tag") == 1) & (F.col("valid") <= 0))
-    timed = swept.select("parent_table", "ref_table", "row_id", "key", "at", F.when(F.col("ever") > 0, "deleted").otherwise("not_yet").alias("reason"))
-    return missing.unionByName(timed)
+    cut = checkpoint(marks.unionByName(kids).repartitionByRange(pieces, *order).sortWithinPartitions(*order).withColumn("slot", F.spark_partition_id()))
+    ends = cut.mapInArrow(_ends_of_slots, "slot int, parent int, key string, last_parent int, last_key string, valid bigint, ever bigint")
+    carried = carried_balances([tuple(r) for r in ends.collect()])  # one row per slot
+    reasons = pa.array(["missing", "not_yet", "deleted"])
+    found = cut.mapInArrow(lambda it: _orphans_in(it, carried, reasons), "parent int, child int, row_id bigint, key string, at bigint, reason string")
+
+    def named(values: list[str], code: str) -> Column:
+        return F.array(*[F.lit(v) for v in values])[F.col(code)]
+
+    return found.select(named(names, "parent").alias("parent_table"), named([c.name for c in children], "child").alias("ref_table"), "row_id", "key", "at", "reason")
 
 
 def orphan_counts(orphans: DataFrame, children: list[Child]) -> DataFrame:
     """References and orphans per table and month of the reference (null where the time is unknown)."""
     month = F.date_format(F.timestamp_micros(F.col("at")), "yyyy-MM")
-    seen = _references(children).select("ref_table", month.alias("period"), F.lit(1).alias("refs"), F.lit(0).alias("bad"), F.lit("").alias("reason"))
+    names = F.array(*[F.lit(c.name) for c in children])
+    seen = _references(children, [c.parent for c in children]).select(names[F.col("child")].alias("ref_table"), month.alias("period"), F.lit(1).alias("refs"), F.lit(0).alias("bad"), F.lit("").alias("reason"))
     bad = orphans.select("ref_table", month.alias("period"), F.lit(0).alias("refs"), F.lit(1).alias("bad"), "reason")
 
     def count(reason: str) -> Column:

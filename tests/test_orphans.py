@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from seine.operators.orphans import Child, Parent, orphan_counts, orphan_references
+from seine.operators.orphans import Child, Parent, carried_balances, orphan_counts, orphan_references
 
 T0 = datetime(2025, 1, 1)
 PARENT = "site_id string, registered_at timestamp, deleted_at timestamp, extra string"
@@ -94,3 +94,11 @@ def test_counts_by_period(spark):
     kids = [Child("c", c, "row_id", "site_id", "at", "p")]
     rows = orphan_counts(orphan_references(registry(p), kids), kids).collect()
     assert {(r["period"], r["n_references"], r["n_orphans"], r["missing"], r["deleted"]) for r in rows} == {("2025-01", 2, 1, 1, 0), ("2025-02", 1, 1, 0, 1), (None, 1, 1, 1, 0)}
+
+
+def test_balances_carried_into_slots():
+    a, b = (0, "a"), (0, "b")
+    # slot 2 is missing (empty); key a runs over slots 0, 1 and 3, key b over 3 and 4
+    ends = [(0, *b[:1], "0", *a, 2, 3), (1, *a, *a, -1, 0), (3, *a, *b, 5, 5), (4, *b, *b, 1, 1)]
+    assert carried_balances(ends) == {1: (2, 3), 3: (1, 3), 4: (5, 5)}
+    assert carried_balances([(0, *a, *a, 1, 1), (1, *b, *b, 1, 1)]) == {}
