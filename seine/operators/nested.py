@@ -8,7 +8,7 @@ Defined behaviour
     * A record that is null or not one complete JSON value gives no rows (leading/trailing garbage included).
     * Any part may be missing or null: it gives no rows. A null list element gives no row but keeps its position.
     * A bare object where a list is expected is a list of one.
-    * A part written as JSON text (a string holding JSON) counts as the part, up to two levels of quoting.
+    * A part written as JSON text (a string holding JSON) counts as the part, however often it is quoted.
     * A part of another type (number, list where an object is expected) gives no rows.
     * Leaf values come out as written: strings unescaped, other values as JSON text (fractions without trailing zeros); JSON null
       is null.
@@ -61,14 +61,22 @@ def _trimmed(text: Column) -> Column:
     return F.btrim(text, F.lit(_BLANK))
 
 
-def _body(text: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` on the trimmed JSON text; text that is itself a quoted string is opened once more."""
+def _open(text: Column) -> Column:
+    """The content of text that is a quoted string; other text as it is."""
+    inner = F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string", _JSON)["v"]
+    return F.when(text.startswith('"'), _trimmed(inner)).otherwise(text)
+
 
-    def opened(t: Column) -> Column:
-        inner = F.from_json(F.concat(F.lit('{"v":'), t, F.lit("}")), "v string", _JSON)["v"]
-        return F.when(t.startswith('"'), _trimmed(inner)).otherwise(t)
+def _opened(text: Column) -> Column:
+    """Text opened until it is no quoted string. Quoting doubles the escapes of what it quotes, so depth is below the logarithm of length."""
+    depth = F.ceil(F.log2(F.char_length(text) + F.lit(2))).cast("int")
+    turns = F.when(text.startswith('"'), F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(turns, text, lambda t, _: _open(t))
 
-    return _let(_trimmed(text), lambda t: _let(opened(t), use))
+
+def _body(text: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` on the trimmed JSON text, opened if it is quoted."""
+    return _let(_trimmed(text), lambda t: _let(_opened(t), use))
 
 
 def _object(text: Column, keys: list[str]) -> Column:
@@ -81,14 +89,14 @@ def _list(text: Column) -> Column:
 
 
 def complete_json(payload: Column) -> Column:
-    """``payload`` if it is exactly one JSON value, else null.
+    """``payload`` as JSON text if it is exactly one JSON value (a string is opened), else null.
 
-    ``from_json`` stops reading after the first value, so the text is read once as the only member of an object and once
-    as the only element of a list: no trailing text can close both.
+    ``from_json`` stops reading after the first value, so the text is read as the first of two elements of a list. The second
+    is the text's own digest: no text can close the list and hold that digest behind.
     """
-    in_object = F.from_json(F.concat(F.lit('{"v":'), payload, F.lit("}")), "v string", _JSON)["v"]
-    in_list = F.from_json(F.concat(F.lit("["), payload, F.lit("]")), "array<string>", _JSON)
-    return F.when(F.size(in_list) == 1, in_object)
+    seal = F.md5(payload)
+    read = F.from_json(F.concat(F.lit("["), payload, F.lit(',"'), seal, F.lit('"]')), "array<string>", _JSON)
+    return _let(read, lambda r: F.when((F.size(r) == 2) & (r[1] == seal), r[0]))
 
 
 def _keys(node: Node, then: Node | None) -> list[str]:
@@ -155,27 +163,54 @@ class Leaf:
     key: str
 
 
-def long_form(df: DataFrame, json_column: str, keys: list[str], leaves: list[Leaf], levels: Mapping[str, str]) -> DataFrame:
-    """All non-null leaf values in one pass: keys, one position column per level, kind, value.
+@dataclass
+class _Branch:
+    """Leaves below one object, gathered so that the object is read once for all of them."""
 
-    ``levels`` maps each output position column to the node key it reports; a level that a leaf's path lacks is -1, and
-    the leaf's own list position is ``child_pos``.
-    """
+    many: bool
+    leaves: list[Leaf] = field(default_factory=list)
+    below: dict[str, _Branch] = field(default_factory=dict)
+
+    def add(self, path: tuple[Node, ...], leaf: Leaf) -> None:
+        if not path:
+            self.leaves.append(leaf)
+            return
+        self.below.setdefault(path[0].key, _Branch(path[0].many)).add(path[1:], leaf)
 
-    def rows(leaf: Leaf) -> Column:
-        node = Node(leaf.path[-1].key, leaf.path[-1].many, {"value": leaf.key})
-        path = (*leaf.path[:-1], node)
+    def keys(self) -> list[str]:
+        return list(dict.fromkeys([*(leaf.key for leaf in self.leaves), *self.below]))
 
-        def make(here: dict[str, Column], obj: Column) -> Column:
-            absent = F.lit(-1)
-            own = here.get(position_column(node), absent)
-            return F.struct(
-                *[here.get(f"{k}_pos", absent).alias(c) for c, k in levels.items()],
-                F.lit(leaf.kind).alias("child_kind"),
-                own.alias("child_pos"),
-                obj[leaf.key].alias("child_value"),
-            )
 
-        return F.coalesce(F.filter(rows_of(F.col(json_column), path, make), lambda r: r["child_value"].isNotNull()), F.array())
+def long_form(df: DataFrame, json_column: str, keys: list[str], leaves: list[Leaf], levels: Mapping[str, str]) -> DataFrame:
+    """All non-null leaf values in one pass: keys, one position column per level, kind, value.
 
-    return df.select(*keys, F.inline(F.concat(*[rows(leaf) for leaf in leaves])))
+    ``levels`` maps each output position column to the node key it reports; a level that a leaf's path lacks is -1, and
+    the leaf's own list position is ``child_pos``. Every object of the record is read once, whatever number of leaves lie below.
+    """
+    absent = F.lit(-1)
+    row_type = "array<struct<" + "".join(f"{c}:int," for c in levels) + "child_kind:string,child_pos:int,child_value:string>>"
+    nothing = F.array().cast(row_type)
+
+    def rows(obj: Column, branch: _Branch, here: dict[str, Column], own: Column) -> Column:
+        parts = [
+            F.array(F.struct(*[here.get(k, absent).alias(c) for c, k in levels.items()], F.lit(leaf.kind).alias("child_kind"), own.alias("child_pos"), obj[leaf.key].alias("child_value"))) for leaf in branch.leaves
+        ]
+        for key, child in branch.below.items():
+            parts.append(F.coalesce(below(obj[key], key, child, here), nothing))
+        return F.concat(*parts)
+
+    def below(part: Column, key: str, branch: _Branch, here: dict[str, Column]) -> Column:
+        if not branch.many:
+            return _let(_object(part, branch.keys()), lambda o: rows(o, branch, here, absent))
+
+        def element(e: Column, k: Column) -> Column:
+            at = k.cast("int")
+            return _let(_object(e, branch.keys()), lambda o: rows(o, branch, {**here, key: at}, at))
+
+        return F.flatten(F.transform(_list(part), element))
+
+    top = _Branch(False)
+    for leaf in leaves:
+        top.add(leaf.path, leaf)
+    found = _let(_object(complete_json(F.col(json_column)), top.keys()), lambda o: rows(o, top, {}, absent))
+    return df.select(*keys, F.inline(F.filter(found, lambda r: r["child_value"].isNotNull())))

@@ -69,18 +69,31 @@ def _receipt_table(name: str):
     return run
 
 
-for _query, _name in {
-    "p1_bootstrap": "bootstrap",
-    "p1_derived_root": "derived_root",
-    "p1_profiles": "reproducibility.profiles",
-    "p1_profile_builds": "reproducibility.profiles.builds",
-    "p1_direct_builds": "reproducibility.builds",
-    "p1_profile_artifacts": "reproducibility.profiles.builds.artifacts",
-    "p1_profile_revisions": "reproducibility.profiles.builds.revisions",
-    "p1_direct_artifacts": "reproducibility.builds.artifacts",
-    "p1_direct_revisions": "reproducibility.builds.revisions",
-}.items():
-    R.query(_query)(_receipt_table(_name))
+def _fields(x: str, *names: str, **renamed: str) -> str:
+    """SQL: fields of the object ``x`` as text."""
+    return ", ".join(f"{x}->>'$.{k}' AS {c}" for c, k in [*((n, n) for n in names), *renamed.items()])
+
+
+_ARTIFACT, _REVISION = _fields("c", "name", "bytes", "sha256"), _fields("c", "revision", "tree", "commit")
+_TABLES = {
+    "p1_bootstrap": ("bootstrap", f"SELECT receipt_id, {_fields('boot', 'source_t111_path')} FROM parts WHERE json_type(boot) = 'OBJECT'"),
+    "p1_derived_root": ("derived_root", f"SELECT receipt_id, {_fields('derived', 'facts_root')} FROM parts WHERE json_type(derived) = 'OBJECT'"),
+    "p1_profiles": ("reproducibility.profiles", f"SELECT receipt_id, profile_pos AS profiles_pos, {_fields('p', 'profile', 'scale', profile_kind='kind')} FROM profiles WHERE json_type(p) = 'OBJECT'"),
+    "p1_profile_builds": ("reproducibility.profiles.builds", f"SELECT receipt_id, profile_pos AS profiles_pos, build_pos AS builds_pos, {_fields('b', 'ordinal')} FROM builds WHERE profile_pos >= 0 AND json_type(b) = 'OBJECT'"),
+    "p1_direct_builds": ("reproducibility.builds", f"SELECT receipt_id, build_pos AS builds_pos, {_fields('b', 'ordinal')} FROM builds WHERE profile_pos < 0 AND json_type(b) = 'OBJECT'"),
+    "p1_profile_artifacts": (
+        "reproducibility.profiles.builds.artifacts",
+        f"SELECT receipt_id, profile_pos AS profiles_pos, build_pos AS builds_pos, child_pos AS artifacts_pos, {_ARTIFACT} FROM children WHERE child_kind = 'artifact' AND profile_pos >= 0 AND json_type(c) = 'OBJECT'",
+    ),
+    "p1_profile_revisions": (
+        "reproducibility.profiles.builds.revisions",
+        f"SELECT receipt_id, profile_pos AS profiles_pos, build_pos AS builds_pos, child_pos AS revisions_pos, {_REVISION} FROM children WHERE child_kind = 'revision' AND profile_pos >= 0 AND json_type(c) = 'OBJECT'",
+    ),
+    "p1_direct_artifacts": ("reproducibility.builds.artifacts", f"SELECT receipt_id, build_pos AS builds_pos, child_pos AS artifacts_pos, {_ARTIFACT} FROM children WHERE child_kind = 'artifact' AND profile_pos < 0 AND json_type(c) = 'OBJECT'"),
+    "p1_direct_revisions": ("reproducibility.builds.revisions", f"SELECT receipt_id, build_pos AS builds_pos, child_pos AS revisions_pos, {_REVISION} FROM children WHERE child_kind = 'revision' AND profile_pos < 0 AND json_type(c) = 'OBJECT'"),
+}
+for _query, (_name, _sql) in _TABLES.items():
+    R.query(_query, sql=f"WITH {_P1_SQL} {_sql}")(_receipt_table(_name))
 
 
 def _references(spark: SparkSession, sf_dir: str) -> list[Child]:

@@ -35,7 +35,19 @@ def test_parts_written_as_text(spark):
     assert rows == {(0, 0, 0, "artifact", 0, 'q"ü'), (1, -1, -1, "bootstrap", -1, "/p"), (2, -1, -1, "derived_root", -1, "/f")}
 
 
-@pytest.mark.parametrize("tail", ["", "x", "]", "}", ",1", ',"a":1', '{"b":1}', ",{}", "]]", "}}"])
+def test_parts_quoted_many_times(spark):
+    part = {"builds": [{"artifacts": [{"sha256": "s"}]}]}
+    payloads = []
+    for times in range(1, 9):
+        text = part
+        for _ in range(times):
+            text = json.dumps(text)
+        payloads.append(record(reproducibility=text))
+        payloads.append(json.dumps(payloads[-1]))
+    assert found(spark, payloads) == {(i, -1, 0, "artifact", 0, "s") for i in range(len(payloads))}
+
+
+@pytest.mark.parametrize("tail", ["", "x", "]", "}", ",1", ',"a":1', '{"b":1}', ",{}", "]]", "}}", ',"v":{}', ',"x"]', "],[1", ',"x"'])
 def test_only_one_complete_value_counts(spark, tail):
     good = record(bootstrap={"source_t111_path": "/p"})
     assert len(found(spark, [good + tail])) == (tail == "")
