@@ -128,8 +128,8 @@ def rows_of(text: Column, path: tuple[Node, ...], make) -> Column:
     return _let(_object(complete_json(text), [path[0].key]), lambda o: level(o, 0, {}))
 
 
-def flatten_records(df: DataFrame, json_column: str, keys: list[str], spec: tuple[Node, ...]) -> dict[str, DataFrame]:
-    """One flat table for each node of ``spec`` that has fields.
+def flatten_records(df: DataFrame, json_column: str, keys: list[str], spec: tuple[Node, ...], only: set[str] | None = None) -> dict[str, DataFrame]:
+    """One flat table for each node of ``spec`` that has fields, or of those named in ``only``.
 
     Every table holds ``keys`` (the record's identity), the position of each list on the way down and the node's fields.
     A row is emitted for every object present, so a parent without children is still visible in the parent's own table.
@@ -138,7 +138,7 @@ def flatten_records(df: DataFrame, json_column: str, keys: list[str], spec: tupl
     for root in spec:
         for path in root.walk():
             node = path[-1]
-            if not node.fields:
+            if not node.fields or only is not None and table_name(path) not in only:
                 continue
             positions = [position_column(n) for n in path if n.many]
             clash = set(keys) & {*positions, *node.fields}

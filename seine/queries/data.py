@@ -64,7 +64,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _receipt_table(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return flatten_records(table(spark, sf_dir, "receipts"), "payload", ["receipt_id"], RECEIPT)[name]
+        return flatten_records(table(spark, sf_dir, "receipts"), "payload", ["receipt_id"], RECEIPT, {name})[name]
 
     return run
 
