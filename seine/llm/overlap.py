@@ -1,30 +1,37 @@
 """Same or nearly the same findings across splits, by a weighted cosine join.
 
 Rows are brought to one spelling and copies collapsed to a class. A class is a vector of character trigrams of its two texts;
-a trigram's weight falls with the number of classes that hold it. Two texts within the allowed typos share all but a bounded
-part of their weight: an edit touches at most three trigrams, so a partner's dot product with ``x`` is at least ``|x|^2`` less
-the heaviest ``3 * typos`` squares of each text. That gives every vector its own cosine floor, with no loss.
+trigrams are hashed to a fixed number of terms, and a term's weight falls with the number of classes that hold it. Two texts
+within the allowed typos share all but a bounded part of their weight: an edit touches at most three trigrams, so a partner's dot
+product with ``x`` is at least ``|x|^2`` less the heaviest ``3 * typos`` squares of each text. That gives every vector its own
+floor of the dot product, with no loss.
 
-Inverted lists are kept per block (equal columns, equal digits, neighbouring lines) and term, training against evaluation side:
-terms of no weight on the other side are left out (maximum-weight pruning), and a vector is entered only under its heaviest terms
-until the norm of the rest is below its floor (residual-norm pruning). Candidates get their exact dot product, those above both
-floors an exact comparison of the texts. Class pairs are then expanded to rows and counted.
+Inverted lists are kept per block (equal columns, equal digits, neighbouring lines and lengths) and term, training against
+evaluation side: terms of no weight on the other side are left out (maximum-weight pruning), and a vector is entered only under its
+heaviest terms until the norm of the rest is below its floor. The lists also hold the norm that remains after each term; from the
+terms that two vectors share in the lists and what remains after the last of them a bound of their dot product is summed, and pairs
+below either floor are dropped (residual-norm pruning). What is left gets its exact dot product, and pairs above both floors an exact
+comparison of the texts. Class pairs are then expanded to rows and counted.
+
+Vectors without a floor (texts of a few letters) could match without a common term: they also meet under the strings that are left
+when as many letters as typos are allowed are deleted from the first text; two texts within that distance always share one.
 
 Defined behaviour: rows with a null text, line or split (or a split that is on neither side) are in no pair; null in an equality
-column equals nothing; repeated rows are separate rows; texts too short to share a trigram for sure meet under one common term of
-their block; empty tables give no rows; extra columns are ignored.
+column equals nothing; repeated rows are separate rows; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seine.runtime import checkpoint, ship
+from seine.runtime import broadcast_if_small, checkpoint, ship
 
 #: Checkout roots that may stand before a path.
 CHECKOUT_ROOTS = (r"^/+(?:workspace|workspaces|checkout|builds)/[^/]+/",)
@@ -33,15 +40,22 @@ LINE_REACH = 3
 #: Lines and characters per block; an evaluation row looks into each block within reach.
 LINE_BLOCK = 8
 SIZE_BLOCK = 8
-#: Distinct trigrams whose weights may be broadcast (20 bytes each).
-MAX_TERMS = 1_000_000
+#: Terms that trigrams are hashed to; the table of their weights is the only one that passes the driver, and never longer.
+TERMS = 1 << 18
+#: Length up to which the first text of a vector without a floor is entered by deletions, and from which by its block alone.
+_BY_DELETION, _BY_BLOCK = 18, 14
 _GRAM = 3
 _UNIT = 4096
+_CLASS = "n bigint, cid string, side int, line int, frame bigint, a string, b string"
+_FULL = pa.schema(
+    [("n", pa.int64()), ("cid", pa.string()), ("side", pa.int32()), ("line", pa.int32()), ("frame", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("floor", pa.int64()), ("entered", pa.int32()), ("packed", pa.list_(pa.int64()))]
+)
+_LIST = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("side", pa.int32()), ("line", pa.int32()), ("la", pa.int32()), ("lb", pa.int32()), ("w", pa.int64()), ("rest", pa.int64()), ("floor", pa.int64())])
 
 
 def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
     """One spelling of a path or name: escapes opened, one separator, no blanks, lower case, no root, detours or outer slash."""
-    opened = F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)
+    opened = F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
     flat = F.lower(F.regexp_replace(F.translate(opened, "\\", "/"), r"\s+", ""))
     for root in roots:
         flat = F.regexp_replace(flat, root, "")
@@ -51,204 +65,230 @@ def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
         up = (part == "..") & (F.size(seen) > 0)
         return F.when(part.isin("", "."), seen).when(up, F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.concat(seen, F.array(part)))
 
-    return F.array_join(F.aggregate(F.split(flat, "/"), empty, step), "/")
+    def straight(t: Column) -> Column:
+        return F.when(t.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), F.array_join(F.aggregate(F.split(t, "/"), empty, step), "/")).otherwise(t)
+
+    return F.transform(F.array(flat), straight)[0]
 
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
-def _grams(text: Column, tag: str) -> Column:
-    """Distinct hashed trigrams of the text with a mark at either end."""
-    letters = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
-    picked = F.transform(F.array(letters), lambda a: F.transform(F.sequence(F.lit(0), F.size(a) - _GRAM), lambda i: F.xxhash64(F.lit(tag), F.concat(a[i], a[i + 1], a[i + 2]))))[0]
-    return F.array_distinct(F.when(F.char_length(text) > 0, picked).otherwise(F.array().cast("array<bigint>")))
-
-
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, b: a + b.cast("long"))
-
-
-def _square(df: Column) -> Column:
-    """Squared weight of a term held by ``df`` classes, as a whole number."""
-    return F.greatest(F.lit(1), F.ceil(F.lit(_UNIT) / F.pow(1 + F.log(df), 2))).cast("long")
-
-
-def _vectors_joined(alive: DataFrame, lost: int) -> DataFrame:
-    """:func:`_vectors` for any number of terms: terms are exploded, counted and joined."""
-    terms = alive.select("n", "side", F.explode(F.concat(F.transform(_grams(F.col("a"), "a"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("field"))), F.transform(_grams(F.col("b"), "b"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("field"))))).alias("t")).select("n", "side", "t.*")
-    holders = terms.groupBy("term").agg(F.count("*").alias("df"), F.min("side").alias("lo"), F.max("side").alias("hi"))
-    weighted = terms.join(holders, "term").select("n", "field", "term", _square(F.col("df")).alias("w"), (F.col("lo") < F.col("hi")).alias("met"))
-    vectors = weighted.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("w", "term", "field", "met")), asc=False).alias("v"))
-
-    def heaviest(text: int) -> Column:
-        return _sum(F.transform(F.slice(F.filter("v", lambda x: x["field"] == text), 1, lost), lambda x: x["w"]))
-
-    vectors = vectors.select(
-        "n", "v", (_sum(F.transform("v", lambda x: x["w"])) - heaviest(0) - heaviest(1)).alias("floor"), F.filter("v", lambda x: x["met"]).alias("met")
-    ).select("n", "floor", "met", _sum(F.transform("met", lambda x: x["w"])).alias("reach"))
-    vectors = vectors.where(F.col("reach") >= F.col("floor"))
-    # heaviest terms until the rest weighs less than the floor; all of them, and the block's common term, if no floor is left
-    budget = F.col("reach") - F.col("floor")
-    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
-    entered = F.aggregate("met", start, lambda s, x: F.when(s["sum"] > budget, s).otherwise(F.struct((s["sum"] + x["w"]).alias("sum"), (s["n"] + 1).alias("n"))))["n"]
-    prefix = F.transform(F.slice("met", 1, entered), lambda x: x["term"])
-    prefix = F.when(F.col("floor") <= 0, F.concat(prefix, F.array(F.lit(0).cast("long")))).otherwise(prefix)
-    # a term and its weight in one number: the high bits name the term, the low bits hold the square
-    packed = F.transform("met", lambda x: F.shiftleft(F.shiftright(x["term"], 16), 16) + x["w"])
-    # classes without any trigram (both texts empty) have no vector and enter under the common term
-    full = alive.join(vectors.select("n", "floor", prefix.alias("prefix"), packed.alias("packed")), "n", "left")
-    bare = (F.size(_grams(F.col("a"), "a")) + F.size(_grams(F.col("b"), "b"))) == 0
-    return full.where(F.col("floor").isNotNull() | bare).select(
-        "n", "cid", "side", "line", "a", "b", "blocks", F.coalesce("floor", F.lit(0).cast("long")).alias("floor"), F.coalesce("prefix", F.array(F.lit(0).cast("long"))).alias("prefix"), F.coalesce("packed", F.array().cast("array<bigint>")).alias("packed")
-    )
-
-
-def _terms(texts: list[str], field: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of every distinct trigram of each text, in order."""
-    marked = [f"^{t}$" if t else "" for t in texts]
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(letters) < _GRAM:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    rows = np.repeat(np.arange(len(marked)), sizes)
-    # three code points of 21 bits and the text's bit make one number; the mixing step spreads numbers, one to one
-    grams = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
-    inside = rows[2:] == rows[:-2]
-    grams, rows = grams[inside], rows[:-2][inside]
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Spreads whole numbers over 64 bits, one to one."""
     with np.errstate(over="ignore"):
-        grams = (grams | np.uint64(field << 63)) * np.uint64(0x9E3779B97F4A7C15)
-        grams ^= grams >> np.uint64(29)
-        grams *= np.uint64(0xBF58476D1CE4E5B9)
-        grams ^= grams >> np.uint64(32)
-    terms = grams.view(np.int64)
-    order = np.lexsort((terms, rows))
-    terms, rows = terms[order], rows[order]
-    first = np.r_[True, (np.diff(terms) != 0) | (np.diff(rows) != 0)]
-    return rows[first], terms[first]
-
-
-def _both(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, field) over both texts of a batch."""
-    parts = [(*_terms(batch.column(c).to_pylist(), f), f) for f, c in ((0, "a"), (1, "b"))]
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([np.full(len(p[0]), p[2]) for p in parts])
-
-
-def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of the classes that hold each term, and the sides they are on."""
-    for batch in batches:
-        rows, terms, _ = _both(batch)
-        if len(terms):
-            side = batch.column("side").to_numpy(zero_copy_only=False)[rows]
-            order = np.argsort(terms, kind="stable")
-            starts = np.flatnonzero(np.r_[True, np.diff(terms[order]) != 0])
-            counts = np.diff(np.r_[starts, len(terms)])
-            columns = [terms[order][starts], counts, np.minimum.reduceat(side[order], starts).astype(np.int32), np.maximum.reduceat(side[order], starts).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["term", "df", "lo", "hi"])
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
 
 
 def _starts(group: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, np.diff(group) != 0]) if len(group) else np.empty(0, np.int64)
 
 
-def _within(group: np.ndarray, values: np.ndarray) -> np.ndarray:
+def _before(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Sum of the earlier values of the same run of equal groups."""
     before = np.cumsum(values) - values
     starts = _starts(group)
     return before - np.repeat(before[starts], np.diff(np.r_[starts, len(group)]))
 
 
-def _vector_batches(batches: Iterator[pa.RecordBatch], known: np.ndarray, squares: np.ndarray, met: np.ndarray, lost: int) -> Iterator[pa.RecordBatch]:
-    """The rows with their floor, the terms they are entered under, and their packed vector."""
+def _terms(batch: pa.RecordBatch, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, field, term) of every distinct term of both texts, ordered by row, field and term."""
+    found = []
+    for number, column in enumerate(("a", "b")):
+        marked = [f"^{t}$" if t else "" for t in batch.column(column).to_pylist()]
+        letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        if len(letters) < _GRAM:
+            continue
+        rows = np.repeat(np.arange(len(marked), dtype=np.uint64), np.fromiter(map(len, marked), np.int64, len(marked)))
+        inside = rows[2:] == rows[:-2]
+        # three code points of 21 bits and the text's bit make one number
+        grams = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:] | np.uint64(number << 63)
+        hashed = _mix(grams[inside]) % np.uint64(terms)
+        found.append(((rows[:-2][inside] * np.uint64(2) + np.uint64(number)) * np.uint64(terms) + hashed).view(np.int64))
+    flat = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    group = flat // terms
+    return group // 2, group % 2, flat % terms
+
+
+def _holders(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
+    """How many classes of the partition hold each term, and on which sides."""
+    df, sides = np.zeros(terms, np.int64), np.zeros((2, terms), bool)
+    for batch in batches:
+        rows, _, found = _terms(batch, terms)
+        np.add.at(df, found, 1)
+        sides[batch.column("side").to_numpy()[rows], found] = True
+    held = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held]), *[pa.array(s[held]) for s in sides]], names=["term", "df", "train", "eval"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], squares: np.ndarray, met: np.ndarray, lost: int, terms: int) -> Iterator[pa.RecordBatch]:
+    """Classes with their floor, their terms that the other side holds (heaviest first, weight in the low bits), and how many of them are entered."""
     for batch in batches:
         n = batch.num_rows
-        rows, terms, fields = _both(batch)
-        at = np.searchsorted(known, terms)
-        w, shared = squares[at], met[at]
+        rows, fields, found = _terms(batch, terms)
+        w = squares[found]
         total = np.bincount(rows, w, n).astype(np.int64)
-        order = np.lexsort((-w, fields, rows))
-        heavy = _within((rows * 2 + fields)[order], np.ones(len(rows), np.int64)) < lost
+        order = np.lexsort((-w, rows * 2 + fields))
+        heavy = _before((rows * 2 + fields)[order], np.ones(len(rows), np.int64)) < lost
         floor = total - np.bincount(rows[order][heavy], w[order][heavy], n).astype(np.int64)
-        rows, terms, w = rows[shared], terms[shared], w[shared]
+        shared = met[found]
+        rows, found, w = rows[shared], found[shared], w[shared]
+        # one order of terms for all vectors: by weight, then by number
+        order = np.lexsort((((_UNIT - w) * terms + found), rows))
+        rows, found, w = rows[order], found[order], w[order]
         reach = np.bincount(rows, w, n).astype(np.int64)
-        order = np.lexsort((-terms, -w, rows))
-        rows, terms, w = rows[order], terms[order], w[order]
-        entered = _within(rows, w) <= (reach - floor)[rows]
-        # a class without a floor is entered under the common term of its block as well
-        at_common = np.flatnonzero(floor <= 0)
-        p_rows, p_terms = np.r_[rows[entered], at_common], np.r_[terms[entered], np.zeros(len(at_common), np.int64)]
-        order = np.argsort(p_rows, kind="stable")
-        prefix = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(p_rows, minlength=n))].astype(np.int32)), pa.array(p_terms[order]))
-        packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array(((terms >> 16) << 16) + w))
-        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), prefix, packed], names=[*batch.schema.names, "floor", "prefix", "packed"])
+        entered = np.bincount(rows, _before(rows, w) <= (reach - floor)[rows], n).astype(np.int32)
+        packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array((found << 16) + w))
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(entered), packed], schema=_FULL)
         yield out.filter(pa.array(reach >= floor))
 
 
-def _vectors(alive: DataFrame, lost: int, max_terms: int) -> DataFrame:
-    """Classes with ``floor``, ``prefix`` (terms entered in the inverted lists) and ``packed`` (term and square in one number).
+def _blocks(side: np.ndarray, frame: np.ndarray, line: np.ndarray, la: np.ndarray, lb: np.ndarray, typos: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(rows, their block) for each way to look: a training row stands in one block, an evaluation row looks into all within reach."""
+    ways = []
+    for value, reach, width in ((line, LINE_REACH, LINE_BLOCK), (la, typos, SIZE_BLOCK), (lb, typos, SIZE_BLOCK)):
+        low, high = (np.where(side == 1, value + d, value) // width for d in (-reach, reach))
+        ways.append(((low, np.ones(len(side), bool)), (high, low != high)))
+    out = []
+    for some in product(*ways):
+        rows = np.flatnonzero(np.logical_and.reduce([valid for _, valid in some]))
+        block = frame[rows].view(np.uint64)
+        for slot, _ in some:
+            block = _mix(block ^ slot[rows].astype(np.int64).view(np.uint64))
+        out.append((rows, block))
+    return out
 
-    Term counts are summed in each batch before the shuffle. If the terms number at most ``max_terms`` their weights are broadcast
-    and the vectors built where the classes are; otherwise everything is joined by term.
-    """
-    ship(alive.sparkSession)
-    wanted = alive.select("n", "cid", "side", "line", "a", "b", "blocks")
-    counted = wanted.select("a", "b", "side").mapInArrow(_holders, "term bigint, df bigint, lo int, hi int")
-    holders = checkpoint(counted.groupBy("term").agg(F.sum("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("term", _square(F.col("df")).alias("w"), (F.col("lo") < F.col("hi")).alias("met")))
-    if holders.limit(max_terms + 1).count() > max_terms:
-        return _vectors_joined(wanted, lost)
-    table = holders.toArrow()
-    order = np.argsort(table["term"].to_numpy())
-    held = alive.sparkSession.sparkContext.broadcast((table["term"].to_numpy()[order], table["w"].to_numpy()[order], table["met"].to_numpy()[order]))
-    return wanted.mapInArrow(
-        lambda it: _vector_batches(it, *held.value, lost),
-        "n bigint, cid string, side int, line int, a string, b string, blocks array<bigint>, floor bigint, prefix array<bigint>, packed array<bigint>",
-    )
 
+def _deletions(text: str, typos: int) -> set[str]:
+    """What is left of a text when up to ``typos`` letters are deleted."""
+    return {"".join(c for i, c in enumerate(text) if i not in gone) for k in range(typos + 1) for gone in combinations(range(len(text)), k)}
 
-def cross_split_pairs(
-    df: DataFrame, row_id: str, split: str, equal: list[str], first: str, second: str, line: str, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("dev", "holdout"), typos: int = TYPOS, max_terms: int = MAX_TERMS
-) -> DataFrame:
-    """(train_id, eval_id) for every pair across the splits whose texts are the same up to spelling and typos."""
-    same = [f"eq{i}" for i in range(len(equal))]
-    side = F.when(F.col(split).isin(*evaluation), 1).when(F.col(split).isin(*train), 0)
-    rows = (
-        df.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], spelling(F.col(first)).alias("a"), spelling(F.col(second)).alias("b"))
-        .dropna()
-        .select("*", F.md5(F.to_json(F.struct("side", "line", *same, "a", "b"))).alias("cid"))
-    )
-    # read three times below: for the blocks, the classes and their rows
-    rows = checkpoint(rows)
 
-    # classes that have a counterpart block on the other side
-    def near(value: Column, reach: int, width: int) -> Column:
-        """The slots within reach of an evaluation row's value; the one slot of a training row's."""
-        around = F.array_distinct(F.array(*[F.floor((value.cast("long") + d) / width) for d in (-reach, reach)]))
-        return F.when(F.col("side") == 1, around).otherwise(F.array(F.floor(value / width)))
+def _listed(batches: Iterator[pa.RecordBatch], typos: int) -> Iterator[pa.RecordBatch]:
+    """Entries of the inverted lists: block and term in one number, the term's weight and the norm that remains after it."""
+    for batch in batches:
+        numbers = {c: batch.column(c).to_numpy() for c in ("n", "side", "line", "frame", "floor", "entered")}
+        texts = {c: batch.column(c).to_pylist() for c in ("a", "b")}
+        la, lb = (np.fromiter(map(len, texts[c]), np.int64, batch.num_rows) for c in ("a", "b"))
+        packed = batch.column("packed")
+        flat, sizes = packed.flatten().to_numpy(), np.diff(packed.offsets.to_numpy())
+        rows = np.repeat(np.arange(batch.num_rows), sizes)
+        w = flat & 0xFFFF
+        rest = np.bincount(rows, w, batch.num_rows).astype(np.int64)[rows] - _before(rows, w) - w
+        kept = _before(rows, np.ones(len(rows), np.int64)) < numbers["entered"][rows]
+        rows, term, w, rest = rows[kept], (flat[kept] >> 16).astype(np.uint64), w[kept], rest[kept]
+        # vectors without a floor
+        more: list[tuple[int, int]] = []
+        for r in np.flatnonzero(numbers["floor"] <= 0).tolist():
+            if la[r] <= _BY_DELETION:
+                more += [(r, xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in _deletions(texts["a"][r], typos)]
+            if la[r] > _BY_BLOCK:
+                more.append((r, 0))
+        if more:
+            extra, keys = np.array([m[0] for m in more]), np.array([m[1] for m in more], np.uint64)
+            rows, term = np.r_[rows, extra], np.r_[term, keys | np.uint64(1 << 63)]
+            w, rest = np.r_[w, np.zeros(len(extra), np.int64)], np.r_[rest, np.full(len(extra), 1 << 60)]
+        spread = _mix(term + np.uint64(1))
+        at = np.argsort(rows, kind="stable")
+        rows, spread, w, rest = rows[at], spread[at], w[at], rest[at]
+        ends = np.r_[0, np.cumsum(np.bincount(rows, minlength=batch.num_rows))]
+        for some, block in _blocks(numbers["side"], numbers["frame"], numbers["line"], la, lb, typos):
+            size = (ends[1:] - ends[:-1])[some]
+            entry = np.repeat(ends[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            key = _mix(np.repeat(block, size) ^ spread[entry]).view(np.int64)
+            r = rows[entry]
+            columns = [key, numbers["n"][r], numbers["side"][r], numbers["line"][r], la[r].astype(np.int32), lb[r].astype(np.int32), w[entry], rest[entry], numbers["floor"][r]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_LIST)
+
+
+def _weights(classes: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(squared weight, held on both sides) of every term; counted in each partition before the shuffle."""
+    counted = classes.select("a", "b", "side").mapInArrow(lambda it: _holders(it, terms), "term bigint, df bigint, train boolean, eval boolean")
+    table = counted.groupBy("term").agg(F.sum("df").alias("df"), (F.bool_or("train") & F.bool_or("eval")).alias("met")).toArrow()
+    squares, met = np.ones(terms, np.int64), np.zeros(terms, bool)
+    at = table["term"].to_numpy()
+    squares[at] = np.maximum(1, np.ceil(_UNIT / (1 + np.log(table["df"].to_numpy())) ** 2)).astype(np.int64)
+    met[at] = table["met"].to_numpy()
+    return squares, met
+
+
+def _weight(packed: Column) -> Column:
+    return F.aggregate(packed, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(0xFFFF)))
+
+
+def class_pairs(classes: DataFrame, typos: int = TYPOS, terms: int = TERMS) -> DataFrame:
+    """(tc, ec): class ids of the two sides whose texts are the same up to typos. ``classes`` must be stored, not computed."""
+    spark = classes.sparkSession
+    held = spark.sparkContext.broadcast(_weights(classes, terms))
+    full = checkpoint(classes.mapInArrow(lambda it: _vectors(it, *held.value, _GRAM * typos, terms), f"{_CLASS}, floor bigint, entered int, packed array<bigint>"))
+    lists = full.select("n", "side", "line", "frame", "a", "b", "floor", "entered", "packed").mapInArrow(lambda it: _listed(it, typos), "key bigint, n bigint, side int, line int, la int, lb int, w bigint, rest bigint, floor bigint")
 
-    lines, first_sizes, second_sizes = near(F.col("line"), LINE_REACH, LINE_BLOCK), near(F.char_length("a"), typos, SIZE_BLOCK), near(F.char_length("b"), typos, SIZE_BLOCK)
+    t, e = lists.where("side = 0").alias("t"), lists.where("side = 1").alias("e")
+    close = (F.abs(F.col("t.line").cast("long") - F.col("e.line")) <= LINE_REACH) & (F.abs(F.col("t.la") - F.col("e.la")) <= typos) & (F.abs(F.col("t.lb") - F.col("e.lb")) <= typos)
+    bound = F.sum("t.w") + F.least(F.min("t.rest"), F.min("e.rest"))
+    met = t.join(e, (F.col("t.key") == F.col("e.key")) & close).groupBy(F.col("t.n").alias("tn"), F.col("e.n").alias("en"))
+    # a term of the lists is counted once per pair: a training class stands in one block
+    candidates = checkpoint(met.agg(bound.alias("bound"), F.max(F.greatest("t.floor", "e.floor")).alias("need")).where("bound >= need").select("tn", "en"))
+
+    wanted = candidates.select(F.explode(F.array("tn", "en")).alias("n")).distinct()
+    sides = checkpoint(full.join(broadcast_if_small(wanted), "n", "left_semi").select("n", "cid", "frame", "a", "b", "floor", "packed"))
+    left, right = (sides.select(*[F.col(c).alias(f"{p}_{c}") for c in sides.columns]) for p in "te")
+    scored = candidates.join(left, F.col("tn") == F.col("t_n")).join(right, (F.col("en") == F.col("e_n")) & (F.col("t_frame") == F.col("e_frame")))
+    dot = _weight(F.array_intersect("t_packed", "e_packed"))
+    near = (F.levenshtein("t_a", "e_a", typos) >= 0) & (F.levenshtein("t_b", "e_b", typos) >= 0)
+    return scored.where((dot >= F.greatest("t_floor", "e_floor")) & near).select(F.col("t_cid").alias("tc"), F.col("e_cid").alias("ec"))
+
+
+def spelled_rows(df: DataFrame, row_id: str, split: str, equal: list[str], first: str, second: str, line: str, train: tuple[str, ...], evaluation: tuple[str, ...]) -> DataFrame:
+    """(row_id, side, line, a, b, frame, cid) of the rows that can be in a pair; equal ``cid`` means a copy on the same side."""
+    side = F.when(F.col(split).isin(*evaluation), 1).when(F.col(split).isin(*train), 0)
+    same = [f"eq{i}" for i in range(len(equal))]
+    rows = df.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], spelling(F.col(first)).alias("a"), spelling(F.col(second)).alias("b")).dropna()
+    sized = [x for c in (*same, "a", "b") for x in (F.char_length(c).cast("string"), F.lit(":"), F.col(c))]
     frame = F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")))
-    blocks = F.flatten(F.flatten(F.transform(lines, lambda n: F.transform(first_sizes, lambda x: F.transform(second_sizes, lambda y: F.xxhash64(frame, n, x, y))))))
-    classes = rows.select("cid", "side", "line", "a", "b", blocks.alias("blocks")).dropDuplicates(["cid"])
-    shared = classes.select("side", F.explode("blocks").alias("block")).groupBy("block").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("block")
-    alive = classes.select("*", F.explode("blocks").alias("block")).join(shared, "block", "left_semi").groupBy("cid").agg(F.collect_set("block").alias("blocks"), *[F.first(c).alias(c) for c in ("side", "line", "a", "b")])
-    alive = checkpoint(alive.withColumn("n", F.monotonically_increasing_id()))
+    return rows.select("row_id", "side", "line", "a", "b", frame.alias("frame"), F.md5(F.concat(F.col("side").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit(":"), *sized)).alias("cid"))
 
-    full = checkpoint(_vectors(alive, _GRAM * typos, max_terms))
 
-    lists = full.select("n", "side", "line", F.char_length("a").alias("la"), F.char_length("b").alias("lb"), F.explode("blocks").alias("block"), "prefix").select("n", "side", "line", "la", "lb", "block", F.explode("prefix").alias("term"))
-    t, e = lists.where("side = 0").alias("t"), lists.where("side = 1").alias("e")
-    close = (F.abs(F.col("t.line").cast("long") - F.col("e.line")) <= LINE_REACH) & (F.abs(F.col("t.la") - F.col("e.la")) <= typos) & (F.abs(F.col("t.lb") - F.col("e.lb")) <= typos)
-    candidates = t.join(e, (F.col("t.block") == F.col("e.block")) & (F.col("t.term") == F.col("e.term")) & close).select(F.col("t.n").alias("tn"), F.col("e.n").alias("en")).distinct()
-    def weight(packed: Column) -> Column:
-        return _sum(F.transform(packed, lambda x: x.bitwiseAND(F.lit(0xFFFF))))
-
-    # numbers of two terms of one vector may meet in their high bits; the floor gives way by what an intersection would lose
-    sure = (F.col("floor") - weight(F.col("packed")) + weight(F.array_distinct("packed"))).alias("sure")
-    left = full.where("side = 0").select(F.col("n").alias("tn"), F.col("cid").alias("tc"), F.col("a").alias("t_a"), F.col("b").alias("t_b"), F.col("packed").alias("t_packed"), sure.alias("t_sure"))
-    right = full.where("side = 1").select(F.col("n").alias("en"), F.col("cid").alias("ec"), F.col("a").alias("e_a"), F.col("b").alias("e_b"), F.col("packed").alias("e_packed"), sure.alias("e_sure"))
-    dot = weight(F.array_intersect("t_packed", "e_packed"))
-    scored = candidates.join(left, "tn").join(right, "en").where(dot >= F.greatest("t_sure", "e_sure"))
-    matched = scored.where((F.levenshtein("t_a", "e_a", typos) >= 0) & (F.levenshtein("t_b", "e_b", typos) >= 0)).select("tc", "ec")
-
-    members = rows.select("cid", "row_id")
-    return matched.join(members.select(F.col("cid").alias("tc"), F.col("row_id").alias("train_id")), "tc").join(members.select(F.col("cid").alias("ec"), F.col("row_id").alias("eval_id")), "ec").select("train_id", "eval_id")
+def cross_split_classes(
+    df: DataFrame, row_id: str, split: str, equal: list[str], first: str, second: str, line: str, train: tuple[str, ...] = ("train",), evaluation: tuple[str, ...] = ("dev", "holdout"), typos: int = TYPOS, terms: int = TERMS
+) -> tuple[DataFrame, DataFrame]:
+    """Overlaps without expanding copies: (tc, ec) pairs of classes, and the membership (cid, row_id) of all rows."""
+    ship(df.sparkSession)
+    rows = checkpoint(spelled_rows(df, row_id, split, equal, first, second, line, train, evaluation))
+    shared = rows.groupBy("frame").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo < hi").select("frame")
+    classes = rows.join(shared, "frame", "left_semi").groupBy("cid").agg(*[F.first(c).alias(c) for c in ("side", "line", "frame", "a", "b")])
+    classes = checkpoint(classes.select(F.monotonically_increasing_id().alias("n"), "cid", "side", "line", "frame", "a", "b"))
+    return class_pairs(classes, typos, terms), rows.select("cid", "row_id")
+
+
+def cross_split_pairs(df: DataFrame, *columns, **options) -> DataFrame:
+    """(train_id, eval_id) for every pair across the splits whose texts are the same up to spelling and typos.
+
+    Takes the arguments of :func:`cross_split_classes`.
+    """
+    matched, members = cross_split_classes(df, *columns, **options)
+    matched = checkpoint(matched)
+    found = broadcast_if_small(matched.select(F.explode(F.array("tc", "ec")).alias("cid")).distinct())
+    members = members.join(found, "cid", "left_semi")
+    return (
+        matched.join(members.select(F.col("cid").alias("tc"), F.col("row_id").alias("train_id")), "tc")
+        .join(members.select(F.col("cid").alias("ec"), F.col("row_id").alias("eval_id")), "ec")
+        .select("train_id", "eval_id")
+    )
+
+
+def cross_split_links(df: DataFrame, *columns, **options) -> DataFrame:
+    """(row_id, class_id, n_links) for every row that can be in a pair: its class is named by the least row id of its copies.
+
+    ``n_links`` counts the rows of the other side it overlaps with; copies are not expanded into pairs.
+    Takes the arguments of :func:`cross_split_classes`.
+    """
+    matched, members = cross_split_classes(df, *columns, **options)
+    sizes = members.groupBy("cid").agg(F.count("*").alias("n"), F.min("row_id").alias("class_id"))
+    both = matched.select(F.inline(F.array(F.struct(F.col("tc").alias("cid"), F.col("ec").alias("other")), F.struct(F.col("ec").alias("cid"), F.col("tc").alias("other")))))
+    links = both.join(sizes.select(F.col("cid").alias("other"), "n"), "other").groupBy("cid").agg(F.sum("n").alias("n_links"))
+    classes = sizes.join(links, "cid", "left").select("cid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.join(classes, "cid").select("row_id", "class_id", "n_links")

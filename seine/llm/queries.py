@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seine.llm import digest, packing
 from seine.llm.leakage import leaks
-from seine.llm.overlap import cross_split_pairs
+from seine.llm.overlap import cross_split_links, cross_split_pairs
 from seine.llm.sampling import sample_by_wave, stable_sample
 from seine.llm.visual import canonical_text, look_alike_pairs
 from seine.registry import Registry
@@ -191,8 +191,11 @@ def p2_by_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_by_wave(table(spark, sf_dir, "sites"), "system", "site_id", "wave").withColumnRenamed("stratum", "system")
 
 
+_FINDING = ("row_id", "split", ["system", "predicate"], "path", "object", "line")
+
+
 def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_split_pairs(table(spark, sf_dir, "g34"), "row_id", "split", ["system", "predicate"], "path", "object", "line")
+    return cross_split_pairs(table(spark, sf_dir, "g34"), *_FINDING)
 
 
 _SPELLED = """lower(regexp_replace(replace(replace(replace(replace(replace({0}, '%2F', '/'), '%2E', '.'), '%5F', '_'), chr(92), '/'), '+', '+'), '\\s+', '', 'g'))"""
@@ -220,6 +223,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _across(spark, sf_dir).select(F.least("train_id", "eval_id").alias("row_id_a"), F.greatest("train_id", "eval_id").alias("row_id_b"))
 
 
+@R.query(
+    "p3_classes",
+    sql=f"""WITH {_PAIRS_SQL},
+    links AS (SELECT row_id, count(*) AS n FROM (SELECT train_id AS row_id FROM pairs UNION ALL SELECT eval_id FROM pairs) GROUP BY row_id)
+    SELECT r.row_id, min(r.row_id) OVER (PARTITION BY r.split = 'train', r.system, r.predicate, r.line, r.a, r.b) AS class_id, coalesce(l.n, 0)::BIGINT AS n_links
+    FROM rows r LEFT JOIN links l ON r.row_id = l.row_id WHERE r.split IN ('train', 'dev', 'holdout') AND r.system IS NOT NULL AND r.predicate IS NOT NULL""",
+)
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every finding with its class of copies and the number of findings of the other side it overlaps with."""
+    return cross_split_links(table(spark, sf_dir, "g34"), *_FINDING)
+
+
 @R.query(
     "p3_counts",
     sql=f"""WITH {_PAIRS_SQL},

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from seine.llm.overlap import cross_split_pairs, spelling
+from seine.llm.overlap import cross_split_classes, cross_split_pairs, spelling
 
 SCHEMA = "row_id bigint, split string, system string, predicate string, path string, object string, line int, cid string, side int, a string"
 
@@ -61,7 +61,7 @@ def test_words_lines_digits_and_sides(spark):
 def test_short_empty_and_long_texts(spark):
     long = "x" * 2_000
     rows = [(1, "train", "s", "P", "ab", "c", 1), (2, "dev", "s", "P", "a", "", 1), (3, "dev", "s", "P", "abcde", "c", 1), (4, "train", "s", "P", "", "", 5), (5, "dev", "s", "P", "/", " ", 5), (6, "train", "s", "P", long, "k", 9), (7, "dev", "s", "P", long + "yy", "k", 9), (8, "dev", "s", "P", long + "yyz", "k", 9)]
-    assert pairs(spark, rows) == {(1, 2), (4, 5), (6, 7)} == brute(spark, rows) == pairs(spark, rows, max_terms=0)
+    assert pairs(spark, rows) == {(1, 2), (4, 5), (6, 7)} == brute(spark, rows) == pairs(spark, rows, terms=4)
 
 
 def test_random_typos_against_brute_force(spark):
@@ -81,7 +81,24 @@ def test_random_typos_against_brute_force(spark):
     rows = [(i, rng.choice(["train", "dev", "holdout"]), rng.choice("st"), "P", typo(p), typo(o), rng.randint(1, 12)) for i in range(500) for p, o in [rng.choice(base)]]
     expected = brute(spark, rows)
     assert pairs(spark, rows) == expected and len(expected) > 100
-    assert pairs(spark, rows, max_terms=10) == expected
+    assert pairs(spark, rows, terms=64) == expected
+
+
+def test_few_letters_against_brute_force(spark):
+    """Texts without a floor: they meet by deletions, or by their block where they are long and repeat themselves."""
+    rng = random.Random(3)
+    texts = ["", "a", "ab", "abc", "abcd", "bcd", "abxd", "zz", "zzzz", "ab/c", *("a" * k for k in (9, 11, 13, 14, 15, 16, 17, 18, 19, 20, 21)), *("ab" * k for k in (7, 8, 9, 10))]
+    rows = [(i, rng.choice(["train", "dev"]), "s", "P", rng.choice(texts), rng.choice(["", "k", "kk", "kkkkkkkk"]), rng.randint(1, 4)) for i in range(260)]
+    expected = brute(spark, rows)
+    assert pairs(spark, rows) == expected and len(expected) > 300
+
+
+def test_copies_of_one_finding_are_one_class(spark):
+    p, o = "src/gonboltir/dispatch.go", "tidegate.hosbanhi.Service/GetVoucher"
+    rows = [(i, "train" if i % 2 else "dev", "s", "P", p, o, 5) for i in range(400)]
+    matched, members = cross_split_classes(frame(spark, rows), "row_id", "split", ["system", "predicate"], "path", "object", "line")
+    assert matched.count() == 1 and members.count() == 400
+    assert len(pairs(spark, rows)) == 200 * 200
 
 
 def test_empty_table(spark):
