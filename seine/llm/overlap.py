@@ -40,12 +40,13 @@ LINE_REACH = 3
 #: Lines and characters per block; an evaluation row looks into each block within reach.
 LINE_BLOCK = 8
 SIZE_BLOCK = 8
-#: Terms that trigrams are hashed to; the table of their weights is the only one that passes the driver, and never longer.
+#: Terms that trigrams are hashed to, a power of two; the table of their weights is the only one that passes the driver, and never longer.
 TERMS = 1 << 18
 #: Length up to which the first text of a vector without a floor is entered by deletions, and from which by its block alone.
 _BY_DELETION, _BY_BLOCK = 18, 14
 _GRAM = 3
 _UNIT = 4096
+_WEIGHT_BITS = 13
 _CLASS = "n bigint, cid string, side int, line int, frame bigint, a string, b string"
 _FULL = pa.schema(
     [("n", pa.int64()), ("cid", pa.string()), ("side", pa.int32()), ("line", pa.int32()), ("frame", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("floor", pa.int64()), ("entered", pa.int32()), ("packed", pa.list_(pa.int64()))]
@@ -94,51 +95,55 @@ def _before(group: np.ndarray, values: np.ndarray) -> np.ndarray:
     return before - np.repeat(before[starts], np.diff(np.r_[starts, len(group)]))
 
 
-def _terms(batch: pa.RecordBatch, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, field, term) of every distinct term of both texts, ordered by row, field and term."""
-    found = []
+def _terms(batch: pa.RecordBatch, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, term) of every distinct term of both texts, in order; the lowest bit of a term names the text."""
+    found, bits = [], terms.bit_length() - 1
     for number, column in enumerate(("a", "b")):
         marked = [f"^{t}$" if t else "" for t in batch.column(column).to_pylist()]
         letters = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         if len(letters) < _GRAM:
             continue
-        rows = np.repeat(np.arange(len(marked), dtype=np.uint64), np.fromiter(map(len, marked), np.int64, len(marked)))
+        rows = np.repeat(np.arange(len(marked), dtype=np.int64), np.fromiter(map(len, marked), np.int64, len(marked)))
+        # three code points of 21 bits make one number; grams across two texts are left out
+        grams = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
         inside = rows[2:] == rows[:-2]
-        # three code points of 21 bits and the text's bit make one number
-        grams = (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:] | np.uint64(number << 63)
-        hashed = _mix(grams[inside]) % np.uint64(terms)
-        found.append(((rows[:-2][inside] * np.uint64(2) + np.uint64(number)) * np.uint64(terms) + hashed).view(np.int64))
-    flat = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
-    group = flat // terms
-    return group // 2, group % 2, flat % terms
+        hashed = (_mix(grams[inside]) & np.uint64(terms // 2 - 1)).view(np.int64)
+        found.append((rows[:-2][inside] << bits) + hashed * 2 + number)
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    flat = np.sort(np.concatenate(found))
+    flat = flat[np.r_[True, flat[1:] != flat[:-1]]]
+    return flat >> bits, flat & (terms - 1)
 
 
 def _holders(batches: Iterator[pa.RecordBatch], terms: int) -> Iterator[pa.RecordBatch]:
     """How many classes of the partition hold each term, and on which sides."""
-    df, sides = np.zeros(terms, np.int64), np.zeros((2, terms), bool)
+    df, evaluation = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
     for batch in batches:
-        rows, _, found = _terms(batch, terms)
-        np.add.at(df, found, 1)
-        sides[batch.column("side").to_numpy()[rows], found] = True
+        rows, found = _terms(batch, terms)
+        df += np.bincount(found, minlength=terms)
+        evaluation += np.bincount(found[batch.column("side").to_numpy()[rows] == 1], minlength=terms)
     held = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(df[held]), *[pa.array(s[held]) for s in sides]], names=["term", "df", "train", "eval"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (held, df[held], evaluation[held] < df[held], evaluation[held] > 0)], names=["term", "df", "train", "eval"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch], squares: np.ndarray, met: np.ndarray, lost: int, terms: int) -> Iterator[pa.RecordBatch]:
     """Classes with their floor, their terms that the other side holds (heaviest first, weight in the low bits), and how many of them are entered."""
+    bits = terms.bit_length() - 1
     for batch in batches:
         n = batch.num_rows
-        rows, fields, found = _terms(batch, terms)
-        w = squares[found]
-        total = np.bincount(rows, w, n).astype(np.int64)
-        order = np.lexsort((-w, rows * 2 + fields))
-        heavy = _before((rows * 2 + fields)[order], np.ones(len(rows), np.int64)) < lost
-        floor = total - np.bincount(rows[order][heavy], w[order][heavy], n).astype(np.int64)
+        rows, found = _terms(batch, terms)
+        # one order of terms for all vectors: by weight, then by number
+        order = np.sort((((rows << _WEIGHT_BITS) + (_UNIT - squares[found])) << bits) + found)
+        found, order = order & (terms - 1), order >> bits
+        rows, w = order >> _WEIGHT_BITS, _UNIT - (order & ((1 << _WEIGHT_BITS) - 1))
+        floor = np.bincount(rows, w, n).astype(np.int64)
+        for number in (0, 1):
+            r, x = rows[found & 1 == number], w[found & 1 == number]
+            heavy = _before(r, np.ones(len(r), np.int64)) < lost
+            floor -= np.bincount(r[heavy], x[heavy], n).astype(np.int64)
         shared = met[found]
         rows, found, w = rows[shared], found[shared], w[shared]
-        # one order of terms for all vectors: by weight, then by number
-        order = np.lexsort((((_UNIT - w) * terms + found), rows))
-        rows, found, w = rows[order], found[order], w[order]
         reach = np.bincount(rows, w, n).astype(np.int64)
         entered = np.bincount(rows, _before(rows, w) <= (reach - floor)[rows], n).astype(np.int32)
         packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array((found << 16) + w))
