@@ -38,8 +38,8 @@ CHECKOUT_ROOTS = (r"^/+(?:workspace|workspaces|checkout|builds)/[^/]+/",)
 TYPOS = 2
 LINE_REACH = 3
 #: Lines and characters per block; an evaluation row looks into each block within reach.
-LINE_BLOCK = 8
-SIZE_BLOCK = 8
+LINE_BLOCK = 16
+SIZE_BLOCK = 16
 #: Terms that trigrams are hashed to, a power of two; the table of their weights is the only one that passes the driver, and never longer.
 TERMS = 1 << 18
 #: Length up to which the first text of a vector without a floor is entered by deletions, and from which by its block alone.
