@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seine.runtime import broadcast_if_small, checkpoint, ship
 
-#: Checkout roots that may stand before a path.
+#: Checkout roots that may stand before a path, which then begins with a slash.
 CHECKOUT_ROOTS = (r"^/+(?:workspace|workspaces|checkout|builds)/[^/]+/",)
 TYPOS = 2
 LINE_REACH = 3
@@ -57,9 +57,9 @@ _LIST = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("side", pa.int32()),
 def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
     """One spelling of a path or name: escapes opened, one separator, no blanks, lower case, no root, detours or outer slash."""
     opened = F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
-    flat = F.lower(F.regexp_replace(F.translate(opened, "\\", "/"), r"\s+", ""))
+    flat = F.lower(F.translate(opened, "\\ \t\n\x0b\f\r", "/"))
     for root in roots:
-        flat = F.regexp_replace(flat, root, "")
+        flat = F.when(flat.startswith("/"), F.regexp_replace(flat, root, "")).otherwise(flat)
     empty = F.array().cast("array<string>")
 
     def step(seen: Column, part: Column) -> Column:
@@ -67,7 +67,8 @@ def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
         return F.when(part.isin("", "."), seen).when(up, F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.concat(seen, F.array(part)))
 
     def straight(t: Column) -> Column:
-        return F.when(t.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), F.array_join(F.aggregate(F.split(t, "/"), empty, step), "/")).otherwise(t)
+        bent = F.concat(F.lit("/"), t, F.lit("/"))
+        return F.when(bent.contains("//") | bent.contains("/./") | bent.contains("/../"), F.array_join(F.aggregate(F.split(t, "/"), empty, step), "/")).otherwise(t)
 
     return F.transform(F.array(flat), straight)[0]
 
