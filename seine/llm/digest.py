@@ -177,12 +177,16 @@ def _merge(batches: Iterator[pa.RecordBatch], delta: int) -> Iterator[pa.RecordB
     yield from builder.batches()
 
 
-def merge_digests(digests: DataFrame, delta: int = DELTA, by_period: bool = False) -> DataFrame:
-    """Merge digests of the same metric and group (and period): first within ``part`` modulo a fan, then over all."""
+def merge_digests(digests: DataFrame, delta: int = DELTA, by_period: bool = False, most_parts: int | None = None) -> DataFrame:
+    """Merge digests of the same metric and group (and period): first within ``part`` modulo a fan, then over all.
+
+    Where it is known that a group has no more than ``most_parts`` digests, and these are few, the first level is left out.
+    """
     ship(digests.sparkSession)
     keys = ["metric", "grp", "period", "part"]
     out = digests if by_period else digests.withColumn("period", F.lit(None).cast("string"))
-    for part in (F.pmod("part", F.lit(_FAN)).cast("int"), F.lit(0)):
+    levels = [F.pmod("part", F.lit(_FAN)).cast("int"), F.lit(0)]
+    for part in levels[1:] if most_parts is not None and most_parts <= _FAN else levels:
         out = out.withColumn("part", part).repartition(*keys).mapInArrow(lambda it: _merge(it, delta), _SCHEMA)
     return out
 
@@ -192,9 +196,9 @@ def valid(value: Column, limit: int = LIMIT_MS) -> Column:
 
 
 def measurements(df: DataFrame, id_column: str, group: str, period: Column, metrics: dict[str, Column], limit: int = LIMIT_MS) -> DataFrame:
-    """(grp, period, one valid column per metric), each delivered measurement once."""
+    """(grp, period, one valid column per metric), each delivered measurement once. Written once: it is read for digests and for proofs."""
     wanted = df.select(F.col(id_column).alias("id"), F.col(group).cast("string").alias("grp"), period.cast("string").alias("period"), *[valid(c, limit).alias(m) for m, c in metrics.items()])
-    return wanted.distinct().drop("id")
+    return checkpoint(wanted.distinct().drop("id"))
 
 
 def digests(values: DataFrame, metrics: list[str], delta: int = DELTA) -> DataFrame:
@@ -216,50 +220,84 @@ def percentiles(merged: DataFrame, quantiles: tuple[float, ...] = QUANTILES) ->
     return merged.drop("part").mapInPandas(answer, _SCHEMA.replace("part int, ", "") + ", xs array<double>")
 
 
-def certify(values: DataFrame, answers: DataFrame, metrics: list[str], by_period: bool, bound: float = BOUND, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
-    """The counting pass: how many values lie below and at each answer, exactly.
+def _wide(answers: DataFrame, names: list[str], metrics: list[str], prefix: str) -> DataFrame:
+    """One row per group with the answers of every metric; broadcast only within measured bounds."""
+    wide = answers.groupBy(*[F.col(c).alias(f"{prefix}_{c}") for c in names]).agg(*[F.first(F.when(F.col("metric") == m, F.col("xs")), ignorenulls=True).alias(f"{prefix}_{m}") for m in metrics])
+    return broadcast_if_small(wide)
+
+
+def certify(values: DataFrame, daily: DataFrame, joined: DataFrame, metrics: list[str], bound: float = BOUND, quantiles: tuple[float, ...] = QUANTILES) -> DataFrame:
+    """The counting pass: how many values lie below and at each answer, exactly, for the periods and for all of them in one go.
 
     Gives the answers' rows with ``counted`` values, ``found`` (p, value, below, upto, rank_error per quantile), the largest
     ``rank_error`` and whether it is ``within_bound`` (``bound``, or one row's rank in smaller groups).
     """
-    names = ["g", "p"] if by_period else ["g"]
-    on = F.col("grp").eqNullSafe(F.col("g"))
-    if by_period:
-        on = on & F.col("period").eqNullSafe(F.col("p"))
-    # one row per group with the answers of every metric; its size is probed before it is broadcast
-    wide = answers.groupBy(F.col("grp").alias("g"), F.col("period").alias("p")).agg(*[F.first(F.when(F.col("metric") == m, F.col("xs")), ignorenulls=True).alias(f"x_{m}") for m in metrics])
-    held = values.join(broadcast_if_small(wide.select(*names, *[f"x_{m}" for m in metrics])), on)
-    long = held.select("grp", *(["period"] if by_period else []), F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"), F.col(f"x_{m}").alias("xs")) for m in metrics]))).where("v IS NOT NULL")
-
-    def passed(op) -> Column:
-        return sum((op(F.col("xs")[i]).cast("int") for i in range(1, len(quantiles))), op(F.col("xs")[0]).cast("int"))
-
-    # how many answers lie below a value, and how many at or below it; only these small counts are shuffled
-    keys = ["metric", "grp", *(["period"] if by_period else [])]
-    counted = long.groupBy(*keys, passed(lambda x: F.col("v") > x).alias("over"), passed(lambda x: F.col("v") >= x).alias("from")).count()
-    per_group = counted.groupBy(F.col("metric").alias("m"), F.col("grp").alias("g"), *([F.col("period").alias("p")] if by_period else [])).agg(
-        F.sum("count").alias("counted"),
-        *[F.sum(F.when(F.col("from") <= i, F.col("count")).otherwise(0)).alias(f"below{i}") for i in range(len(quantiles))],
-        *[F.sum(F.when(F.col("over") <= i, F.col("count")).otherwise(0)).alias(f"upto{i}") for i in range(len(quantiles))],
-    )
-    rows = answers.join(per_group, on & (F.col("metric") == F.col("m")))
-
-    def proof(i: int, p: float) -> Column:
-        below, upto, n = F.col(f"below{i}"), F.col(f"upto{i}"), F.col("counted")
-        error = F.greatest(F.lit(0.0), below / n - p, p - upto / n)
-        return F.struct(F.lit(float(p)).alias("p"), F.col("xs")[i].alias("value"), below.alias("below"), upto.alias("upto"), error.alias("rank_error"))
-
-    rows = rows.select("metric", "grp", "period", "n", "counted", F.array(*[proof(i, p) for i, p in enumerate(quantiles)]).alias("found"), "least", "most", "means", "weights", "tied")
+    # one row per group with the answers of every metric; its size is measured before it is broadcast
+    by_day, by_group = _wide(daily, ["grp", "period"], metrics, "d"), _wide(joined, ["grp"], metrics, "g")
+    held = values.join(by_day, F.col("grp").eqNullSafe(F.col("d_grp")) & F.col("period").eqNullSafe(F.col("d_period")), "left").join(by_group, F.col("grp").eqNullSafe(F.col("g_grp")), "left")
+    each = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"), F.col(f"d_{m}").alias("ds"), F.col(f"g_{m}").alias("gs")) for m in metrics]
+    long = held.select("grp", "period", F.inline(F.array(*each))).where("v IS NOT NULL")
+
+    def passed(xs: str, op) -> Column:
+        """How many answers lie below a value (or at or below it)."""
+        return F.coalesce(sum((op(F.col(xs)[i]).cast("int") for i in range(1, len(quantiles))), op(F.col(xs)[0]).cast("int")), F.lit(0))
+
+    # these are steps along the values: a group has few distinct ones, and only their counts are shuffled
+    steps = [passed(xs, op).alias(f"{name}_{xs}") for xs in ("ds", "gs") for name, op in (("over", lambda x: F.col("v") > x), ("from", lambda x: F.col("v") >= x))]
+    counted = long.groupBy("metric", "grp", "period", *steps).count()
+
+    def proved(answers: DataFrame, names: list[str], xs: str) -> DataFrame:
+        per_group = counted.groupBy(F.col("metric").alias("m"), *[F.col(c).alias(f"c_{c}") for c in names]).agg(
+            F.sum("count").alias("counted"),
+            *[F.sum(F.when(F.col(f"from_{xs}") <= i, F.col("count")).otherwise(0)).alias(f"below{i}") for i in range(len(quantiles))],
+            *[F.sum(F.when(F.col(f"over_{xs}") <= i, F.col("count")).otherwise(0)).alias(f"upto{i}") for i in range(len(quantiles))],
+        )
+        on = F.col("metric") == F.col("m")
+        for c in names:
+            on = on & F.col(c).eqNullSafe(F.col(f"c_{c}"))
+
+        def proof(i: int, p: float) -> Column:
+            below, upto, n = F.col(f"below{i}"), F.col(f"upto{i}"), F.col("counted")
+            error = F.greatest(F.lit(0.0), below / n - p, p - upto / n)
+            return F.struct(F.lit(float(p)).alias("p"), F.col("xs")[i].alias("value"), below.alias("below"), upto.alias("upto"), error.alias("rank_error"))
+
+        found = F.array(*[proof(i, p) for i, p in enumerate(quantiles)]).alias("found")
+        return answers.join(per_group, on).select("metric", "grp", "period", "n", "counted", found, "least", "most", "means", "weights", "tied")
+
+    rows = proved(daily, ["grp", "period"], "ds").withColumn("whole", F.lit(False)).unionByName(proved(joined, ["grp"], "gs").withColumn("whole", F.lit(True)))
     worst = F.array_max(F.transform("found", lambda f: f["rank_error"]))
     return rows.withColumn("rank_error", worst).withColumn("within_bound", worst <= F.greatest(F.lit(bound), 1 / F.col("n")))
 
 
-def by_period_and_joined(values: DataFrame, metrics: list[str], delta: int = DELTA) -> DataFrame:
-    """Certified answers and digests for every period, and for all periods (null) joined from the periods' digests."""
-    daily = checkpoint(percentiles(merge_digests(digests(values, metrics, delta), delta, by_period=True)))
-    joined = merge_digests(daily.drop("xs").withColumn("part", F.pmod(F.xxhash64("period"), F.lit(1 << 16)).cast("int")).select(*[c.split()[0] for c in _SCHEMA.split(", ")]), delta)
-    each = certify(values, daily, metrics, by_period=True)
-    return each.unionByName(certify(values, checkpoint(percentiles(joined)), metrics, by_period=False))
+def _answered(values: DataFrame, metrics: list[str], delta: int, bound: float) -> DataFrame:
+    parts = values.rdd.getNumPartitions()
+    daily = checkpoint(percentiles(merge_digests(digests(values, metrics, delta), delta, by_period=True, most_parts=parts)))
+    spread = daily.drop("xs").withColumn("part", F.pmod(F.xxhash64("period"), F.lit(1 << 16)).cast("int"))
+    joined = checkpoint(percentiles(merge_digests(spread.select(*[c.split()[0] for c in _SCHEMA.split(", ")]), delta)))
+    return checkpoint(certify(values, daily, joined, metrics, bound))
+
+
+def by_period_and_joined(values: DataFrame, metrics: list[str], delta: int = DELTA, bound: float = BOUND) -> DataFrame:
+    """Certified answers and digests for every period, and for all periods (``whole``, null period) joined from the periods' digests.
+
+    Groups with an answer that the count proves to be outside the bound are done again with digests four times as fine, until none
+    is left; digests as fine as their values are exact.
+    """
+    out = _answered(values, metrics, delta, bound)
+    good = out.where("within_bound")
+    while (bad := out.where("NOT within_bound").select("metric", "grp").distinct()).limit(1).count():
+        delta *= 4
+        names = bad.groupBy(F.col("grp").alias("b")).agg(F.collect_set("metric").alias("again"))
+        some = values.join(names, F.col("grp").eqNullSafe(F.col("b"))).select("grp", "period", *[F.when(F.array_contains("again", m), F.col(m)).alias(m) for m in metrics])
+        finer = _answered(checkpoint(some), metrics, delta, bound)
+        at = ["metric", "grp", "period", "whole"]
+        wanted = out.where("NOT within_bound").select(*[F.col(c).alias(f"w_{c}") for c in at])
+        match = F.lit(True)
+        for c in at:
+            match = match & F.col(c).eqNullSafe(F.col(f"w_{c}"))
+        out = checkpoint(finer.join(wanted, match, "left_semi"))
+        good = good.unionByName(out.where("within_bound"))
+    return good
 
 
 def value_counts(df: DataFrame, id_column: str, group: str, metrics: dict[str, Column], limit: int = LIMIT_MS) -> DataFrame:

@@ -128,6 +128,28 @@ def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnsRenamed({"period": "day", "grp": "domain"})
 
 
+_LONG_SQL = """
+    rows AS (SELECT DISTINCT result_id, domain, strftime(measured_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, queue_wait_ms, total_ms, phases.extractor_ms AS extractor_ms FROM results),
+    long AS (SELECT domain, day, 'queue_wait_ms' AS metric, queue_wait_ms AS v FROM rows UNION ALL SELECT domain, day, 'total_ms', total_ms FROM rows
+             UNION ALL SELECT domain, day, 'extractor_ms', extractor_ms FROM rows),
+    held AS (SELECT metric, domain, day, list_sort(list(v)) AS vs, count(*) AS n FROM long WHERE v >= 0 AND v < 2592000000 GROUP BY ALL)"""
+#: Up to this many values every value is its own centroid, whatever their spread, and the digest's answers are exact.
+_EXACT_N = 500
+
+
+@R.query(
+    "p4_exact_days",
+    sql=f"""WITH {_LONG_SQL},
+    asked AS (SELECT metric, domain, day, n, vs, unnest([{", ".join(map(str, digest.QUANTILES))}])::DOUBLE AS p FROM held WHERE n <= {_EXACT_N}),
+    answers AS (SELECT *, vs[floor(p * n)::BIGINT + 1]::DOUBLE AS value FROM asked)
+    SELECT metric, domain, day, n, p, value, len(list_filter(vs, lambda x: x < value)) AS below, len(list_filter(vs, lambda x: x <= value)) AS upto FROM answers""",
+)
+def p4_exact_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of all days whose digests keep every value apart, with their counts."""
+    found = digest.by_period_and_joined(_measured(spark, sf_dir), list(_durations())).where((~F.col("whole")) & (F.col("n") <= _EXACT_N))
+    return found.select("metric", F.col("grp").alias("domain"), F.col("period").alias("day"), "n", F.inline("found")).drop("rank_error")
+
+
 @R.query(
     "p4_value_counts",
     sql="""
@@ -151,7 +173,7 @@ def p4_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def p4_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What joining the days' digests must keep exactly: count, ends and total weight, and that every answer is certified."""
-    found = digest.by_period_and_joined(_measured(spark, sf_dir), list(_durations())).where("period IS NULL")
+    found = digest.by_period_and_joined(_measured(spark, sf_dir), list(_durations())).where("whole")
     weight = F.aggregate("weights", F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select("metric", F.col("grp").alias("domain"), "n", "least", "most", weight.alias("weight"), "within_bound")
 

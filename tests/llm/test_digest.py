@@ -44,7 +44,7 @@ def test_certificate_counts_exactly(spark):
     rng = np.random.default_rng(4)
     rows = [(i, "ab"[i % 2], f"d{i % 5}", int(v)) for i, v in enumerate(rng.integers(0, 300, 4_000))]
     found = D.by_period_and_joined(values_of(spark, rows), ["v"]).collect()
-    assert len(found) == 2 * (5 + 1)
+    assert len(found) == 2 * (5 + 1) and sum(r["whole"] for r in found) == 2
     for r in found:
         v = np.array([x for _, g, d, x in rows if g == r["grp"] and (r["period"] is None or d == r["period"])])
         assert r["n"] == r["counted"] == len(v) and r["within_bound"]
@@ -63,11 +63,24 @@ def test_digests_of_days_join_to_the_whole(spark):
     assert whole[0]["least"] == 0 and len(whole[0]["means"]) <= 4 * D.DELTA
 
 
+def test_answers_outside_the_bound_are_mended(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, "ab"[i % 2], f"d{i % 3}", int(v)) for i, v in enumerate(np.exp(rng.normal(8, 2, 12_000)))]
+    values = values_of(spark, rows)
+    coarse = D.certify(values, *(D.percentiles(D.merge_digests(D.digests(values, ["v"], 12), 12, by_period=b)) for b in (True, False)), ["v"])
+    assert coarse.where("NOT within_bound").count() == 8
+    found = D.by_period_and_joined(values, ["v"], delta=12).collect()
+    assert len(found) == 8 and all(r["within_bound"] for r in found)
+    for r in found:
+        v = np.array([x for _, g, d, x in rows if g == r["grp"] and (r["whole"] or d == r["period"])])
+        assert r["n"] == len(v) and all(rank_error(v, f["p"], f["value"]) <= D.BOUND for f in r["found"])
+
+
 def test_dirty_values(spark):
     rows = [(1, "a", "d", 5), (1, "a", "d", 5), (2, "a", "d", -1), (3, "a", "d", None), (4, "a", "d", 10**12), (5, None, None, 7), (6, "b", "d", None), (7, "a", None, 5)]
     found = D.by_period_and_joined(values_of(spark, rows), ["v"]).collect()
-    got = {(r["grp"], r["period"], r["n"]) for r in found}
-    assert got == {("a", "d", 1), ("a", None, 1), ("a", None, 2), (None, None, 1)}
+    got = {(r["grp"], r["period"], r["whole"], r["n"]) for r in found}
+    assert got == {("a", "d", False, 1), ("a", None, False, 1), ("a", None, True, 2), (None, None, False, 1), (None, None, True, 1)}
     df = spark.createDataFrame([(*r, "x", "m") for r in rows], SCHEMA)
     counts = {(r["group"], r["n_valid"], r["n_null"], r["n_impossible"]) for r in D.value_counts(df, "id", "grp", {"v": F.col("v")}).collect()}
     assert counts == {("a", 2, 1, 2), (None, 1, 0, 0), ("b", 0, 1, 0)}
