@@ -1,8 +1,8 @@
 """Filling containers of fixed capacity with texts measured in tokens: minimum bin slack.
 
 Lengths are tokenised once and kept in the shared folder. Items are dealt to shards by hash; a shard is sized in containers (its
-expected load is ``bins_per_shard`` full containers), so the work of one task is bounded at any input size, and the number of
-shards follows the total. In a shard, each container starts with the longest item left; a subset-sum bitset over the available
+expected load is ``bins_per_shard`` full containers) and in items (``items_per_shard``, for many short items in large containers),
+so the work of one task is bounded at any input size, and the number of shards follows the totals. In a shard, each container starts with the longest item left; a subset-sum bitset over the available
 lengths, built in falling order, finds the fullest combination that fits the rest (stopping as soon as nothing is left over); the
 combination is read back from the stored bitsets and removed. Only the last container of a shard is likely to have room left.
 
@@ -29,6 +29,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's publisher cuts text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS_PER_SHARD = 512
+#: Items that one shard is expected to hold at most, whatever their size.
+ITEMS_PER_SHARD = 100_000
 #: Container kinds are a configuration table; a longer list is refused.
 MAX_KINDS = 1_000
 
@@ -105,7 +107,7 @@ def _fullest(sizes: list[int], waiting: dict[int, list[int]], room: int, reserve
     return taken
 
 
-def pack(lengths: DataFrame, containers: DataFrame, kind: str, capacity: str, bins_per_shard: int = BINS_PER_SHARD) -> DataFrame:
+def pack(lengths: DataFrame, containers: DataFrame, kind: str, capacity: str, bins_per_shard: int = BINS_PER_SHARD, items_per_shard: int = ITEMS_PER_SHARD) -> DataFrame:
     """Assign (id, n_tokens) to containers of each kind.
 
     Columns: container_kind, capacity_tokens, container_id, id, piece, token_from, n_tokens.
@@ -116,9 +118,10 @@ def pack(lengths: DataFrame, containers: DataFrame, kind: str, capacity: str, bi
     wanted = containers.select(F.col(kind).alias("container_kind"), F.col(capacity).cast("int").alias("capacity_tokens")).where("capacity_tokens > 0").distinct().limit(MAX_KINDS + 1).collect()
     if len(wanted) > MAX_KINDS:
         raise ValueError(f"more than {MAX_KINDS} kinds of container")
-    total = held.agg(F.sum("n_tokens")).first()[0] or 0
+    total, filled = held.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.count_if(F.col("n_tokens") > 0)).first()
+    by_items = -(-filled // items_per_shard)
     # the short list of kinds is written into the plan, so every item meets every kind without a join
-    kinds = [F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens"), F.lit(max(1, -(-total // (c * bins_per_shard)))).cast("int").alias("shards")) for k, c in wanted]
+    kinds = [F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens"), F.lit(max(1, by_items, -(-total // (c * bins_per_shard)))).cast("int").alias("shards")) for k, c in wanted]
     none = F.array().cast("array<struct<container_kind:string,capacity_tokens:int,shards:int>>")
     items = held.select("id", F.col("n_tokens").alias("length"), F.inline(F.array(*kinds) if kinds else none))
     full = F.floor(F.col("length") / F.col("capacity_tokens")).cast("long")
@@ -154,3 +157,20 @@ def use_of_space(packed: DataFrame) -> DataFrame:
         F.count("*").alias("n_containers"), F.sum("held").alias("n_tokens"), F.ceil(F.sum("held") / F.col("capacity_tokens")).alias("fewest"), F.max("held").alias("fullest"),
         F.round(F.sum("held") / (F.count("*") * F.col("capacity_tokens")), 6).alias("used"),
     )
+
+
+def invariants(packed: DataFrame, lengths: DataFrame, spare: float = 0.01) -> DataFrame:
+    """Per kind, what must hold of any assignment: items seen, containers over capacity, items split without need, items whose
+    pieces do not make up the whole text once, and whether the containers are within ``spare`` (and one) of the fewest possible."""
+    kinds = ["container_kind", "capacity_tokens"]
+    bins = packed.where("container_id IS NOT NULL").groupBy(*kinds, "container_id").agg(F.sum("n_tokens").alias("held"))
+    per_kind = bins.groupBy(*kinds).agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("n_over"), F.count("*").alias("bins"), F.sum("held").alias("tokens"))
+    pieces = packed.groupBy(*kinds, "id").agg(F.sum("n_tokens").alias("placed"), F.count("*").alias("pieces"), F.max(F.col("token_from") + F.col("n_tokens")).alias("reach"), F.countDistinct("token_from").alias("begins"))
+    items = pieces.join(lengths.groupBy("id").agg(F.sum("n_tokens").alias("whole")), "id")
+    per_item = items.groupBy(*kinds).agg(
+        F.count("*").alias("n_items"),
+        F.count_if((F.col("pieces") > 1) & (F.col("whole") <= F.col("capacity_tokens"))).alias("n_split_needlessly"),
+        F.count_if((F.col("placed") != F.col("whole")) | (F.col("reach") != F.col("whole")) | (F.col("begins") != F.col("pieces"))).alias("n_incomplete"),
+    )
+    tight = F.col("bins") <= F.ceil(F.col("tokens") / F.col("capacity_tokens") * (1 + spare)) + 1
+    return per_item.join(per_kind, kinds).select(*kinds, "n_items", "n_over", "n_split_needlessly", "n_incomplete", tight.alias("tight"))

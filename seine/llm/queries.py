@@ -9,7 +9,7 @@ from seine.llm import digest, packing
 from seine.llm.leakage import leaks
 from seine.llm.overlap import cross_split_links, cross_split_pairs
 from seine.llm.sampling import sample_by_wave, stable_sample
-from seine.llm.visual import canonical_text, look_alike_pairs
+from seine.llm.visual import canonical_text, look_alike_classes, look_alike_pairs
 from seine.registry import Registry
 from seine.runtime import table
 
@@ -53,6 +53,16 @@ def p8_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.select(forms.id.alias("doc_id"), "canonical")
 
 
+@R.query(
+    "p8_classes",
+    sql=f"""WITH {_FORMS_SQL}, classes AS (SELECT canonical, min(doc_id) AS class_id, count(DISTINCT text) AS n_variants, count(*) AS n_rows FROM forms WHERE text IS NOT NULL GROUP BY canonical)
+    SELECT doc_id, class_id, n_variants, n_rows FROM forms JOIN classes USING (canonical)""",
+)
+def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the class of those that look the same."""
+    return look_alike_classes(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
 def _edited(side: str, da: int, db: int) -> str:
     """SQL: the words beyond one edit after (or before) an unbroken run that are still wanting for 18 agree."""
     n = f"greatest(0, 18 - (e - s + 1) - {da})"
@@ -193,6 +203,17 @@ def p6_use_of_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.use_of_space(_packed(spark, sf_dir))
 
 
+@R.query(
+    "p6_invariants",
+    sql="""SELECT container_kind, capacity_tokens, (SELECT count(*) FROM documents) AS n_items, 0::BIGINT AS n_over, 0::BIGINT AS n_split_needlessly,
+           0::BIGINT AS n_incomplete, true AS tight FROM containers WHERE capacity_tokens > 0""",
+)
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the assignment of all documents."""
+    lengths = packing.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return packing.invariants(packing.pack(lengths, table(spark, sf_dir, "containers"), "container_kind", "capacity_tokens"), lengths)
+
+
 _RANKED_SQL = """
 keys AS (
   SELECT system, site_id, min(wave) AS first_wave,

@@ -84,14 +84,27 @@ def canonical_text(df: DataFrame, id_column: str, text_column: str) -> DataFrame
     return base.where(plain).select("id", "text", F.col("text").alias("canonical")).unionByName(moved.join(rebuilt, ["id", "th"]).select("id", "text", "canonical"))
 
 
+def _signed(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, form, variant): digests of the consistent form and of the text of every row that has one."""
+    forms = canonical_text(df, id_column, text_column).where(F.col("text").isNotNull())
+    return checkpoint(forms.select("id", F.md5("canonical").alias("form"), F.md5("text").alias("variant")))
+
+
+def look_alike_classes(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(id, class_id, n_variants, n_rows) for every row with a text: the least id of those that look the same, in how many different
+    texts and rows. Nothing is expanded into pairs; a row is in a pair if its class has two variants or more."""
+    signed = _signed(df, id_column, text_column)
+    classes = signed.groupBy("form").agg(F.min("id").alias("class_id"), F.countDistinct("variant").alias("n_variants"), F.count("*").alias("n_rows"))
+    return signed.join(classes, "form").select("id", "class_id", "n_variants", "n_rows")
+
+
 def look_alike_pairs(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Pairs (id_a < id_b) of rows with unequal texts and equal canonical form.
 
     Copies of one text are first collapsed to a variant; variants of one form are paired, then expanded to their rows, so a
     large group of copies costs no comparisons among its own rows.
     """
-    forms = canonical_text(df, id_column, text_column).where(F.col("text").isNotNull())
-    signed = checkpoint(forms.select("id", F.md5("canonical").alias("form"), F.md5("text").alias("variant")))
+    signed = _signed(df, id_column, text_column)
     mixed = signed.groupBy("form").agg(F.min("variant").alias("least"), F.max("variant").alias("most")).where("least <> most").select("form")
     rows = signed.join(mixed, "form", "left_semi").distinct()
     variants = rows.select("form", "variant").distinct()

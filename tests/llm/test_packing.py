@@ -85,3 +85,19 @@ def test_repeated_ids_are_separate_items(spark):
 def test_empty(spark):
     assert P.pack(lengths(spark, []), kinds(spark, 8), "container_kind", "capacity_tokens").count() == 0
     assert P.pack(lengths(spark, [3]), kinds(spark), "container_kind", "capacity_tokens").count() == 0
+
+
+def test_shards_are_bounded_by_items_too(spark):
+    held = spark.range(3_000).select("id", F.lit(1).cast("long").alias("n_tokens"))
+    kinds = spark.createDataFrame([("k", 2_000)], "kind string, size int")
+    out = P.pack(held, kinds, "kind", "size", items_per_shard=500)
+    assert out.select(F.substring_index("container_id", ":", 1)).distinct().count() == 6
+    assert tuple(P.invariants(out, held).collect()[0])[2:6] == (3_000, 0, 0, 0)
+
+
+def test_invariants_see_faults(spark):
+    held = lengths(spark, [3, 9])
+    rows = [("k", 5, "0", 0, 0, 0, 2), ("k", 5, "1", 0, 1, 2, 1), ("k", 5, "2", 1, 0, 0, 6), ("k", 5, "3", 1, 1, 5, 4)]
+    packed = spark.createDataFrame(rows, "container_kind string, capacity_tokens int, container_id string, id bigint, piece int, token_from bigint, n_tokens bigint")
+    r = P.invariants(packed, held).collect()[0]
+    assert (r["n_items"], r["n_over"], r["n_split_needlessly"], r["n_incomplete"]) == (2, 1, 1, 1)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seine.llm import glyphs
-from seine.llm.visual import canonical_text, look_alike_pairs
+from seine.llm.visual import canonical_text, look_alike_classes, look_alike_pairs
 
 CASES = [
     ("abc", "abc"), ("ａｂｃ１２３", "abc123"), ("café", "café"), ("café", "café"), ("n​o­t⁠e﻿", "note"), ("a b c　d e", "a b c d e"),
@@ -66,3 +66,8 @@ def test_repeated_rows_and_ids(spark):
 def test_empty(spark):
     assert canonical_text(rows_of(spark, []), "doc_id", "text").count() == 0
     assert look_alike_pairs(rows_of(spark, []), "doc_id", "text").count() == 0
+
+
+def test_classes(spark):
+    rows = {tuple(r) for r in look_alike_classes(rows_of(spark, ["a", "а", "a", "b", None, ""]), "doc_id", "text").collect()}
+    assert rows == {(0, 0, 2, 3), (1, 0, 2, 3), (2, 0, 2, 3), (3, 3, 1, 1), (5, 5, 1, 1)}
