@@ -100,9 +100,9 @@ def has_segment(path: Column, *names: str) -> Column:
 
 
 def valid_path(path: Column) -> Column:
-    """Relative, no empty, ``.`` or ``..`` segment, no backslash or control character."""
+    """Relative, no empty, ``.`` or ``..`` segment, no leading hyphen, no backslash or control character, at most 4,096 bytes."""
     bad = F.exists(segments(path), lambda s: s.isin("", ".", ".."))
-    return (path != "") & ~bad & ~path.rlike(r"[\\\x00-\x1f]")
+    return (path != "") & (F.octet_length(path) <= PATH_BYTES_MOST) & ~path.startswith("-") & ~bad & ~path.rlike(r"[\\\x00-\x1f\x7f]")
 
 
 def ancestors(path: Column) -> Column:
@@ -118,13 +118,15 @@ def under_prefix(path: Column, prefix: Column | str) -> Column:
 
 
 # Headers that mark generated code and mocks
+PATH_BYTES_MOST, HEAD_BYTES = 4096, 4096
 MOCK_HEADER = r"Code generated by (MockGen|mockery|counterfeiter)"
 GENERATED_HEADER = r"(?m)^(//|#).*(Code generated .* DO NOT EDIT|Autogenerated by Thrift Compiler)"
 
 
 def code_role(path: Column, content: Column) -> Column:
-    """vendor > mock > generated > test > production; headers count within the first 4,096 characters."""
-    head = F.substring(content, 1, 4096)
+    """vendor > mock > generated > test > production; headers count within the first 4,096 bytes."""
+    # a header cut inside a character ends there; the characters of a header itself are ASCII
+    head = F.decode(F.substring(F.encode(content, "UTF-8"), 1, HEAD_BYTES), "ISO-8859-1")
     name = F.substring_index(path, "/", -1)
     mock_name = name.rlike(r"^(mock|fake)_") | name.rlike(r"_(mock|fake)(_test)?\.go$")
     return (
@@ -155,25 +157,53 @@ def parse_subject(subject: Column) -> Column:
 # names and addresses
 
 
+_SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
+_SCP_LIKE = r"^(?:[^@/:]+@)?[^@/:]+:(?!//)"
+
+
 def sanitize_url(url: Column) -> Column:
-    """Without credentials, query and fragment."""
+    """A clone address without query and fragment; null for one that must not be kept.
+
+    HTTP(S) loses its user and needs a host; SSH keeps a user but no password may stand in it; other schemes may have no user.
+    Addresses of the form ``user@host:path`` and local paths stay as they are.
+    """
+    scheme = F.lower(F.regexp_extract(url, _SCHEME, 1))
     bare = F.regexp_replace(url, r"[?#].*$", "")
-    return F.regexp_replace(bare, r"^([A-Za-z][A-Za-z0-9+.\-]*://)[^/@]*@", "$1")
+    authority = F.regexp_extract(bare, _SCHEME + r"([^/]*)", 2)
+    user = F.when(authority.contains("@"), F.regexp_extract(authority, "^(.*)@", 1))
+    host = F.substring_index(F.substring_index(authority, "@", -1), ":", 1)
+    web = F.when(host != "", F.concat(scheme, F.lit("://"), F.substring_index(authority, "@", -1), F.regexp_extract(bare, _SCHEME + r"[^/]*(.*)$", 2)))
+    ssh = F.when(user.isNull() | ~user.contains(":"), bare)
+    return (
+        F.when(url.rlike(_SCP_LIKE) & (scheme == "") | ((scheme == "") & ~url.startswith("//")), url)
+        .when(scheme.isin("http", "https"), web)
+        .when(scheme.isin("ssh", "git+ssh", "ssh+git", "sftp"), ssh)
+        .otherwise(F.when(user.isNull(), bare))
+    )
+
+
+def valid_repo_name(name: Column) -> Column:
+    """Segments between slashes, none of them empty, ``.``, ``..`` or with ``.git`` at its end; no leading hyphen, backslash, blank or control."""
+    bad = F.exists(segments(name), lambda s: s.isin("", ".", "..") | F.lower(s).endswith(".git") | s.startswith("-"))
+    return (name != "") & (F.octet_length(name) <= PATH_BYTES_MOST) & ~bad & ~name.rlike(r"[\\\x00-\x20\x7f]")
 
 
 def repo_name(url: Column) -> Column:
-    """Canonical ``host/owner/name`` of a clone URL, scp-like address or local path; null for what is none."""
-    s = F.regexp_replace(sanitize_url(url), r"\.git$", "")
-    local = F.btrim(s, F.lit("/"))
+    """Canonical ``host/owner/name`` of a clone URL, scp-like address, local or home path; null for what is none or gives no valid name."""
+    s = F.regexp_replace(F.when(url.startswith("~/"), url).otherwise(sanitize_url(url)), r"\.git$", "")
+    local = F.btrim(F.regexp_replace(s, "/+", "/"), F.lit("/"))
     scheme = F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/]*)(.*)$", 1)
+    authority = F.substring_index(scheme, "@", -1)
     rest = F.btrim(F.regexp_extract(s, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/]*)(.*)$", 2), F.lit("/"))
     host = F.regexp_extract(s, r"^(?:[^@/:]*@)?([^/:@]+):(.+)$", 1)
     path = F.btrim(F.regexp_extract(s, r"^(?:[^@/:]*@)?([^/:@]+):(.+)$", 2), F.lit("/"))
-    return (
-        F.when(s.startswith("/"), F.when(local != "", F.concat(F.lit("local/"), local)))
-        .when(s.contains("://"), F.when(rest != "", F.concat(F.when(scheme == "", "local").otherwise(scheme), F.lit("/"), rest)))
+    name = (
+        F.when(s.startswith("~/"), F.concat(F.lit("local/"), F.regexp_replace(s, "^~/+", "")))
+        .when(s.startswith("/"), F.when(local != "", F.concat(F.lit("local/"), local)))
+        .when(s.contains("://"), F.when(rest != "", F.concat(F.when(authority == "", "local").otherwise(authority), F.lit("/"), rest)))
         .when((host != "") & (path != ""), F.concat(host, F.lit("/"), path))
     )
+    return F.when(valid_repo_name(name), name)
 
 
 def host_identity(host: Column, login: Column) -> Column:
@@ -187,14 +217,14 @@ def valid_topic(topic: Column) -> Column:
 def camel_case(name: Column) -> Column:
     """Go name of a contract field: underscores go, and a lower-case ASCII letter that begins a part is raised."""
     lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.translate(F.substring(p, 1, 1), lower, upper), F.substring(p, 2, 1 << 20))), "")
+    return F.array_join(F.transform(F.split(name, "_"), lambda p: F.concat(F.translate(F.substring(p, 1, 1), lower, upper), p.substr(F.lit(2), F.char_length(p)))), "")
 
 
 def lexical_candidates(scope: Column, name: Column) -> Column:
     """Names to try from the innermost scope outwards; a leading dot means the absolute name only."""
     parts = F.when(scope == "", F.array().cast("array<string>")).otherwise(F.split(scope, r"\."))
     tried = let(parts, lambda p: F.transform(F.sequence(F.lit(0), F.size(p)), lambda k: F.array_join(F.concat(F.slice(p, F.lit(1), F.size(p) - k), F.array(name)), ".")))
-    return F.when(name.startswith("."), F.array(F.substring(name, 2, 1 << 20))).otherwise(tried)
+    return F.when(name.startswith("."), F.array(name.substr(F.lit(2), F.char_length(name)))).otherwise(tried)
 
 
 # numbers, dates, text

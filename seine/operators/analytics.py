@@ -52,20 +52,18 @@ def sums_of_others(rows: DataFrame, key: str, current: str, *columns: str) -> Da
     return others.agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(f"{c}_sum") for c in columns], *[F.count(c).alias(f"{c}_known") for c in columns])
 
 
-def _bucket(column: Column) -> Column:
-    """One of 4,096 buckets by hash."""
-    return F.substring(F.sha2(column, 256), 1, 3)
+def _summed(line: Column, n: Column, prefix: str = "") -> Column:
+    """Digest of a multiset of lines: the 32-bit parts of their SHA-256 values are summed, so rows combine in any order and place."""
+    parts = [F.coalesce(F.sum(F.conv(F.substring(F.sha2(line, 256), 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for i in range(8)]
+    return F.sha2(F.concat(F.lit(prefix), F.concat_ws(":", n.cast("string"), *parts)), 256)
 
 
 def ordered_digest(rows: DataFrame, order: str, value: str) -> DataFrame:
-    """Count, bytes and an order-sensitive digest. Digests of hash buckets are combined, so no task holds every value."""
-    marked = rows.select(F.col(order).alias("k"), F.sha2(value, 256).alias("h"), F.octet_length(value).alias("size"), _bucket(F.col(order).cast("string")).alias("bucket"))
-    per = marked.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("d"))
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    """Count, bytes and a digest of which value stands at which place of ``order``."""
+    marked = rows.select(F.concat_ws(" ", F.col(order).cast("string"), F.sha2(value, 256)).alias("line"), F.octet_length(value).alias("size"))
+    return marked.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), _summed(F.col("line"), F.count("*")).alias("digest"))
 
 
 def set_digest(rows: DataFrame, line: Column, count: str, digest: str, prefix: str = "") -> DataFrame:
-    """Count and digest of a set of lines, equal for equal sets in any order; combined from hash buckets."""
-    per = rows.select(line.alias("line"), _bucket(line).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("d"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
-    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(count), F.sha2(F.concat(F.lit(prefix), whole), 256).alias(digest))
+    """Count and digest of a set of lines, equal for equal sets in any order."""
+    return rows.select(line.alias("line")).agg(F.count("*").alias(count), _summed(F.col("line"), F.count("*"), prefix).alias(digest))

@@ -212,3 +212,10 @@ def unsupported_histogram(observations: DataFrame) -> DataFrame:
 def seal(items: DataFrame, name: str, digest: str) -> DataFrame:
     """Manifest digest over (name, digest) pairs; signing happens elsewhere."""
     return set_digest(items, F.concat_ws(" ", F.col(digest), F.col(name)), "items", "manifest")
+
+
+def verify_seal(sealed: DataFrame, items: DataFrame, name: str, digest: str) -> DataFrame:
+    """The sealed count, the count now, and whether the items are those that were sealed. One row against one row."""
+    now = seal(items, name, digest).select(F.col("items").alias("items_now"), F.col("manifest").alias("manifest_now"), F.lit(1).alias("one"))
+    joined = sealed.withColumn("one", F.lit(1)).join(now, "one")
+    return joined.select("items", "items_now", ((F.col("items") == F.col("items_now")) & (F.col("manifest") == F.col("manifest_now"))).alias("intact"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seine.operators.paging import smallest
-from seine.vocab import REFERENCES_MOST, SHAPE_DEPTH_MOST
+from seine.vocab import REFERENCES_MOST, SHAPE_DEPTH_MOST, SHAPE_FIELDS_MOST, SHAPE_NODES_MOST
 
+#: Stands for the fields beyond a bound; no name of a message or field holds a control character.
+_MORE = "\x00more"
 LOCATION = ["path", "start_line", "start_col", "end_line", "end_col"]
 
 
@@ -60,6 +62,21 @@ def expand(edges: DataFrame, roots: DataFrame, depth: int = SHAPE_DEPTH_MOST) ->
     return out
 
 
+def shape(fields: DataFrame, roots: DataFrame, depth: int = SHAPE_DEPTH_MOST, nodes: int = SHAPE_NODES_MOST, per_message: int = SHAPE_FIELDS_MOST) -> DataFrame:
+    """:func:`expand` for message shapes, with every bound visible: a message with more than ``per_message`` fields ends in a row that
+    stops with ``fields``, a root with more than ``nodes`` nodes in one that stops with ``nodes`` (their node is null)."""
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
+    ranked = fields.select("parent", "child").distinct().withColumn("place", place).where(F.col("place") <= per_message + 1)
+    edges = ranked.select("parent", F.when(F.col("place") <= per_message, F.col("child")).otherwise(F.lit(_MORE)).alias("child"))
+    found = expand(edges, roots, depth)
+    order = Window.partitionBy("root").orderBy("depth", "path")
+    cut = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= nodes + 1)
+    more, over = F.col("node") == _MORE, F.col("place") > nodes
+    return cut.select(
+        "root", F.when(~more & ~over, F.col("node")).alias("node"), "depth", "path", F.when(over, "nodes").when(more, "fields").otherwise(F.col("stop")).alias("stop")
+    )
+
+
 def resolve_aliases(aliases: DataFrame, names: DataFrame, depth: int = 8) -> DataFrame:
     """(name, target, state): follow alias -> target; ``resolved``, ``cycle`` or ``depth``."""
     found = expand(aliases.select(F.col("alias").alias("parent"), F.col("target").alias("child")), names.select(F.col("name").alias("node")), depth)

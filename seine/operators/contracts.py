@@ -17,24 +17,25 @@ from seine.runtime import ship
 
 FACT_COLUMNS = "predicate string, subject string, object string, name string, number int, type string, label string, line int"
 _FACT_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
+_THRIFT_TOKEN = re.compile(r'//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|[A-Za-z_][\w.]*|[-+]?\d[\w.]*|[{}()\[\];=<>,:*&-]', re.S)
 _PROTO_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|[A-Za-z_][\w.]*|\.[A-Za-z_][\w.]*|-?\d[\w.]*|[{}()\[\];=<>,:\-+/]', re.S)
 _SCALARS = {"double", "float", "int32", "int64", "uint32", "uint64", "sint32", "sint64", "fixed32", "fixed64", "sfixed32", "sfixed64", "bool", "string", "bytes"}
 Fact = tuple[str, str, str | None, str | None, int | None, str | None, str | None, int]
 
 
-def _tokens(text: str) -> list[tuple[str, int]]:
+def _tokens(text: str, pattern: re.Pattern, comments: tuple[str, ...]) -> list[tuple[str, int]]:
     out, line, at = [], 1, 0
-    for m in _PROTO_TOKEN.finditer(text):
+    for m in pattern.finditer(text):
         line += text.count("\n", at, m.start())
         at = m.start()
-        if not m[0].startswith(("//", "/*")):
+        if not m[0].startswith(comments):
             out.append((m[0], line))
     return out
 
 
 class _Scanner:
-    def __init__(self, text: str) -> None:
-        self.tokens, self.at = _tokens(text), 0
+    def __init__(self, text: str, pattern: re.Pattern = _PROTO_TOKEN, comments: tuple[str, ...] = ("//", "/*")) -> None:
+        self.tokens, self.at = _tokens(text, pattern, comments), 0
 
     def peek(self, ahead: int = 0) -> str:
         i = self.at + ahead
@@ -64,6 +65,17 @@ class _Scanner:
             elif t == ";" and depth == 0:
                 return
 
+    def bracketed(self) -> list[str]:
+        """The tokens of a bracket that opens here, both brackets included."""
+        close, depth, out = {"{": "}", "(": ")", "[": "]", "<": ">"}, 0, []
+        opening = self.peek()
+        while self.at < len(self.tokens):
+            out.append(self.take())
+            depth += (out[-1] == opening) - (out[-1] == close[opening])
+            if not depth:
+                break
+        return out
+
     def until(self, end: str) -> list[str]:
         out = []
         while self.peek() not in (end, ""):
@@ -92,13 +104,26 @@ def proto_facts(text: str) -> Iterator[Fact]:
         name = s.take() if s.peek() not in (";", "}") else ""
         if s.peek() == "=" and re.fullmatch(r"\d+|0x[0-9a-fA-F]+", s.peek(1)):
             s.take()
-            yield "DECLARES_FIELD", message, f"{message}#{int(s.peek(), 0)}", name, int(s.take(), 0), kind, label, line
+            number = int(s.take(), 0)
+            if kind == "group":
+                # a group declares a field and, under its own name, the message the field holds
+                yield "DECLARES_FIELD", message, f"{message}#{number}", name.lower(), number, name, label, line
+                if s.peek() == "[":
+                    s.bracketed()
+                if s.peek() == "{":
+                    yield from body(named(message, name), line)
+                    return
+            else:
+                yield "DECLARES_FIELD", message, f"{message}#{number}", name, number, kind, label, line
         else:
             yield "GAP", message, None, name, None, "unreadable_field", None, line
         s.skip_statement()
 
     def message(scope: str) -> Iterator[Fact]:
         line, full = s.line(), named(scope, s.take())
+        yield from body(full, line)
+
+    def body(full: str, line: int) -> Iterator[Fact]:
         yield "DECLARES_MESSAGE", full, full, full.rpartition(".")[2], None, None, None, line
         s.take()  # {
         depth = 1
@@ -115,7 +140,10 @@ def proto_facts(text: str) -> Iterator[Fact]:
             elif t == "oneof" and s.peek(2) == "{":
                 s.at += 3
                 depth += 1
-            elif t in ("enum", "extend", "group", "option", "reserved", "extensions"):
+            elif t == "extend" and s.peek(2) == "{":
+                yield "GAP", full, None, s.peek(1), None, "extension", None, s.line()
+                s.skip_statement()
+            elif t == "enum" and s.peek(2) == "{" or t in ("option", "reserved", "extensions") and s.peek(2) != "=":
                 s.skip_statement()
             elif t == ";":
                 s.take()
@@ -158,50 +186,141 @@ def proto_facts(text: str) -> Iterator[Fact]:
         elif t == "}":
             s.take()
         else:
+            if t == "extend":
+                yield "GAP", package, None, s.peek(1), None, "extension", None, s.line()
             s.skip_statement()
 
 
-_THRIFT_FIELD = re.compile(r"(-?\d+)\s*:\s*(required|optional)?\s*((?:[\w.]+\s*<[^()]*>)|[\w.]+)\s+(\w+)")
-_THRIFT_COMMENT = re.compile(r"//[^\n]*|#[^\n]*|/\*.*?\*/", re.S)
-_THRIFT_BLOCK = re.compile(r"\b(struct|union|exception|service|typedef)\s+")
+_NAME = re.compile(r"[A-Za-z_][\w.]*")
 
 
 def thrift_facts(text: str) -> Iterator[Fact]:
-    """Services, operations (with their argument structs), structs, fields and typedefs of one .thrift file."""
-    text = _THRIFT_COMMENT.sub(lambda m: "\n" * m[0].count("\n"), text)
-    namespace = re.search(r"^\s*namespace\s+(?:go|\*)\s+([\w.]+)", text, re.M)
-    package = namespace[1] if namespace else ""
-
-    def line(at: int) -> int:
-        return text.count("\n", 0, at) + 1
-
-    def fields(owner: str, body: str, base: int) -> Iterator[Fact]:
-        for m in _THRIFT_FIELD.finditer(body):
-            yield "DECLARES_FIELD", owner, f"{owner}#{m[1]}", m[4], int(m[1]), re.sub(r"\s+", "", m[3]), m[2] or "", line(base + m.start())
-
-    for m in _THRIFT_BLOCK.finditer(text):
-        if m[1] == "typedef":
-            alias = re.match(r"((?:[\w.]+\s*<[^;\n]*>)|[\w.]+)\s+(\w+)", text[m.end() :])
-            if alias:
-                yield "DECLARES_ALIAS", f"{package}.{alias[2]}".strip("."), re.sub(r"\s+", "", alias[1]), alias[2], None, None, None, line(m.start())
-            continue
-        head = re.match(r"(\w+)[^{]*\{", text[m.end() :])
-        if not head:
-            yield "GAP", package, None, None, None, "unreadable_" + m[1], None, line(m.start())
-            continue
-        begin, full = m.end() + head.end(), f"{package}.{head[1]}".strip(".")
-        end = text.find("}", begin)
-        body = text[begin : end if end >= 0 else len(text)]
-        if m[1] != "service":
-            yield "DECLARES_MESSAGE", full, full, head[1], None, m[1], None, line(m.start())
-            yield from fields(full, body, begin)
-            continue
-        yield "DECLARES_SERVICE", full, full, head[1], None, None, None, line(m.start())
-        for op in re.finditer(r"(oneway\s+)?((?:[\w.]+\s*<[^()]*>)|[\w.]+)\s+(\w+)\s*\(([^)]*)\)", body):
-            if op[2] == "throws" or op[3] == "throws":
-                continue
-            yield "DECLARES_OPERATION", full, f"/{full}/{op[3]}", op[3], None, f"{full}_{op[3]}_args->{op[2]}", "oneway" if op[1] else "", line(begin + op.start())
-            yield from fields(f"{full}_{op[3]}_args", op[4], begin + op.start(4))
+    """Services, operations (with the structs of their arguments and results), structs, fields and typedefs of one .thrift file.
+
+    Fields without a number, and statements that cannot be read, become gap rows.
+    """
+    s = _Scanner(text, _THRIFT_TOKEN, ("//", "#", "/*"))
+    scopes: dict[str, str] = {}
+
+    def kind() -> str:
+        out = s.take()
+        if s.peek() == "cpp_type":
+            s.at += 2
+        if s.peek() == "<":
+            s.take()
+            inner = [kind()]
+            while s.peek() == ",":
+                s.take()
+                inner.append(kind())
+            if s.take() != ">":
+                raise ValueError("unclosed container type")
+            out += "<" + ",".join(inner) + ">"
+        if s.peek() == "cpp_type":
+            s.at += 2
+        if s.peek() == "(":
+            s.bracketed()
+        return out
+
+    def value() -> None:
+        if s.peek() in ("[", "{"):
+            s.bracketed()
+        else:
+            s.take()
+
+    def separator() -> None:
+        if s.peek() == "(":
+            s.bracketed()
+        if s.peek() in (",", ";"):
+            s.take()
+
+    def fields(owner: str, end: str) -> Iterator[Fact]:
+        while s.peek() not in (end, ""):
+            line, number = s.line(), None
+            if re.fullmatch(r"[-+]?\d+", s.peek()) and s.peek(1) == ":":
+                number = int(s.take())
+                s.take()
+            label = s.take() if s.peek() in ("required", "optional") else ""
+            type_name = kind()
+            while s.peek() in ("&", "*"):
+                s.take()
+            name = s.take()
+            if not _NAME.fullmatch(type_name.partition("<")[0]) or not _NAME.fullmatch(name):
+                raise ValueError("no field")
+            if s.peek() == "=":
+                s.take()
+                value()
+            separator()
+            if number is None:
+                yield "GAP", owner, None, name, None, "unnumbered_field", None, line
+            else:
+                yield "DECLARES_FIELD", owner, f"{owner}#{number}", name, number, type_name, label, line
+        s.take()
+
+    def operations(full: str) -> Iterator[Fact]:
+        while s.peek() not in ("}", ""):
+            line = s.line()
+            label = s.take() if s.peek() == "oneway" else ""
+            answer, name = kind(), s.take()
+            if s.take() != "(":
+                raise ValueError("no operation")
+            asked, result = f"{full}_{name}_args", f"{full}_{name}_result"
+            yield "DECLARES_OPERATION", full, f"/{full}/{name}", name, None, f"{asked}->{answer}", label, line
+            yield from fields(asked, ")")
+            if not label and answer != "void":
+                yield "DECLARES_FIELD", result, f"{result}#0", "success", 0, answer, "", line
+            if s.peek() == "throws":
+                s.at += 2
+                yield from fields(result, ")")
+            separator()
+        s.take()
+
+    def definition(word: str) -> Iterator[Fact]:
+        line, package = s.line(), scopes.get("go") or scopes.get("*") or ""
+        s.take()
+        if word == "namespace":
+            scope = s.take()
+            scopes[scope] = s.take()
+        elif word == "typedef":
+            target, alias = kind(), s.take()
+            yield "DECLARES_ALIAS", f"{package}.{alias}".strip("."), target, alias, None, None, None, line
+        elif word == "const":
+            kind()
+            s.take()
+            if s.take() == "=":
+                value()
+        elif word in ("enum", "senum"):
+            s.take()
+            s.bracketed()
+        elif word in ("struct", "union", "exception", "service"):
+            name = s.take()
+            full = f"{package}.{name}".strip(".")
+            if s.peek() == "extends":
+                s.at += 2
+            if s.take() != "{":
+                raise ValueError("no body")
+            if word == "service":
+                yield "DECLARES_SERVICE", full, full, name, None, None, None, line
+                yield from operations(full)
+            else:
+                yield "DECLARES_MESSAGE", full, full, name, None, word, None, line
+                yield from fields(full, "}")
+        elif word in ("include", "cpp_include"):
+            s.take()
+        else:
+            raise ValueError("unknown statement")
+        separator()
+
+    words = ("namespace", "typedef", "const", "enum", "senum", "struct", "union", "exception", "service", "include", "cpp_include")
+    while s.at < len(s.tokens):
+        word, line, begin = s.peek(), s.line(), s.at
+        try:
+            yield from definition(word)
+        except ValueError:
+            # nothing is sure until the next word that begins a statement
+            s.at = begin + 1
+            yield "GAP", scopes.get("go") or scopes.get("*") or "", None, None, None, f"unreadable_{word if word in words else 'statement'}", None, line
+            while s.at < len(s.tokens) and s.peek() not in words:
+                s.take()
 
 
 _READERS = {"proto": proto_facts, "thrift": thrift_facts}

@@ -48,9 +48,14 @@ def list_assertions(
     return keyset_page(out, [k for k in PAGE_KEYS if k in out.columns], limit, cursor)
 
 
-def reverse_assertions(assertions: DataFrame, predicate: str, object: str, limit: int = 50, cursor: list | None = None) -> DataFrame:
-    """Who points at an object, in lineage, subject, id order."""
-    return keyset_page(assertions.where((F.col("predicate") == predicate) & (F.col("object") == object)), REVERSE_KEYS, limit, cursor)
+def reverse_assertions(assertions: DataFrame, predicate: str, object: str | DataFrame, limit: int = 50, cursor: list | None = None) -> DataFrame:
+    """Who points at an object, in lineage, subject, id order; the object may also be a frame of one row and one column."""
+    rows = assertions.where(F.col("predicate") == predicate)
+    if isinstance(object, DataFrame):
+        rows = rows.join(F.broadcast(object.limit(1).toDF("object")), "object", "left_semi")
+    else:
+        rows = rows.where(F.col("object") == object)
+    return keyset_page(rows, REVERSE_KEYS, limit, cursor)
 
 
 def normalize_batch(rows: DataFrame, key: list[str], attributes: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -62,11 +67,22 @@ def normalize_batch(rows: DataFrame, key: list[str], attributes: list[str]) -> t
 
 
 def merge_assertions(rows: DataFrame, key: str, supporting: str, contradicting: str) -> DataFrame:
-    """Union of references per assertion, canonical, and whether the two sides overlap."""
-    def union(c: str) -> Column:
-        return canonical_set(F.flatten(F.collect_list(F.coalesce(F.col(c), F.array().cast("array<string>")))))
+    """Union of references per assertion, canonical, and whether the two sides overlap.
 
-    out = rows.groupBy(key).agg(union(supporting).alias("supporting"), union(contradicting).alias("contradicting"))
+    References are spread and reduced to distinct ones before they are gathered, so repeats are not carried along.
+    """
+    none = F.array().cast("array<string>")
+
+    def tagged(column: str, side: int) -> Column:
+        return F.transform(F.coalesce(F.col(column), none), lambda x: F.struct(F.lit(side).alias("side"), x.alias("ref")))
+
+    sides = F.concat(tagged(supporting, 0), tagged(contradicting, 1))
+    spread = rows.select(F.col(key), F.explode_outer(sides).alias("r")).select(key, "r.side", "r.ref").distinct()
+
+    def union(side: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("ref"))))
+
+    out = spread.groupBy(key).agg(union(0).alias("supporting"), union(1).alias("contradicting"))
     return out.withColumn("overlapping", F.arrays_overlap("supporting", "contradicting"))
 
 
@@ -101,10 +117,12 @@ def exact_locator(assertions: DataFrame, occurrences: DataFrame) -> DataFrame:
 
 
 def impact_rows(assertions: DataFrame, occurrences: DataFrame, fresh_runs: DataFrame) -> DataFrame:
-    """assertion x supporting reference x placement x freshness, once per (assertion, atom, occurrence)."""
-    spread = assertions.select("assertion_id", "run_id", "predicate", "tier", "lineage", "domain", F.explode("supporting").alias("atom_id"))
-    joined = spread.join(occurrences, ["run_id", "atom_id"]).join(fresh_runs.select("run_id", "fresh"), "run_id", "left")
-    return joined.withColumn("fresh", F.coalesce("fresh", F.lit(False))).dropDuplicates(["assertion_id", "atom_id", "occurrence_id"])
+    """assertion x supporting reference x placement x freshness, once per (run, assertion, atom, occurrence)."""
+    # repeats are removed where the rows already lie together by run and atom
+    spread = assertions.select("assertion_id", "run_id", "predicate", "tier", "lineage", "domain", F.explode(F.array_distinct("supporting")).alias("atom_id"))
+    fresh = fresh_runs.groupBy("run_id").agg(F.bool_or("fresh").alias("fresh"))
+    placed = spread.join(occurrences, ["run_id", "atom_id"]).dropDuplicates(["run_id", "atom_id", "assertion_id", "occurrence_id"])
+    return placed.join(fresh, "run_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
 
 
 def assertion_kind(predicate: Column, tier: Column, domain: Column, lineage: Column) -> Column:

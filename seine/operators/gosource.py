@@ -7,7 +7,8 @@ literal or a constant of the same file, and abstains with a reason otherwise. Ti
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +31,12 @@ def strip_comments(text: str) -> str:
     return _COMMENT.sub(lambda m: m[0] if m[0][0] in "\"`" else re.sub(r"[^\n]", " ", m[0]), text)
 
 
+def line_counter(text: str) -> Callable[[int], int]:
+    """Line of a position, looked up among the line ends, which are found once."""
+    ends = [m.start() for m in re.finditer("\n", text)]
+    return lambda at: bisect_right(ends, at - 1) + 1
+
+
 def imports(text: str) -> dict[str, str]:
     """Local name -> import path."""
     head = text.split("\nfunc ", 1)[0]
@@ -101,10 +108,11 @@ def kafka_sites(source: str) -> Iterator[tuple]:
     segment = [n for n, p in names.items() if p in SEGMENTIO]
     constants = {m[1]: m[2] for m in _CONST.finditer(text)}
     several = len({p for p in names.values() if p in SARAMA}) > 1
+    line = line_counter(text)
 
     def emit(plane: str, expr: str, library: str, shape: str, tier: str, at: int) -> tuple:
         topic, reason = (None, "ambiguous-library-import") if library == "sarama" and several else _topic(expr, constants)
-        return plane, topic, reason, library, shape, tier if topic else "unresolved", text.count("\n", 0, at) + 1
+        return plane, topic, reason, library, shape, tier if topic else "unresolved", line(at)
 
     def composites(aliases: list[str], kind: str) -> Iterator[tuple[int, dict[str, str]]]:
         for m in re.finditer(rf"\b(?:{'|'.join(map(re.escape, aliases))})\.{kind}\s*\{{", text) if aliases else ():
@@ -149,12 +157,11 @@ def call_sites(source: str) -> Iterator[tuple]:
     text = strip_comments(source)
     opened = [(m.start(), f"{m[2]}.{m[3]}" if m[2] else m[3], m[2], m[3]) for m in _FUNC.finditer(text)]
 
-    def line(at: int) -> int:
-        return text.count("\n", 0, at) + 1
+    line, begins = line_counter(text), [begin for begin, _, _, _ in opened]
 
     def container(at: int) -> str | None:
-        inside = [name for begin, name, _, _ in opened if begin <= at]
-        return inside[-1] if inside else None
+        k = bisect_right(begins, at)
+        return opened[k - 1][1] if k else None
 
     for at, _, receiver, name in opened:
         yield "function", receiver, name, None, line(at)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seine.operators import callers as C
 from seine.operators import coverage
-from seine.registry import Registry
+from seine.registry import Registry, summed_digest_sql
 from seine.runtime import table
 
 R = Registry()
@@ -210,11 +210,18 @@ def permitted_repos(spark, sf_dir):
     return table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_nationkey").alias("identity"), F.col("c_mktsegment").alias("repo")).distinct()
 
 
-@R.query("dossier_seal", sql="WITH l AS (SELECT sha256(run_id) || ' ' || run_id AS line FROM runs), per AS (SELECT substr(sha256(line), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM l GROUP BY 1) SELECT sum(n)::BIGINT AS items, sha256(string_agg(d, '' ORDER BY bucket)) AS manifest FROM per")
+@R.query("dossier_seal", sql=f"WITH l AS (SELECT sha256(run_id) || ' ' || run_id AS line FROM runs) SELECT count(*) AS items, {summed_digest_sql('line')} AS manifest FROM l")
 def dossier_seal(spark, sf_dir):
     return C.seal(table(spark, sf_dir, "runs").select("run_id", F.sha2("run_id", 256).alias("digest")), "run_id", "digest")
 
 
+@R.query("dossier_verify", sql="SELECT count(*) AS items, count(*) AS items_now, true AS intact FROM runs")
+def dossier_verify(spark, sf_dir):
+    """A sealed dossier still holds what its seal says."""
+    items = table(spark, sf_dir, "runs").select("run_id", F.sha2("run_id", 256).alias("digest"))
+    return C.verify_seal(C.seal(items, "run_id", "digest"), items, "run_id", "digest")
+
+
 @R.query("evidence_by_domain_union", sql="SELECT domain, repo, run_id FROM runs WHERE domain IN ('grpc-caller', 'thrift-caller') AND status = 'published'")
 def evidence_by_domain_union(spark, sf_dir):
     """Evidence of two protocols side by side, kept apart by domain."""

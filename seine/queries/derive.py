@@ -179,7 +179,7 @@ _TREE_SQL = "e AS (SELECT DISTINCT regexp_replace(path, '/[^/]+$', '') AS parent
 
 @R.query(
     "shape_expand",
-    sql=f"""WITH RECURSIVE {_TREE_SQL}, x AS (SELECT 'docs' AS node, 0 AS depth UNION ALL SELECT e.child, x.depth + 1 FROM x JOIN e ON e.parent = x.node WHERE x.depth < 3) SELECT depth, count(*) AS nodes FROM x GROUP BY depth""",
+    sql=f"""WITH RECURSIVE {_TREE_SQL}, x AS (SELECT 'docs' AS node, 0 AS depth UNION ALL SELECT e.child, x.depth + 1 FROM x JOIN e ON e.parent = x.node WHERE x.depth < 6) SELECT depth, count(*) AS nodes FROM x GROUP BY depth""",
 )
 def shape_expand(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
@@ -188,7 +188,7 @@ def shape_expand(spark, sf_dir):
     folders = d.where(F.col("path").like("%/%/%")).select(up(up(F.col("path"))).alias("parent"), up(F.col("path")).alias("child"))
     edges = files.unionByName(folders).distinct()
     roots = spark.range(1).select(F.lit("docs").alias("node"))
-    return N.expand(edges, roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
+    return N.expand(edges, roots).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
 @R.query(

@@ -11,7 +11,7 @@ from seine.operators import analytics as A
 from seine.operators import coverage as C
 from seine.operators import evidence as E
 from seine.operators import paging as P
-from seine.registry import Registry
+from seine.registry import Registry, summed_digest_sql
 from seine.runtime import table
 from seine.vocab import DOMAINS
 
@@ -76,9 +76,8 @@ def coverage_state_counts(spark, sf_dir):
 
 @R.query(
     "coverage_fingerprint",
-    sql=f"""WITH {_CERTIFICATE_SQL}, lines AS (SELECT repo || '|' || domain || '|' || coalesce(run_id, '-') || '|' || state AS line FROM cells),
-    per AS (SELECT substr(sha256(line), 1, 3) AS bucket, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line)) AS d FROM lines GROUP BY 1)
-    SELECT sum(n)::BIGINT AS cells, sha256('coverage' || chr(0) || string_agg(d, '' ORDER BY bucket)) AS digest FROM per""",
+    sql=f"""WITH {_CERTIFICATE_SQL}, lines AS (SELECT repo || '|' || domain || '|' || coalesce(run_id, '-') || '|' || state AS line FROM cells)
+    SELECT count(*) AS cells, {summed_digest_sql("line", "'coverage' || chr(0)")} AS digest FROM lines""",
 )
 def coverage_fingerprint(spark, sf_dir):
     return C.fingerprint(_certificate(spark, sf_dir))
@@ -133,8 +132,8 @@ def assertion_prefix_list(spark, sf_dir):
 def reverse_assertions(spark, sf_dir):
     rows = _assertions(spark, sf_dir)
     calls = rows.where("predicate = 'CALLER_REACHABLE_FROM_BINARY' AND object IS NOT NULL")
-    hot = calls.groupBy("object").count().orderBy(F.desc("count"), "object").first()
-    return E.reverse_assertions(rows, "CALLER_REACHABLE_FROM_BINARY", hot["object"] if hot else "").select("lineage", "subject", "assertion_id")
+    hot = calls.groupBy("object").count().orderBy(F.desc("count"), "object").limit(1).select("object")
+    return E.reverse_assertions(rows, "CALLER_REACHABLE_FROM_BINARY", hot).select("lineage", "subject", "assertion_id")
 
 
 @R.query(
@@ -149,8 +148,7 @@ def _supported(spark, sf_dir):
     """Orders as assertions whose supporting atoms are the parts of their lines."""
     lines = table(spark, sf_dir, "lineitem")
     supports = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("supporting"))
-    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
-    assertions = orders.join(supports, "o_orderkey").select(
+    assertions = table(spark, sf_dir, "orders").join(supports, "o_orderkey").select(
         F.col("o_orderkey").cast("string").alias("assertion_id"), F.col("o_orderkey").cast("string").alias("run_id"), "supporting", F.array().cast("array<string>").alias("contradicting"),
         F.when(F.col("o_orderstatus") == "F", "CALLS_OPERATION").otherwise("DECLARES_FIELD").alias("predicate"), F.lit("derived").alias("tier"), F.lit("x").alias("lineage"), F.lit("grpc-consumer").alias("domain"), "o_orderdate",
     )
@@ -164,7 +162,7 @@ def _supported(spark, sf_dir):
 
 _SUPPORT_SQL = """
 l AS (SELECT l_orderkey::VARCHAR AS run_id, l_partkey::VARCHAR AS atom_id, l_orderkey || '-' || l_linenumber AS occurrence_id, 's' || l_suppkey AS path, l_linenumber AS start_line FROM lineitem),
-o AS (SELECT o_orderkey::VARCHAR AS run_id, o_orderstatus, o_orderdate FROM orders WHERE o_orderpriority = '1-URGENT')
+o AS (SELECT o_orderkey::VARCHAR AS run_id, o_orderstatus, o_orderdate FROM orders)
 """
 
 
@@ -358,9 +356,8 @@ def publication_sums(spark, sf_dir):
 
 @R.query(
     "corpus_digest",
-    sql="""WITH m AS (SELECT doc_id AS k, text AS v, substr(sha256(doc_id::VARCHAR), 1, 3) AS bucket FROM documents WHERE text IS NOT NULL),
-    per AS (SELECT bucket, count(*) AS n, sum(strlen(v)) AS bytes, sha256(string_agg(sha256(v), '' ORDER BY k)) AS d FROM m GROUP BY bucket)
-    SELECT sum(n)::BIGINT AS files, sum(bytes)::BIGINT AS bytes, sha256(string_agg(d, '' ORDER BY bucket)) AS digest FROM per""",
+    sql=f"""WITH m AS (SELECT doc_id || ' ' || sha256(text) AS line, strlen(text) AS size FROM documents WHERE text IS NOT NULL)
+    SELECT count(*) AS files, sum(size)::BIGINT AS bytes, {summed_digest_sql("line")} AS digest FROM m""",
 )
 def corpus_digest(spark, sf_dir):
     return A.ordered_digest(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "text")

@@ -26,3 +26,9 @@ class Registry:
             return f
 
         return add
+
+
+def summed_digest_sql(line: str, prefix: str = "''") -> str:
+    """SQL of the digest of a multiset of lines (see ``operators.analytics``)."""
+    parts = ", ".join(f"coalesce(sum(('0x' || substr(sha256({line}), {1 + 8 * i}, 8))::BIGINT), 0)::VARCHAR" for i in range(8))
+    return f"sha256({prefix} || concat_ws(':', count(*)::VARCHAR, {parts}))"

@@ -1,19 +1,14 @@
 """Closed vocabularies and default limits."""
 
 # Fixed values
-TIERS = ("exact", "derived", "heuristic", "unresolved")
-CODE_ROLES = ("production", "test", "mock", "generated", "vendor")
-RUN_STATUSES = ("staged", "published", "superseded", "aborted", "deleting")
-JOB_STATUSES = ("pending", "claimed", "running", "done", "failed", "canceled")
-DOMAIN_OUTCOMES = ("published", "unavailable_prerequisite", "terminal_generation_refusal", "retryable_failure")
 DISPOSITIONS = ("accepted", "proposal", "conflict", "rejected")
 MEMBERSHIP_ROLES = ("primary", "supporting", "shared", "generated", "typed")
 SERVICE_STATUSES = ("current", "stale", "unavailable", "conflict", "removed")
 KAFKA_ABSTENTIONS = ("ambiguous-library-import", "call-expr", "invalid-topic-literal", "non-literal-expr", "selector-expr", "unresolved-ident")
-REVIEW_QUEUES = ("new_consumers", "coverage_regression", "unresolved_attribution")
 DOMAINS = ("proto-contract", "thrift-contract", "grpc-consumer", "thrift-consumer", "grpc-caller", "thrift-caller", "kafka-producer", "kafka-consumer", "scip-proto-field", "scip-thrift-field")
 PROTOCOLS = {"proto-contract": "grpc", "grpc-consumer": "grpc", "grpc-caller": "grpc", "scip-proto-field": "grpc", "thrift-contract": "thrift", "thrift-consumer": "thrift", "thrift-caller": "thrift", "scip-thrift-field": "thrift"}
 
+# Default and largest limits
 SEARCH_FILES_DEFAULT, SEARCH_FILES_MOST, CONTEXT_LINES_MOST = 50, 500, 10
 CALLER_PAGE_DEFAULT, CALLER_PAGE_MOST = 50, 100
 CENSUS_ASSERTIONS_MOST = 5_000
