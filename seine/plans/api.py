@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from seine.functions.scalars import valid_topic
 from seine.operators import callers as C
 from seine.operators import change, contracts, coverage, evidence, paging, services
+from seine.plans import index as X
 from seine.plans import search as S
 from seine.vocab import CALLER_PAGE_DEFAULT, CALLER_PAGE_MOST, CENSUS_ASSERTIONS_MOST, DOMAINS
 
@@ -20,11 +21,16 @@ class InvalidRequest(ValueError):
 
 @dataclass
 class Snapshot:
-    """Tables by name; ``identity`` limits every verb to the repositories it may see (null: all)."""
+    """Tables by name; ``identity`` limits every verb to the repositories it may see (null: all).
+
+    Where the generation has a trigram index (``index`` with the files' ``key``), searches read only the files that can match.
+    """
 
     tables: dict[str, DataFrame]
     identity: str | None = None
     contexts: dict[str, list[str]] = field(default_factory=dict)
+    index: DataFrame | None = None
+    key: str = "doc_id"
 
     def visible_repos(self) -> DataFrame:
         """Repositories the identity may see; the first operator of every verb."""
@@ -46,7 +52,10 @@ class Snapshot:
         scope = {"repos": self.visible_repos(), "contexts": self.contexts}
         if service_key is not None:
             scope |= {"memberships": self.table("memberships"), "service_key": service_key}
-        return S.chunks(S.search(self.table("files"), q, max_matches, **scope), S.parse(q), context_lines)
+        files = self.table("files")
+        if self.index is not None:
+            files = X.narrowed(files, self.index, self.key, q)
+        return S.chunks(S.search(files, q, max_matches, **scope), S.parse(q), context_lines)
 
     # evidence
 

@@ -7,26 +7,43 @@ required plain terms; they are a superset of the matches, so the search itself s
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seine.functions.scalars import let
 from seine.io import Generations
 from seine.plans.query_language import All, Parsed, Text, parse
-from seine.plans.search import matching, rank_order
+from seine.plans.search import search
+from seine.runtime import ship
 
 GRAM = 3
+#: Candidates up to which their keys are written into the plan.
+PUSHED_MOST = 1_000
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, key) of every distinct trigram of each text."""
+    for batch in batches:
+        grams: list[str] = []
+        sizes = []
+        for text in batch.column(1).to_pylist():
+            own = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+            grams += own
+            sizes.append(len(own))
+        keys = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), sizes)))
+        yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), keys], names=["gram", "key"])
 
 
 def build(files: DataFrame, key: str) -> DataFrame:
     """(gram, key) of every file; null contents and paths count as empty."""
+    ship(files.sparkSession)
     # the three letters that a case-insensitive pattern takes for an ASCII letter though their lower case is none
     raw = F.concat(F.coalesce("path", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    text = F.lower(F.translate(raw, "İıſ", "iis"))
-    grams = let(F.split(text, ""), lambda a: F.when(F.size(a) >= GRAM, F.transform(F.sequence(F.lit(0), F.size(a) - GRAM), lambda i: F.concat(a[i], a[i + 1], a[i + 2]))))
-    return files.select(F.col(key).alias("key"), F.explode(F.array_distinct(grams)).alias("gram")).select("gram", "key")
+    texts = files.select(F.col(key).alias("key"), F.lower(F.translate(raw, "İıſ", "iis")).alias("text"))
+    return texts.mapInArrow(_grams, f"gram string, key {texts.schema['key'].dataType.simpleString()}")
 
 
 def publish(files: DataFrame, key: str, root: str) -> Generations:
@@ -55,12 +72,22 @@ def candidates(index: DataFrame, raw: str) -> DataFrame | None:
     grams = sorted(required(parse(raw)))
     if not grams:
         return None
-    held = index.where(reduce(lambda a, b: a | b, [F.col("gram") == g for g in grams]) if len(grams) < 8 else F.col("gram").isin(*grams))
+    held = index.where(F.col("gram").isin(*grams))
     return held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("key")
 
 
-def indexed_search(files: DataFrame, index: DataFrame, key: str, raw: str, max_matches: int = 50, **scope) -> DataFrame:
-    """As :func:`seine.plans.search.search`, over the candidates only; ties by key."""
+def narrowed(files: DataFrame, index: DataFrame, key: str, raw: str, pushed_most: int = PUSHED_MOST) -> DataFrame:
+    """The files that can match. Few candidates are written into the plan, so that the scan itself skips what it can by its
+    statistics; beyond ``pushed_most`` the same files are met by a semi join."""
     found = candidates(index, raw)
-    wanted = files if found is None else files.join(found.withColumnRenamed("key", key), key, "left_semi")
-    return matching(wanted, raw, **scope)[0].orderBy(*rank_order(), F.asc(key)).limit(max_matches)
+    if found is None:
+        return files
+    some = [r[0] for r in found.limit(pushed_most + 1).collect()]
+    if len(some) <= pushed_most:
+        return files.where(F.col(key).isin(*some)) if some else files.where(F.lit(False))
+    return files.join(found.withColumnRenamed("key", key), key, "left_semi")
+
+
+def indexed_search(files: DataFrame, index: DataFrame, key: str, raw: str, max_matches: int | None = None, **scope) -> DataFrame:
+    """As :func:`seine.plans.search.search`, over the candidates only; ties by key."""
+    return search(narrowed(files, index, key, raw), raw, max_matches, key, **scope)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seine.io import Generations
 from seine.plans import index as X
 from seine.plans import search as S
 from seine.plans.query_language import parse
 from seine.registry import Registry
-from seine.runtime import table
+from seine.runtime import ensure_checkpoint_dir, table
 
 R = Registry()
 
@@ -25,6 +28,19 @@ def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "repos")
 
 
+def published_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trigram index of the documents: published once per session and data directory in the shared folder, then only read."""
+    root = f"{ensure_checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{md5(sf_dir.encode()).hexdigest()}"
+    store = Generations(spark, root)
+    if store.current() is None:
+        store = X.publish(files(spark, sf_dir), "doc_id", root)
+    return store.read()
+
+
+def _search(spark: SparkSession, sf_dir: str, raw: str, max_matches: int | None = None, **scope) -> DataFrame:
+    return X.indexed_search(files(spark, sf_dir), published_index(spark, sf_dir), "doc_id", raw, max_matches, **scope)
+
+
 def _hits(column: str, pattern: str, flags: str = "") -> str:
     return f"len(regexp_extract_all({column}, '{flags}{pattern}'))"
 
@@ -41,7 +57,7 @@ _COLUMNS = ["doc_id", "repo", "path", "language", "score"]
       AND NOT (regexp_matches(content, '(?i)rollback') OR regexp_matches(p, '(?i)rollback')) {_TOP} LIMIT 50""",
 )
 def search_bool_topk(spark, sf_dir):
-    return S.search(files(spark, sf_dir), "membership lang:en -rollback", tie="doc_id").select(*_COLUMNS)
+    return _search(spark, sf_dir, "membership lang:en -rollback").select(*_COLUMNS)
 
 
 @R.query(
@@ -53,7 +69,7 @@ def search_bool_topk(spark, sf_dir):
       AND (coalesce(r.is_archived, false) OR lower(coalesce(f.language, '')) = 'fr') AND NOT coalesce(r.is_fork, false) {_TOP} LIMIT 100""",
 )
 def search_not_or_metadata(spark, sf_dir):
-    return S.search(files(spark, sf_dir), "ledger (archived:yes or lang:fr) -fork:yes", 100, "doc_id", repos=repos(spark, sf_dir)).select(*_COLUMNS)
+    return _search(spark, sf_dir, "ledger (archived:yes or lang:fr) -fork:yes", 100, repos=repos(spark, sf_dir)).select(*_COLUMNS)
 
 
 @R.query(
@@ -64,7 +80,7 @@ def search_not_or_metadata(spark, sf_dir):
       AND repo IN (SELECT name FROM repos WHERE regexp_matches(name, '^forge\\.example/(harborlight|tidegate)/[^/]*$') OR regexp_matches(name, '^forge\\.example/[^/]*/[^/]*-svc$')) {_TOP} LIMIT 50""",
 )
 def search_context_scope(spark, sf_dir):
-    return S.search(files(spark, sf_dir), 'context:freight context:services "unit digest"', tie="doc_id", repos=repos(spark, sf_dir), contexts=CONTEXTS).select(*_COLUMNS)
+    return _search(spark, sf_dir, 'context:freight context:services "unit digest"', repos=repos(spark, sf_dir), contexts=CONTEXTS).select(*_COLUMNS)
 
 
 @R.query(
@@ -74,7 +90,7 @@ def search_context_scope(spark, sf_dir):
     WHERE regexp_matches(content, '(Watch|List)[A-Z][a-z]+') AND NOT regexp_matches(p, '(?i)docs/fi') AND coalesce(regexp_matches(repo, '(?i)quillmesh|oakum'), false) {_TOP} LIMIT 50""",
 )
 def search_regex_case_fields(spark, sf_dir):
-    return S.search(files(spark, sf_dir), r"content:(Watch|List)[A-Z][a-z]+ -file:docs/fi repo:quillmesh|oakum", tie="doc_id").select(*_COLUMNS)
+    return _search(spark, sf_dir, r"content:(Watch|List)[A-Z][a-z]+ -file:docs/fi repo:quillmesh|oakum").select(*_COLUMNS)
 
 
 @R.query(
@@ -93,7 +109,7 @@ def search_stats(spark, sf_dir):
 )
 def search_permission(spark, sf_dir):
     visible = repos(spark, sf_dir).where("is_public").select(F.col("name").alias("repo"))
-    return S.search_stats(files(spark, sf_dir), "beacon", visible=visible)
+    return S.search_stats(X.narrowed(files(spark, sf_dir), published_index(spark, sf_dir), "doc_id", "beacon"), "beacon", visible=visible)
 
 
 @R.query(
@@ -107,7 +123,7 @@ def search_permission(spark, sf_dir):
 )
 def search_chunks(spark, sf_dir):
     raw = 'content:"schema tag"'
-    found = S.chunks(S.search(files(spark, sf_dir), raw, 20, "doc_id"), parse(raw))
+    found = S.chunks(_search(spark, sf_dir, raw, 20), parse(raw))
     rows = found.select("doc_id", F.inline("chunks"))
     return rows.select("doc_id", F.col("start_line").cast("int").alias("start_line"), "content", F.size("ranges").alias("n_ranges"), F.col("ranges")[0]["start_col"].alias("first_col"))
 
@@ -119,7 +135,7 @@ def search_chunks(spark, sf_dir):
     SELECT count(*) AS files, sha256(coalesce(string_agg(cite, chr(10) ORDER BY cite), '')) AS digest, count(DISTINCT repo) AS repositories FROM top""",
 )
 def search_scope_receipt(spark, sf_dir):
-    return S.receipt(S.search(files(spark, sf_dir), '"resolver entr"', 500, "doc_id"), "doc_id")
+    return S.receipt(_search(spark, sf_dir, '"resolver entr"', 500), "doc_id")
 
 
 @R.query(
@@ -134,7 +150,7 @@ def service_prefix_search(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     prefix = F.regexp_extract("path", r"^[^/]+/[^/]+", 0)
     claims = docs.where("source = 'harborlight/docs'").select("repo", prefix.alias("path"), F.lit("harborlight").alias("service_key")).where("path <> ''").distinct()
-    return S.search(files(spark, sf_dir), "mirror", tie="doc_id", memberships=claims, service_key="harborlight").select(*_COLUMNS)
+    return _search(spark, sf_dir, "mirror", memberships=claims, service_key="harborlight").select(*_COLUMNS)
 
 
 @R.query(
@@ -178,7 +194,7 @@ def focused_unit_search(spark, sf_dir):
     SELECT coalesce(array_to_string(list_sort(list(DISTINCT repo))[1:50], ','), '') AS repos, count(*) AS file_count FROM hit""",
 )
 def search_usage_event(spark, sf_dir):
-    return S.usage_event(S.matching(files(spark, sf_dir), "ArchiveQuota")[0]).select(F.array_join("repos", ",").alias("repos"), "file_count")
+    return S.usage_event(S.matching(X.narrowed(files(spark, sf_dir), published_index(spark, sf_dir), "doc_id", "ArchiveQuota"), "ArchiveQuota")[0]).select(F.array_join("repos", ",").alias("repos"), "file_count")
 
 
 @R.query(
@@ -197,6 +213,5 @@ def content_atoms(spark, sf_dir):
     WHERE (regexp_matches(content, '(?i)settlement loop') OR regexp_matches(p, '(?i)settlement loop')) AND (contains(content, 'Quota') OR contains(p, 'Quota')) {_TOP} LIMIT 50""",
 )
 def search_trigram_index(spark, sf_dir):
-    """A search through a trigram index (built here; a service would publish it once per generation)."""
-    found = X.indexed_search(files(spark, sf_dir), X.build(files(spark, sf_dir), "doc_id"), "doc_id", '"settlement loop" Quota')
-    return found.select(*_COLUMNS)
+    """Several required terms through the published index."""
+    return _search(spark, sf_dir, '"settlement loop" Quota').select(*_COLUMNS)

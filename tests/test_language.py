@@ -100,4 +100,12 @@ def test_index_changes_nothing_but_the_work(spark, tmp_path):
     assert X.candidates(store.read(), "alpha").count() < 120 and X.candidates(store.read(), "a or b") is None
     spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
     plan = X.candidates(store.read(), "alpha")._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(gram,alp)" in plan
+    assert "In(gram, [alp,lph,pha])" in plan
+    # few candidates reach the scan of the files as a filter; many are met by a join
+    files.write.parquet(str(tmp_path / "files"))
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    pushed = X.narrowed(stored, store.read(), "doc_id", "alpha")
+    assert "PushedFilters: [In(doc_id" in pushed._jdf.queryExecution().executedPlan().toString() and pushed.count() < 120
+    joined = X.narrowed(stored, store.read(), "doc_id", "alpha", pushed_most=3)
+    assert "In(doc_id" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == pushed.count()
+    assert X.narrowed(stored, store.read(), "doc_id", "nowhere").count() == 0
