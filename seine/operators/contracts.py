@@ -17,8 +17,9 @@ from seine.runtime import ship
 
 FACT_COLUMNS = "predicate string, subject string, object string, name string, number int, type string, label string, line int"
 _FACT_TYPES = [pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32()]
-_THRIFT_TOKEN = re.compile(r'//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|[A-Za-z_][\w.]*|[-+]?\d[\w.]*|[{}()\[\];=<>,:*&-]', re.S)
-_PROTO_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|[A-Za-z_][\w.]*|\.[A-Za-z_][\w.]*|-?\d[\w.]*|[{}()\[\];=<>,:\-+/]', re.S)
+_THRIFT_TOKEN = re.compile(r'//[^\n]*|#[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|[A-Za-z_][\w.]*|[-+]?\d[\w.]*|[{}()\[\];=<>,:*&-]|\S', re.S | re.A)
+# what is none of a language's tokens becomes a token of its own, so that a name with a foreign letter is never read as another name
+_PROTO_TOKEN = re.compile(r'//[^\n]*|/\*.*?\*/|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|[A-Za-z_][\w.]*|\.[A-Za-z_][\w.]*|-?\d[\w.]*|[{}()\[\];=<>,:\-+/]|\S', re.S | re.A)
 _SCALARS = {"double", "float", "int32", "int64", "uint32", "uint64", "sint32", "sint64", "fixed32", "fixed64", "sfixed32", "sfixed64", "bool", "string", "bytes"}
 Fact = tuple[str, str, str | None, str | None, int | None, str | None, str | None, int]
 
@@ -176,6 +177,8 @@ def proto_facts(text: str) -> Iterator[Fact]:
         if t == "package":
             s.take()
             package = s.take()
+            if s.peek() != ";":
+                yield "GAP", package, None, None, None, "unreadable_package", None, s.line()
             s.skip_statement()
         elif t == "message" and s.peek(2) == "{":
             s.take()
@@ -185,13 +188,23 @@ def proto_facts(text: str) -> Iterator[Fact]:
             yield from service()
         elif t == "}":
             s.take()
-        else:
-            if t == "extend":
-                yield "GAP", package, None, s.peek(1), None, "extension", None, s.line()
+        elif t == "extend" and s.peek(2) == "{":
+            yield "GAP", package, None, s.peek(1), None, "extension", None, s.line()
+            s.skip_statement()
+        elif t == "enum" and s.peek(2) == "{" or t in ("syntax", "edition", "import", "option"):
             s.skip_statement()
+        elif t == ";":
+            s.take()
+        else:
+            # what is no statement is left at the next semicolon or before the next block
+            yield "GAP", package, None, None, None, f"unreadable_{t if t in ('message', 'service', 'enum', 'extend') else 'statement'}", None, s.line()
+            s.take()
+            while s.at < len(s.tokens) and not (s.peek() in ("message", "service", "enum", "extend") and s.peek(2) == "{"):
+                if s.take() == ";":
+                    break
 
 
-_NAME = re.compile(r"[A-Za-z_][\w.]*")
+_NAME = re.compile(r"[A-Za-z_][\w.]*", re.A)
 
 
 def thrift_facts(text: str) -> Iterator[Fact]:

@@ -18,22 +18,52 @@ def _documents(spark, sf_dir, kind):
     return table(spark, sf_dir, "documents").where((F.col("kind") == kind) & F.col("text").isNotNull()).select("doc_id", "text")
 
 
-@R.query("proto_messages_per_file")
+# SQL patterns of the shapes the test tables hold: comments go, a field is a statement of its own
+_FIELD_RE = r"(?:(?:repeated|optional|required)\s+)?(?:map\s*<[^>]*>|[A-Za-z_][\w.]*)\s+[A-Za-z_]\w*\s*=\s*\d+\s*;"
+# a file is clean if nothing is left when its fields, blocks and statements are taken away
+_CONTRACTS_SQL = rf"""
+contracts AS (SELECT doc_id, regexp_replace(text, '//[^\n]*', '', 'g') AS t FROM documents WHERE kind = 'contract' AND text IS NOT NULL),
+bare AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '{_FIELD_RE}', '', 'g'), '(?:message|service)\s+\w+\s*\{{\s*\}}', '', 'g'), '(?:syntax\s*=\s*"[^"]*"|package\s+[\w.]+|import\s+"[^"]*")\s*;', '', 'g') AS left_over FROM contracts),
+judged AS (SELECT doc_id, t, regexp_full_match(left_over, '\s*') AS clean FROM bare),
+fields AS (SELECT doc_id, unnest(regexp_extract_all(t, '{_FIELD_RE}', 0)) AS f FROM judged WHERE clean)
+"""
+
+
+@R.query(
+    "proto_messages_per_file",
+    sql=f"""WITH {_CONTRACTS_SQL}, n AS (SELECT doc_id, count(*) AS fields FROM fields GROUP BY doc_id),
+    m AS (SELECT doc_id, len(regexp_extract_all(t, '\\bmessage\\s+\\w+\\s*\\{{', 0)) AS messages, clean FROM judged)
+    SELECT m.doc_id, clean, CASE WHEN clean THEN messages::BIGINT END AS messages, CASE WHEN clean THEN coalesce(fields, 0)::BIGINT END AS fields FROM m LEFT JOIN n ON m.doc_id = n.doc_id WHERE messages > 0 OR NOT clean""",
+)
 def proto_messages_per_file(spark, sf_dir):
-    """Declared messages and fields, and gaps, per contract file."""
+    """Declared messages and fields per contract file, if all of it could be read: a letter of another script must give a gap."""
     facts = K.extract_facts(_documents(spark, sf_dir, "contract"), "doc_id", "text", "proto")
-    return facts.groupBy(F.col("key").alias("doc_id")).agg(
-        F.count_if(F.col("predicate") == "DECLARES_MESSAGE").alias("messages"), F.count_if(F.col("predicate") == "DECLARES_FIELD").alias("fields"), F.count_if(F.col("predicate") == "GAP").alias("gaps")
+    per = facts.groupBy(F.col("key").alias("doc_id")).agg(
+        (F.count_if(F.col("predicate") == "GAP") == 0).alias("clean"), F.count_if(F.col("predicate") == "DECLARES_MESSAGE").alias("messages"), F.count_if(F.col("predicate") == "DECLARES_FIELD").alias("fields")
     )
+    return per.select("doc_id", "clean", *[F.when(F.col("clean"), F.col(c)).alias(c) for c in ("messages", "fields")])
 
 
-@R.query("proto_declared_fields")
+@R.query(
+    "proto_declared_fields",
+    sql=rf"""WITH {_CONTRACTS_SQL}
+    SELECT doc_id, regexp_extract(f, '(repeated|optional|required)\s', 1) AS label, regexp_extract(f, '([\w.]+|map\s*<[^>]*>)\s+\w+\s*=', 1) AS type, regexp_extract(f, '(\w+)\s*=', 1) AS name, regexp_extract(f, '=\s*(\d+)', 1)::INTEGER AS number
+    FROM fields""",
+)
 def proto_declared_fields(spark, sf_dir):
-    facts = K.extract_facts(_documents(spark, sf_dir, "contract"), "doc_id", "text", "proto").where("predicate = 'DECLARES_FIELD'")
-    return facts.select(F.col("key").alias("doc_id"), "line", "label", "type", "name", "number")
+    """Fields of the contract files that were read without a gap."""
+    facts = K.extract_facts(_documents(spark, sf_dir, "contract"), "doc_id", "text", "proto")
+    whole = facts.where("predicate = 'DECLARES_FIELD'").join(facts.where("predicate = 'GAP'").select("key").distinct(), "key", "left_anti")
+    return whole.select(F.col("key").alias("doc_id"), "label", "type", "name", "number")
 
 
-@R.query("go_functions_and_calls")
+@R.query(
+    "go_functions_and_calls",
+    sql=r"""WITH sources AS (SELECT doc_id, regexp_replace(text, '//[^\n]*', '', 'g') AS t FROM documents WHERE kind = 'source_file' AND text IS NOT NULL),
+    sites AS (SELECT doc_id, 'function' AS kind, regexp_extract(x, '([\pL\pN_]+)\($', 1) AS method FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?m)^func\s*(?:\([^)]*\)\s*)?[\pL\pN_]+\(', 0)) AS x FROM sources)
+      UNION ALL SELECT doc_id, 'call', regexp_extract(x, '([\pL\pN_]+)\($', 1) FROM (SELECT doc_id, unnest(regexp_extract_all(t, '(?:[\pL\pN_]+\.)+[A-Z][\pL\pN_]*\(', 0)) AS x FROM sources))
+    SELECT kind, method, count(*) AS n, count(DISTINCT doc_id) AS files FROM sites GROUP BY ALL""",
+)
 def go_functions_and_calls(spark, sf_dir):
     """Function declarations and selector calls of source files."""
     sites = G.scan_calls(_documents(spark, sf_dir, "source_file"), "doc_id", "text")
@@ -239,3 +269,44 @@ def compat_field_spans(spark, sf_dir):
     g = table(spark, sf_dir, "g34")
     spans = g.where("split = 'train' AND path IS NOT NULL AND line IS NOT NULL AND object IS NOT NULL").select("path", F.col("line").alias("start_line"), (F.col("line") + 5).alias("end_line"), F.col("object").alias("field_id")).distinct()
     return K.match_declarations(g.where("split = 'dev'").select("row_id", "path", "line"), spans).select("row_id", "field_id")
+
+
+@R.query(
+    "consumer_fact_scan",
+    sql="""WITH d AS (SELECT doc_id FROM documents),
+    stubs AS (SELECT DISTINCT 'M' || doc_id % 7 AS method, 'A' AS service FROM d WHERE doc_id % 10 = 0 UNION SELECT DISTINCT 'M' || doc_id % 7, 'B' FROM d WHERE doc_id % 30 = 0 AND doc_id % 7 < 3),
+    n AS (SELECT method, count(*) AS n, min('/svc.' || service || '/' || method) AS operation FROM stubs GROUP BY method)
+    SELECT CASE WHEN n = 1 THEN 'CALLS_OPERATION' ELSE 'UNRESOLVED_CALL' END AS predicate, n.method, CASE WHEN n = 1 THEN operation END AS operation, 'Run' AS container, 'c.client' AS receiver, count(*) AS calls
+    FROM d JOIN n ON n.method = 'M' || d.doc_id % 9 GROUP BY ALL""",
+)
+def consumer_fact_scan(spark, sf_dir):
+    """Calls of one generated source file per document, met with the stubs that some of the files declare."""
+    n = F.col("doc_id")
+    method = F.concat(F.lit("M"), (n % 7).cast("string"))
+
+    def stub(service: str):
+        return F.concat(F.lit("func (x *stub) "), method, F.lit('() {\n\tx.cc.Invoke(ctx, "/svc.' + service + "/"), method, F.lit('", in)\n}\n'))
+
+    text = F.concat(
+        F.lit("package p\n// "), n.cast("string"), F.lit("\n"), F.when(n % 10 == 0, stub("A")).otherwise(""), F.when((n % 30 == 0) & (n % 7 < 3), stub("B")).otherwise(""),
+        F.lit("func Run() {\n\tc.client.M"), (n % 9).cast("string"), F.lit("(ctx)\n}\n"),
+    )
+    sites = G.scan_calls(table(spark, sf_dir, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+    facts = G.consumer_facts(sites.where("kind = 'stub' OR receiver = 'c.client'"))
+    return facts.groupBy("predicate", "method", "operation", "container", "receiver").agg(F.count("*").alias("calls"))
+
+
+@R.query(
+    "kafka_site_scan",
+    sql="""WITH d AS (SELECT doc_id, replace(repo, '/', '.') AS topic FROM documents WHERE repo IS NOT NULL),
+    s AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'producer' ELSE 'consumer' END AS plane, CASE WHEN doc_id % 3 = 0 THEN topic END AS topic, CASE doc_id % 3 WHEN 1 THEN 'selector-expr' WHEN 2 THEN 'unresolved-ident' END AS reason FROM d)
+    SELECT plane, topic, reason, count(*) AS n, CASE WHEN topic IS NULL THEN 'unresolved' ELSE 'derived' END AS tier FROM s GROUP BY ALL""",
+)
+def kafka_site_scan(spark, sf_dir):
+    """Topic sites of one generated source file per document: a literal, a selector or an unknown name as topic."""
+    n, topic = F.col("doc_id"), F.regexp_replace("repo", "/", ".")
+    expr = F.when(n % 3 == 0, F.concat(F.lit('"'), topic, F.lit('"'))).when(n % 3 == 1, "cfg.Topic").otherwise("topicName")
+    kind = F.when(n % 2 == 0, "Writer").otherwise("ReaderConfig")
+    text = F.concat(F.lit('package p\nimport kf "github.com/segmentio/kafka-go"\nfunc f() { // '), n.cast("string"), F.lit("\n\tx := kf."), kind, F.lit("{Topic: "), expr, F.lit("}\n}\n"))
+    files = table(spark, sf_dir, "documents").where("repo IS NOT NULL").select("doc_id", text.alias("text"))
+    return G.scan_kafka(files, "doc_id", "text").groupBy("plane", "topic", "reason", "tier").agg(F.count("*").alias("n"))

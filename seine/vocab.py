@@ -12,6 +12,7 @@ PROTOCOLS = {"proto-contract": "grpc", "grpc-consumer": "grpc", "grpc-caller": "
 SEARCH_FILES_DEFAULT, SEARCH_FILES_MOST, CONTEXT_LINES_MOST = 50, 500, 10
 CALLER_PAGE_DEFAULT, CALLER_PAGE_MOST = 50, 100
 CENSUS_ASSERTIONS_MOST = 5_000
+EVIDENCE_PAGE_MOST = 500
 SHAPE_DEPTH_MOST, SHAPE_NODES_MOST, SHAPE_FIELDS_MOST = 6, 256, 100
 REFERENCES_MOST = 500
 COMPARISON_SAMPLES = 4

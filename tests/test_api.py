@@ -97,3 +97,89 @@ def test_units_leaves_and_records(spark):
     assert [(r["position"], r["kind"], r["path"]) for r in C.hydrate(references, p, e).collect()] == [(1, None, "path"), (2, "x", "path")]
     page = C.catalog_page(spark.createDataFrame([("g", "r", "s", f"o{i}") for i in range(9)], "protocol string, repo string, service string, operation string"), 3, 5)
     assert page.count() == 3 and page.first()["truncation"] == "scan_budget"
+
+
+@pytest.fixture(scope="module")
+def wide(spark, snapshot):
+    """A snapshot with every table the verbs know."""
+    s = snapshot()
+    memberships = spark.createDataFrame([("r1", "x.go", "svc", "primary"), ("r2", "y.go", "other", "primary")], "repo string, path string, service_key string, role string")
+    edges = spark.createDataFrame([("e1", "r1", "x.go", "x.go", "rpc", "c1", 1, 2), ("e2", "r2", "y.go", "y.go", "kafka", "c2", 1, 1)], "edge_id string, repo string, source_path string, target_path string, kind string, commit string, start_line int, end_line int")
+    tree = spark.createDataFrame([("r1", "c1", "x.go", b"one\ntwo\nthree"), ("r1", "c1", "d/z.go", b"\xff")], "repo string, commit string, path string, content binary")
+    places = spark.createDataFrame([("r1", "c1", "x.go", 1, 0, 1, 3, "S", 1, None), ("r1", "c1", "d/z.go", 5, 2, 5, 5, "S", 8, "own words"), ("r2", "c2", "y.go", 1, 0, 1, 3, "S", 8, None)], "repo string, commit string, path string, start_line int, start_col int, end_line int, end_col int, symbol string, roles int, override_documentation string")
+    hunk = "array<struct<old_start int, new_start int>>"
+    extra = {
+        "memberships": memberships, "edges": edges, "tree": tree, "symbol_occurrences": places, "symbols": spark.createDataFrame([("S", "words")], "symbol string, documentation string"),
+        "symbol_relationships": spark.createDataFrame([], "symbol string, related string, is_definition boolean, is_reference boolean"), "units": spark.createDataFrame([("x.go", "u"), ("y.go", "u")], "path string, unit string"),
+        "service_states": spark.createDataFrame([("svc", "current"), ("other", "stale")], "service_key string, status string"),
+        "log": spark.createDataFrame([("r1", 0, "c1", ["c0"], "second", [("x.go", 1, None)]), ("r1", 1, "c0", [], "first", [])], "repo string, position int, commit string, parents array<string>, subject string, changes array<struct<path string, added int, removed int>>"),
+        "diffs": spark.createDataFrame([("r1", "c1", None, "x.go", [(1, 1)]), ("r1", "c1", "a", "b", [])], f"repo string, commit string, old_path string, path string, hunks {hunk}"),
+        "reports": spark.createDataFrame([("one", "r1", "row"), ("two", "r1", "row"), ("two", "r2", "hidden")], "report_id string, repo string, body string"),
+        "usage": spark.createDataFrame([(T, 10, "search"), (T, 20, "search")], "ts timestamp, duration_ms int, name string"), "audit": spark.createDataFrame([(1, T), (2, T)], "event_id int, created_at timestamp"),
+        "pins": spark.createDataFrame([("u9",)], "run_id string"), "observations": spark.createDataFrame([("r1", "observed"), ("r1", "pending")], "repo string, state string"),
+        "consumer_observations": spark.createDataFrame([("k", 1), ("k", 3)], "consumer string, sequence int"), "consumer_snapshots": spark.createDataFrame([(1, True), (2, True), (3, True)], "sequence int, comparable boolean"),
+        "dispositions": spark.createDataFrame([("update_caller:x.go:1-2", 1, "done"), ("gone:x", 1, "done")], "suggestion string, sequence int, disposition string"),
+        "jobs": spark.createDataFrame([("r1", "j1", "done", T)], "repo string, job_id string, status string, created_at timestamp"),
+    }
+    return lambda identity=None: Snapshot({**s.tables, **extra}, identity)
+
+
+def test_navigation_and_history(wide):
+    s = wide()
+    assert [tuple(r)[:2] for r in s.find_definitions("r1", "c1", "d/z.go", 5, 3).collect()] == [("x.go", 1)]
+    assert {r["path"] for r in s.find_references("r1", "c1", "x.go", 1, 0).collect()} == {"x.go", "d/z.go"}
+    assert s.find_references("r1", "c1", "x.go", 1, 3).count() == 0
+    assert s.hover("r1", "c1", "x.go", 1, 0).collect() == [("S", "own words")]
+    assert [r["subject"] for r in s.commits("r1", 0, 1).collect()] == ["second"]
+    assert s.commit("r1", "c1").select("files", "added", "removed").collect() == [(1, 1, 0)]
+    assert s.diff("r1", "c1").count() == 2 and [r["path"] for r in s.diff("r1", "c1", "a").collect()] == ["b"]
+    assert [r["path"] for r in s.tree("r1", "c1").collect()] == ["d/z.go", "x.go"]
+    assert s.repo_status().select("name", "job_status").collect() == [("r1", "done"), ("r2", None)]
+    assert wide("host:bob").find_references("r1", "c1", "x.go", 1, 0).count() == 0
+
+
+def test_reports(spark, wide):
+    s = wide()
+    assert {r["assertion_id"] for r in s.field_impact_report("L", "M", 3)["resolved"].collect()} == {"a8"}
+    old = spark.createDataFrame([("a.proto", "message M { string a = 3; }")], "path string, content string")
+    new = spark.createDataFrame([("a.proto", "message M { int32 a = 3; }")], "path string, content string")
+    report = s.change_impact_report(old, new, "L")
+    assert [r["rule"] for r in report["violations"].collect()] == ["FIELD_TYPE_CHANGED"] and {r["assertion_id"] for r in report["resolved"].collect()} == {"a8"}
+    thrift = [spark.createDataFrame([("a.thrift", t)], "path string, content string") for t in ("struct M { 1: i32 a }", "struct M { 1: i64 a, string b }")]
+    assert [r["rule"] for r in s.check_compatibility(*thrift, "thrift").collect()] == ["UNREADABLE", "FIELD_TYPE_CHANGED"]
+    with pytest.raises(InvalidRequest):
+        s.check_compatibility(old, new, "xml")
+    assert s.stored_report("two").count() == 2 and wide("host:ann").stored_report("two").count() == 0 and wide("host:ann").stored_report("one").count() == 1
+    page = s.evidence_page(2).collect()
+    assert len(page) == 2 and page[0]["has_more"] and s.evidence_page(50, predicate="PRODUCES").count() == 1
+
+
+def test_citations_services_and_relationships(wide):
+    s = wide()
+    assert [r["cited"] for r in s.caller_citation("a1").collect()] == ["one\ntwo"]
+    assert [r["cited"] for r in s.relationship_citation("e1").collect()] == ["one\ntwo"]
+    assert s.service("svc").select("status", "n_dependencies", "n_callers", "n_topics").collect() == [("current", 1, 1, 0)]
+    assert [r["edge_id"] for r in s.relationship_snapshot("svc").collect()] == ["e1"]
+    other = wide()
+    other.tables["edges"] = other.tables["edges"].where("edge_id <> 'e1'")
+    assert [r["change"] for r in s.compare_relationships(other, "svc").collect()] == ["removed"]
+    by_unit = {r["key"]: r["class"] for r in s.compare_callers("/S/m", "/S/m", "unit").collect()}
+    assert set(by_unit.values()) == {"both_evidence"} and all(k.startswith("unit|") for k in by_unit)
+
+
+def test_operation_and_work(wide):
+    s = wide()
+    usage = s.usage("2025-01-01", "2025-01-02")
+    assert usage["summary"].collect() == [(2, 15)] and usage["daily"].collect() == [("2025-01-01", 2), ("2025-01-02", 0)] and usage["top"].collect() == [("search", 2)]
+    assert [r["event_id"] for r in s.audit(1).collect()] == [1]
+    assert s.retention_status("2026-01-01", 30).where("expired > 0").count() == 0
+    assert {r["repo"]: r["failed_since"] for r in s.lifecycle_status().collect()} == {"r1": 0, "r2": 0}
+    assert s.observation_progress().collect() == [("r1", 1, 0, 1, 2)]
+    assert s.consumer_ledger().select("first_seen", "last_seen", "reintroduced", "active").collect() == [(1, 3, 1, True)]
+    bench = {(r["assertion_id"], r["owned"]) for r in s.workbench("/S/m", "svc").collect()}
+    assert bench == {("a1", True), ("a2", False), ("a4", False)}
+    listed = {(r["suggestion"], r["state"], r["disposition"]) for r in s.checklist("/S/m", "svc").collect()}
+    assert ("update_caller:x.go:1-2", "current", "done") in listed and ("gone:x", "stale", "done") in listed and ("confirm_match:y.go:3-3", "current", "open") in listed
+    consumers = s.published_assertions().select("subject").withColumnRenamed("subject", "consumer")
+    queues = {(r["queue"], r["item"]) for r in s.review(consumers.limit(0), consumers.where("consumer = 'x.go:1-2'")).collect()}
+    assert {("new_consumers", "x.go:1-2"), ("unresolved_attribution", "z.go:9-9"), ("coverage_regression", "r2/grpc-consumer")} <= queues
