@@ -23,6 +23,7 @@ column equals nothing; repeated rows are separate rows; empty tables give no row
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, product
 
 import numpy as np
@@ -54,23 +55,30 @@ _FULL = pa.schema(
 _LIST = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("side", pa.int32()), ("line", pa.int32()), ("la", pa.int32()), ("lb", pa.int32()), ("w", pa.int64()), ("rest", pa.int64()), ("floor", pa.int64())])
 
 
-def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
-    """One spelling of a path or name: escapes opened, one separator, no blanks, lower case, no root, detours or outer slash."""
+def _flat(text: Column, roots: tuple[str, ...]) -> Column:
+    """Escapes opened, one separator, no blanks, lower case, no root."""
     opened = F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
     flat = F.lower(F.translate(opened, "\\ \t\n\x0b\f\r", "/"))
     for root in roots:
-        flat = F.when(flat.startswith("/"), F.regexp_replace(flat, root, "")).otherwise(flat)
+        flat = F.regexp_replace(flat, root, "")
+    return flat
+
+
+def _straight(flat: Column) -> Column:
+    """Without detours and outer slashes; only a text that has some is taken apart."""
     empty = F.array().cast("array<string>")
 
     def step(seen: Column, part: Column) -> Column:
         up = (part == "..") & (F.size(seen) > 0)
         return F.when(part.isin("", "."), seen).when(up, F.slice(seen, 1, F.size(seen) - 1)).otherwise(F.concat(seen, F.array(part)))
 
-    def straight(t: Column) -> Column:
-        bent = F.concat(F.lit("/"), t, F.lit("/"))
-        return F.when(bent.contains("//") | bent.contains("/./") | bent.contains("/../"), F.array_join(F.aggregate(F.split(t, "/"), empty, step), "/")).otherwise(t)
+    bent = F.concat(F.lit("/"), flat, F.lit("/"))
+    return F.when(bent.contains("//") | bent.contains("/./") | bent.contains("/../"), F.array_join(F.aggregate(F.split(flat, "/"), empty, step), "/")).otherwise(flat)
 
-    return F.transform(F.array(flat), straight)[0]
+
+def spelling(text: Column, roots: tuple[str, ...] = CHECKOUT_ROOTS) -> Column:
+    """One spelling of a path or name: escapes opened, one separator, no blanks, lower case, no root, detours or outer slash."""
+    return F.transform(F.array(_flat(text, roots)), _straight)[0]
 
 
 def _digits(text: Column) -> Column:
@@ -252,7 +260,11 @@ def spelled_rows(df: DataFrame, row_id: str, split: str, equal: list[str], first
     """(row_id, side, line, a, b, frame, cid) of the rows that can be in a pair; equal ``cid`` means a copy on the same side."""
     side = F.when(F.col(split).isin(*evaluation), 1).when(F.col(split).isin(*train), 0)
     same = [f"eq{i}" for i in range(len(equal))]
-    rows = df.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], spelling(F.col(first)).alias("a"), spelling(F.col(second)).alias("b")).dropna()
+    asked = [F.col(c).isNotNull() for c in (row_id, first, second, line, *equal)]
+    wanted = df.where(side.isNotNull() & reduce(lambda x, y: x & y, asked))
+    # a text is null in its spelling only if it was null before, so nothing has to be spelled to be left out; in two steps, each computed once
+    flat = wanted.select(F.col(row_id).alias("row_id"), side.alias("side"), F.col(line).cast("int").alias("line"), *[F.col(c).cast("string").alias(s) for c, s in zip(equal, same)], _flat(F.col(first), CHECKOUT_ROOTS).alias("fa"), _flat(F.col(second), CHECKOUT_ROOTS).alias("fb"))
+    rows = flat.select("row_id", "side", "line", *same, _straight(F.col("fa")).alias("a"), _straight(F.col("fb")).alias("b")).where("line IS NOT NULL")
     sized = [x for c in (*same, "a", "b") for x in (F.char_length(c).cast("string"), F.lit(":"), F.col(c))]
     frame = F.xxhash64(*same, _digits(F.col("a")), _digits(F.col("b")))
     return rows.select("row_id", "side", "line", "a", "b", frame.alias("frame"), F.md5(F.concat(F.col("side").cast("string"), F.lit(":"), F.col("line").cast("string"), F.lit(":"), *sized)).alias("cid"))
