@@ -47,10 +47,12 @@ TERMS = 1 << 18
 _BY_DELETION, _BY_BLOCK = 18, 14
 _GRAM = 3
 _UNIT = 4096
+# a term and its weight share 31 bits
 _WEIGHT_BITS = 13
+_WEIGHT_MASK = (1 << _WEIGHT_BITS) - 1
 _CLASS = "n bigint, cid string, side int, line int, frame bigint, a string, b string"
 _FULL = pa.schema(
-    [("n", pa.int64()), ("cid", pa.string()), ("side", pa.int32()), ("line", pa.int32()), ("frame", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("floor", pa.int64()), ("entered", pa.int32()), ("packed", pa.list_(pa.int64()))]
+    [("n", pa.int64()), ("cid", pa.string()), ("side", pa.int32()), ("line", pa.int32()), ("frame", pa.int64()), ("a", pa.string()), ("b", pa.string()), ("floor", pa.int64()), ("entered", pa.int32()), ("packed", pa.list_(pa.int32()))]
 )
 _LIST = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("side", pa.int32()), ("line", pa.int32()), ("la", pa.int32()), ("lb", pa.int32()), ("w", pa.int64()), ("rest", pa.int64()), ("floor", pa.int64())])
 
@@ -145,7 +147,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], squares: np.ndarray, met: np.nda
         # one order of terms for all vectors: by weight, then by number
         order = np.sort((((rows << _WEIGHT_BITS) + (_UNIT - squares[found])) << bits) + found)
         found, order = order & (terms - 1), order >> bits
-        rows, w = order >> _WEIGHT_BITS, _UNIT - (order & ((1 << _WEIGHT_BITS) - 1))
+        rows, w = order >> _WEIGHT_BITS, _UNIT - (order & _WEIGHT_MASK)
         floor = np.bincount(rows, w, n).astype(np.int64)
         for number in (0, 1):
             r, x = rows[found & 1 == number], w[found & 1 == number]
@@ -155,7 +157,7 @@ def _vectors(batches: Iterator[pa.RecordBatch], squares: np.ndarray, met: np.nda
         rows, found, w = rows[shared], found[shared], w[shared]
         reach = np.bincount(rows, w, n).astype(np.int64)
         entered = np.bincount(rows, _before(rows, w) <= (reach - floor)[rows], n).astype(np.int32)
-        packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array((found << 16) + w))
+        packed = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(rows, minlength=n))].astype(np.int32)), pa.array(((found << _WEIGHT_BITS) + w).astype(np.int32)))
         out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(floor), pa.array(entered), packed], schema=_FULL)
         yield out.filter(pa.array(reach >= floor))
 
@@ -190,10 +192,10 @@ def _listed(batches: Iterator[pa.RecordBatch], typos: int) -> Iterator[pa.Record
         packed = batch.column("packed")
         flat, sizes = packed.flatten().to_numpy(), np.diff(packed.offsets.to_numpy())
         rows = np.repeat(np.arange(batch.num_rows), sizes)
-        w = flat & 0xFFFF
+        w = (flat & _WEIGHT_MASK).astype(np.int64)
         rest = np.bincount(rows, w, batch.num_rows).astype(np.int64)[rows] - _before(rows, w) - w
         kept = _before(rows, np.ones(len(rows), np.int64)) < numbers["entered"][rows]
-        rows, term, w, rest = rows[kept], (flat[kept] >> 16).astype(np.uint64), w[kept], rest[kept]
+        rows, term, w, rest = rows[kept], (flat[kept] >> _WEIGHT_BITS).astype(np.uint64), w[kept], rest[kept]
         # vectors without a floor
         more: list[tuple[int, int]] = []
         for r in np.flatnonzero(numbers["floor"] <= 0).tolist():
@@ -230,14 +232,14 @@ def _weights(classes: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _weight(packed: Column) -> Column:
-    return F.aggregate(packed, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(0xFFFF)))
+    return F.aggregate(packed, F.lit(0).cast("long"), lambda s, x: s + x.bitwiseAND(F.lit(_WEIGHT_MASK)))
 
 
 def class_pairs(classes: DataFrame, typos: int = TYPOS, terms: int = TERMS) -> DataFrame:
     """(tc, ec): class ids of the two sides whose texts are the same up to typos. ``classes`` must be stored, not computed."""
     spark = classes.sparkSession
     held = spark.sparkContext.broadcast(_weights(classes, terms))
-    full = checkpoint(classes.mapInArrow(lambda it: _vectors(it, *held.value, _GRAM * typos, terms), f"{_CLASS}, floor bigint, entered int, packed array<bigint>"))
+    full = checkpoint(classes.mapInArrow(lambda it: _vectors(it, *held.value, _GRAM * typos, terms), f"{_CLASS}, floor bigint, entered int, packed array<int>"))
     lists = full.select("n", "side", "line", "frame", "a", "b", "floor", "entered", "packed").mapInArrow(lambda it: _listed(it, typos), "key bigint, n bigint, side int, line int, la int, lb int, w bigint, rest bigint, floor bigint")
 
     t, e = lists.where("side = 0").alias("t"), lists.where("side = 1").alias("e")
