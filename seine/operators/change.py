@@ -82,6 +82,10 @@ def consumer_delta(before: DataFrame, after: DataFrame, key: str, comparable: Co
     return a.join(b, key, "left_anti").select(key, F.lit("added").alias("change")).unionByName(b.join(a, key, "left_anti").select(key, F.lit("removed").alias("change"))).where(gate)
 
 
+#: Snapshots that are ordered together; sequences are whole numbers.
+SNAPSHOT_BLOCK = 4_096
+
+
 def ledger(observations: DataFrame, relationship: str, sequence: str, snapshots: DataFrame) -> DataFrame:
     """Per relationship: first and last seen, observations, active, last removed, times it came back.
 
@@ -91,9 +95,14 @@ def ledger(observations: DataFrame, relationship: str, sequence: str, snapshots:
     per_snapshot = snapshots.select(sequence, "comparable").distinct()
     order = Window.partitionBy(relationship).orderBy(sequence)
     following = seen.withColumn("next", F.lead(sequence).over(order))
-    # the first comparable snapshot after each observation, from a running minimum over the short list of snapshots
-    upcoming = Window.orderBy(F.desc(sequence)).rowsBetween(Window.unboundedPreceding, -1)
-    nexts = per_snapshot.groupBy(sequence).agg(F.bool_or("comparable").alias("ok")).select(F.col(sequence), F.min(F.when(F.col("ok"), F.col(sequence))).over(upcoming).alias("removal"))
+    # the first comparable snapshot after each, in blocks of snapshots: within the block, else the first of a later block
+    block = F.floor(F.col(sequence) / SNAPSHOT_BLOCK).alias("_block")
+    marked = per_snapshot.groupBy(sequence).agg(F.bool_or("comparable").alias("ok")).select(sequence, block, F.when(F.col("ok"), F.col(sequence)).alias("_ok"))
+    firsts = marked.groupBy("_block").agg(F.min("_ok").alias("_first"))
+    later = Window.orderBy(F.desc("_block")).rowsBetween(Window.unboundedPreceding, -1)  # over one row per block
+    beyond = firsts.select("_block", F.min("_first").over(later).alias("_beyond"))
+    upcoming = Window.partitionBy("_block").orderBy(F.desc(sequence)).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = marked.select(sequence, "_block", F.min("_ok").over(upcoming).alias("_within")).join(beyond, "_block").select(sequence, F.coalesce("_within", "_beyond").alias("removal"))
     spans = following.join(nexts, sequence, "left")
     removed = F.col("removal").isNotNull() & (F.col("next").isNull() | (F.col("removal") < F.col("next")))
     out = spans.groupBy(relationship).agg(

@@ -12,25 +12,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from seine.runtime import ship
 
 
-def revision_changes(polls: DataFrame) -> DataFrame:
+#: Event time after which the state of a silent key is dropped (30 days), and how late a row may come.
+KEEP_MS = 30 * 86_400_000
+LATE = "1 day"
+
+
+def _forget_at(state: GroupState, last: pd.Timestamp, keep_ms: int) -> None:
+    """The state goes when the watermark passes the last row's time and ``keep_ms``."""
+    state.setTimeoutTimestamp(max(int(last.timestamp() * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
+
+
+def revision_changes(polls: DataFrame, keep_ms: int = KEEP_MS) -> DataFrame:
     """Polls (repo, fingerprint, polled_at) whose fingerprint differs from the last one seen of their repository.
 
-    The first sight of a repository is a change. State is one fingerprint per repository.
+    The first sight of a repository is a change, also after ``keep_ms`` of event time without a poll. State is one fingerprint per repository.
     """
+    columns = ["repo", "fingerprint", "polled_at"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values("polled_at", kind="stable")
-        last = state.get[0] if state.exists else None
-        out = []
-        for r in rows.itertuples():
-            if r.fingerprint != last:
-                out.append((key[0], r.fingerprint, r.polled_at))
-                last = r.fingerprint
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["repo", "fingerprint", "polled_at"])
+        before = rows["fingerprint"].shift(1)
+        first = not state.exists
+        before.iloc[0] = None if first else state.get[0]
+        state.update((rows["fingerprint"].iloc[-1],))
+        _forget_at(state, rows["polled_at"].iloc[-1], keep_ms)
+        # two nulls are no change
+        same = (rows["fingerprint"] == before) | (rows["fingerprint"].isna() & before.isna())
+        same.iloc[0] &= not first
+        yield rows.loc[~same, columns]
 
     ship(polls.sparkSession)
-    return polls.groupBy("repo").applyInPandasWithState(step, "repo string, fingerprint string, polled_at timestamp", "fingerprint string", "append", GroupStateTimeout.NoTimeout)
+    timed = polls.withWatermark("polled_at", LATE)
+    return timed.groupBy("repo").applyInPandasWithState(step, "repo string, fingerprint string, polled_at timestamp", "fingerprint string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def push_triggers(deliveries: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -59,19 +75,29 @@ def fold_jobs(events: pd.DataFrame, status: str, attempts: int) -> tuple[str, in
     return status, attempts, refused
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """Running state of each job from its events (job_id, seq, to_status)."""
+def job_states(events: DataFrame, at: str | None = None, keep_ms: int = KEEP_MS) -> DataFrame:
+    """Running state of each job from its events (job_id, seq, to_status).
+
+    Where the events have a time column ``at``, a job without an event for ``keep_ms`` of event time loses its state, whether it is
+    finished or lost; without one there is no clock to forget by.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         status, attempts, refused = state.get if state.exists else ("pending", 0, 0)
         status, attempts, more = fold_jobs(rows, status, attempts)
         state.update((status, attempts, refused + more))
+        if at:
+            _forget_at(state, rows[at].max(), keep_ms)
         yield pd.DataFrame([(key[0], status, attempts, refused + more)], columns=["job_id", "status", "attempts", "refused"])
 
     ship(events.sparkSession)
     schema = "job_id bigint, status string, attempts int, refused int"
-    return events.groupBy("job_id").applyInPandasWithState(step, schema, "status string, attempts int, refused int", "update", GroupStateTimeout.NoTimeout)
+    timed = events.withWatermark(at, LATE) if at else events
+    return timed.groupBy("job_id").applyInPandasWithState(step, schema, "status string, attempts int, refused int", "update", GroupStateTimeout.EventTimeTimeout if at else GroupStateTimeout.NoTimeout)
 
 
 def to_generation(stream: DataFrame, root: str, checkpoint: str):

@@ -257,6 +257,38 @@ def _drive(spark, df, name, mode):
     return spark.table(name).collect()
 
 
+def test_silent_jobs_are_forgotten(spark, tmp_path):
+    src = str(tmp_path / "timed")
+    schema = "job_id bigint, seq int, to_status string, at timestamp"
+    day = lambda n: datetime(2025, 1, 1) + timedelta(days=n)
+    spark.createDataFrame([(1, 1, "claimed", day(0)), (2, 1, "claimed", day(0))], schema).coalesce(1).write.parquet(src)
+    query = streams.job_states(spark.readStream.schema(schema).parquet(src), "at").writeStream.outputMode("update").format("memory").queryName("timed")
+    q = query.start()
+    q.processAllAvailable()
+    for n, row in enumerate([(2, 2, "running", day(60)), (3, 1, "claimed", day(61))]):
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(src)
+        q.processAllAvailable()
+    spark.createDataFrame([(1, 3, "running", day(61))], schema).coalesce(1).write.mode("append").parquet(src)
+    q.processAllAvailable()
+    q.stop()
+    # job 1 was silent too long: it begins anew, and may not run unclaimed
+    assert [tuple(r) for r in spark.table("timed").where("job_id = 1").collect()] == [(1, "claimed", 1, 0), (1, "pending", 0, 1)]
+
+
+def test_ledger_over_blocks_of_snapshots(spark, monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    snaps = [(i, rng.random() < 0.5) for i in range(40)]
+    seen = [(r, i) for r in "abcde" for i in range(40) if rng.random() < 0.2]
+    frames = spark.createDataFrame(seen, "rel string, seq int"), spark.createDataFrame(snaps, "seq int, comparable boolean")
+    whole = sorted(map(tuple, change.ledger(frames[0], "rel", "seq", frames[1]).collect()))
+    monkeypatch.setattr(change, "SNAPSHOT_BLOCK", 3)
+    assert sorted(map(tuple, change.ledger(frames[0], "rel", "seq", frames[1]).collect())) == whole
+    first = next((s for s, ok in snaps if ok and s > min(i for r, i in seen if r == "a")), None)
+    assert first is not None
+
+
 def test_streams(spark, tmp_path):
     t = datetime(2025, 1, 1)
     src = str(tmp_path / "polls")
