@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seine.llm import digest, packing
 from seine.llm.leakage import leaks
 from seine.llm.overlap import cross_split_links, cross_split_pairs
-from seine.llm.sampling import sample_by_wave, stable_sample
+from seine.llm.sampling import extend_lists, sample_by_wave, stable_sample
 from seine.llm.visual import canonical_text, look_alike_classes, look_alike_pairs
 from seine.registry import Registry
 from seine.runtime import table
@@ -234,6 +234,21 @@ def p2_by_wave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_by_wave(table(spark, sf_dir, "sites"), "system", "site_id", "wave").withColumnRenamed("stratum", "system")
 
 
+@R.query(
+    "p2_extended",
+    sql=f"""WITH {_RANKED_SQL},
+    cells AS (SELECT system, bucket_rank, count(*) AS n FROM keys GROUP BY ALL),
+    upto AS (SELECT *, sum(n) OVER (PARTITION BY system ORDER BY bucket_rank) AS upto, sum(n) OVER (PARTITION BY system) AS whole FROM cells),
+    lists AS (SELECT system, greatest(205, min(bucket_rank) + 1) AS length FROM upto WHERE upto >= least(whole, 400) GROUP BY system)
+    SELECT k.system, k.site_id, k.first_wave, k.bucket_rank FROM keys k JOIN lists l ON k.system IS NOT DISTINCT FROM l.system WHERE k.bucket_rank < l.length""",
+)
+def p2_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sample with lists lengthened until each system holds 400 keys, or all it has."""
+    sites = table(spark, sf_dir, "sites")
+    lists = extend_lists(sites, "system", "site_id", "wave", 400)
+    return stable_sample(sites, "system", "site_id", "wave", lists=lists).withColumnsRenamed({"stratum": "system", "key": "site_id"})
+
+
 _FINDING = ("row_id", "split", ["system", "predicate"], "path", "object", "line")
 
 
