@@ -266,3 +266,27 @@ def late_writers_canceled(spark, sf_dir):
 def expected_pairs(spark, sf_dir):
     outcomes = table(spark, sf_dir, "runs").select(F.col("repo").alias("leaf"), F.col("domain").alias("adapter"))
     return Q.expected_pairs(["grpc-caller", "thrift-caller", "kafka-producer"], table(spark, sf_dir, "repos").select(F.col("name").alias("leaf")), outcomes)
+
+
+@R.query(
+    "text_units",
+    sql=r"""SELECT doc_id, (length(text) + length(regexp_replace(text, '[\x{0000}-\x{FFFF}]', '', 'g')))::INTEGER AS utf16_units, strlen(substr(split_part(text, chr(10), 1), 1, 7))::INTEGER AS byte_of_point_7 FROM documents WHERE text IS NOT NULL""",
+)
+def text_units(spark, sf_dir):
+    """Lengths in UTF-16 units, and the byte at which the eighth code point of the first line begins."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    line = F.substring_index("text", "\n", 1)
+    return d.select("doc_id", S.utf16_units(F.col("text")).alias("utf16_units"), S.byte_of_column(line, F.lit(7), F.lit("utf-32")).cast("int").alias("byte_of_point_7"))
+
+
+@R.query(
+    "content_bodies",
+    sql=r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'utf-8' ELSE 'base64' END AS encoding, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE base64(encode(text) || '\xFF'::BLOB) END) AS body FROM documents WHERE text IS NOT NULL""",
+)
+def content_bodies(spark, sf_dir):
+    """Contents as they are served: text as it is, in base64 what a byte makes invalid (here one more byte for every other document)."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))))
+    body = d.select("doc_id", S.content_body(raw).alias("c"))
+    # long base64 is wrapped at 76 characters by the engine; lines are joined before it is compared
+    return body.select("doc_id", "c.encoding", F.md5(F.when(F.col("c.encoding") == "base64", F.regexp_replace("c.body", "[\r\n]", "")).otherwise(F.col("c.body"))).alias("body"))
