@@ -35,8 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Its files go when no frame refers to them any more, unless the session's settings say otherwise.
+    """
     ensure_checkpoint_dir(df.sparkSession)
+    df.sparkSession.sparkContext._jsc.sc().conf().setIfMissing("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     return df.checkpoint(eager=True)
 
 
