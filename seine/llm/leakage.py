@@ -187,8 +187,14 @@ def _items_in(batches: Iterator[pa.RecordBatch], alike: dict[str, str], min_word
     yield from _kept(batches, alike, min_words, flush)
 
 
-def _probes(seeds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return seeds & (bits - 1), (seeds >> 32) & (bits - 1)
+def _passing(seeds: np.ndarray, bloom: np.ndarray) -> np.ndarray:
+    """Places of the seeds whose two bits are set in the filter's bytes."""
+    bits = 8 * len(bloom)
+    at = np.arange(len(seeds))
+    for p in (seeds & (bits - 1), (seeds >> 32) & (bits - 1)):
+        p = p[at]
+        at = at[(bloom[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+    return at
 
 
 def _stretches_in(batches: Iterator[pa.RecordBatch], alike: dict[str, str], bloom: np.ndarray, min_words: int, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
@@ -197,14 +203,12 @@ def _stretches_in(batches: Iterator[pa.RecordBatch], alike: dict[str, str], bloo
     A stretch reaches beyond its outermost windows by more words than a leak may have outside of seeds, so the longest overlap
     with an item always lies in one stretch.
     """
-    seeds, bits = Seeds(min_words), len(bloom)
+    seeds = Seeds(min_words)
     around = min_words + 1
 
     def flush(ids: list, h: np.ndarray, owner: np.ndarray) -> Iterator[pa.RecordBatch]:
         s = seeds.of(h)
-        one, two = _probes(s, bits)
-        at = np.flatnonzero(bloom[one])
-        at = at[bloom[two[at]]]
+        at = _passing(s, bloom)
         at = at[owner[at] == owner[at + seeds.span - 1]]  # no window reaches into the next document
         if not len(at):
             return
@@ -267,14 +271,14 @@ def _compared(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[pa.
 
 
 def _filter_of(sown: DataFrame) -> np.ndarray:
-    """Bloom filter of the seeds: built by grouping the bits of each 32-bit word, so its size alone bounds what is collected."""
+    """Bloom filter of the seeds, as bytes: built by grouping the bits of each 32-bit word, so its size alone bounds what is collected."""
     count = sown.select("seed").distinct().count()
     bits = min(MOST_BITS, 1 << max(16, (count * BITS_PER_SEED - 1).bit_length()))
     places = sown.select(F.explode(F.array(F.col("seed").bitwiseAND(F.lit(bits - 1)), F.shiftright("seed", 32).bitwiseAND(F.lit(bits - 1)))).alias("p"))
     words = places.groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 31 AS INT))")).alias("b")).toArrow()
     filled = np.zeros(bits // 32, "<u4")
     filled[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
-    return np.unpackbits(filled.view(np.uint8), bitorder="little").astype(bool)
+    return filled.view(np.uint8)
 
 
 def _shared_seeds(stretches: DataFrame, items: DataFrame, hot: int, salts: int) -> DataFrame:

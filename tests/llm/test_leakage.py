@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from seine.llm.glyphs import look_alikes
-from seine.llm.leakage import _Letters, hash_words, leaks, longest_overlaps, mask_for, normalised
+from seine.llm.leakage import _filter_of, _Letters, _passing, hash_words, leaks, longest_overlaps, mask_for, normalised
 
 
 def edit_within_one(a, b):
@@ -110,6 +110,13 @@ def test_operator_and_dirty_rows(spark):
     assert {tuple(r) for r in rows} == {(10, 1, 19), (11, 1, 30), (11, 2, 30), (14, 2, 21)} and len(rows) == 4
 
 
+def test_filter_holds_every_seed(spark):
+    seeds = np.random.default_rng(1).integers(-(1 << 63), 1 << 63, 3_000, dtype=np.int64)
+    bloom = _filter_of(spark.createDataFrame([(int(s),) for s in seeds[:1_500]], "seed bigint"))
+    held = _passing(seeds, bloom)
+    assert set(range(1_500)) <= set(held.tolist()) and len(held) < 1_550
+
+
 def test_markup_inside_a_passage(spark):
     words = [f"word{i}" for i in range(18)]
     items = spark.createDataFrame([(1, " ".join(words))], "id string, text string")
