@@ -281,14 +281,27 @@ def _filter_of(sown: DataFrame) -> np.ndarray:
     return filled.view(np.uint8)
 
 
+def _salted_join(left: DataFrame, right: DataFrame, keys: list[str], hot: int, salts: int) -> DataFrame:
+    """Equi-join in which keys that more than ``hot`` rows of ``left`` share are dealt to ``salts`` parts."""
+    heavy = left.groupBy(*keys).count().where(F.col("count") > hot).select(*keys, F.lit(True).alias("heavy"))
+    spread = right.join(heavy, keys, "left").withColumn("salt", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1))))).drop("heavy")
+    dealt = left.join(heavy, keys, "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("stretch"), F.lit(salts)).cast("int")).otherwise(F.lit(-1))).drop("heavy")
+    return dealt.join(spread, [*keys, "salt"]).drop("salt")
+
+
 def _shared_seeds(stretches: DataFrame, items: DataFrame, hot: int, salts: int) -> DataFrame:
-    """Distinct (stretch, item) with a common seed. The seeds that many stretches share are dealt to ``salts`` parts."""
+    """Distinct (stretch, item) with a common seed.
+
+    Seeds that stand in the same items are one group, named by two hashes of its items: a passage that many stretches and many items
+    hold is met once for each group instead of once for each of its seeds.
+    """
+    group = ["g1", "g2", "n_items"]
     left = stretches.select(F.col("content").alias("stretch"), F.explode(F.array_distinct("seeds")).alias("seed"))
-    heavy = left.groupBy("seed").count().where(F.col("count") > hot).select("seed", F.lit(True).alias("heavy"))
-    right = items.select(F.col("content").alias("item"), F.explode("seeds").alias("seed")).join(heavy, "seed", "left")
-    right = right.select("seed", "item", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    left = left.join(heavy, "seed", "left").select("stretch", "seed", F.when(F.col("heavy"), F.pmod(F.xxhash64("stretch"), F.lit(salts)).cast("int")).otherwise(F.lit(-1)).alias("salt"))
-    return left.join(right, ["seed", "salt"]).select("stretch", "item").distinct()
+    sown = items.select(F.col("content").alias("item"), F.explode("seeds").alias("seed"))
+    groups = sown.groupBy("seed").agg(F.bit_xor(F.xxhash64("item")).alias("g1"), F.bit_xor(F.xxhash64(F.lit("second"), F.col("item"))).alias("g2"), F.count("*").alias("n_items"))
+    met = _salted_join(left, groups, ["seed"], hot, salts).select("stretch", *group).distinct()
+    holders = sown.join(groups, "seed").select(*group, "item").distinct()
+    return _salted_join(met, holders, group, hot, salts).select("stretch", "item").distinct()
 
 
 def leaks(corpus: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, min_words: int = MIN_WORDS, hot: int = HOT_SEED, salts: int = SALTS) -> DataFrame:
